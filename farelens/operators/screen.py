@@ -61,7 +61,7 @@ def screen_strict(sql: Column, allowed: list[str] = ALLOWED_TABLES) -> Column:
         | s.rlike(r"--|/\*|\*/|#")          # comments
         | s.rlike("[`\"]")                  # quoted identifiers
         | s.rlike(rf"\b({words})\b")
-        | s.rlike(r"'[^']*$")               # unterminated literal
+        | ((F.length(s) - F.length(F.replace(s, F.lit("'"), F.lit("")))) % 2 == 1)  # unterminated literal
     )
     # FROM inside EXTRACT(.. FROM ..), TRIM(.. FROM ..), SUBSTRING(.. FROM ..)
     body = F.regexp_replace(s, r"\b(extract|trim|substring|overlay)\s*\([^()]*\)", "$1()")

@@ -141,7 +141,7 @@ _STRICT = """(regexp_matches(b, '^select\\b')
    AND NOT regexp_matches(b, '--|/\\*|\\*/|#')
    AND NOT regexp_matches(b, '[`"]')
    AND NOT regexp_matches(b, '\\b(insert|update|delete|drop|alter|create|truncate|grant|attach|pragma|into)\\b')
-   AND NOT regexp_matches(b, '''[^'']*$')
+   AND (length(b) - length(replace(b, '''', ''))) % 2 = 0
    AND NOT regexp_matches(e, '\\bfrom\\s+[a-zA-Z_][a-zA-Z0-9_]*(\\s+(as\\s+)?[a-zA-Z_][a-zA-Z0-9_]*)?\\s*,')
    AND len(list_filter(regexp_extract_all(e, '\\b(?:from|join)\\s+([^\\s(),]+)', 1), lambda x: x <> 'flights')) = 0)"""
 

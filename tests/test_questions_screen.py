@@ -1,0 +1,59 @@
+"""Question matching and the SQL screen."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from farelens.operators.questions import match_metric, match_question
+from farelens.operators.screen import screen
+
+QUESTIONS = [
+    ("What is the average price?", "avg_price", "avg_price"),
+    ("How many total flights are there?", "total_flights", "total_flights"),
+    ("What is the busiest route?", "busiest_route", "busiest_route"),
+    ("WHAT IS THE AVERAGE PRICE?", "avg_price", "avg_price"),
+    ("Show me flights from Mumbai to Delhi under 5000", None, None),
+    ("average price per airline", "avg_price", "avg_price_by_airline"),
+]
+
+
+@pytest.mark.parametrize("q,first,longest", QUESTIONS)
+def test_match_column(spark, q, first, longest):
+    df = spark.createDataFrame([(q,)], "question string")
+    got = df.select(match_metric("question", "first"), match_metric("question", "longest")).first()
+    assert tuple(got) == (first, longest)
+
+
+@pytest.mark.parametrize("q,first,longest", QUESTIONS)
+def test_match_driver_side_agrees(q, first, longest):
+    assert match_question(q, "first") == first
+    assert match_question(q, "longest") == longest
+
+
+SCREEN = [
+    ("SELECT * FROM flights WHERE Price > 5000", True, True),
+    ("INSERT INTO flights VALUES (1,2,3)", False, False),
+    ("DELETE FROM flights WHERE Price > 5000", False, False),
+    ("DROP TABLE flights", False, False),
+    ("SELECT * FROM flights; DROP TABLE flights", False, False),
+    ("SELECT * FROM users", False, False),
+    ("UPDATE flights SET Price = 0", False, False),
+    ("SELECT * FROM flights JOIN users ON 1=1", False, False),
+    ("SELECT * FROM flights, users", True, False),
+    ("SELECT * FROM `users`", True, False),
+    ("SELECT * FROM flights.users", True, False),
+    ("SELECT * FROM/**/users", True, False),
+    ("SELECT EXTRACT(YEAR FROM date_of_journey) FROM flights", False, True),
+    ("select * from flights where airline = 'drop it'", False, True),
+    ("SELECT updated_at FROM flights", False, True),
+    ("WITH t AS (SELECT 1) SELECT * FROM flights", False, False),
+    ("SELECT * FROM flights INTO OUTFILE '/tmp/x'", True, False),
+    ("  select * from flights ;  ", True, True),
+    (None, False, False),
+]
+
+
+@pytest.mark.parametrize("sql,compat,strict", SCREEN)
+def test_screen(spark, sql, compat, strict):
+    df = spark.createDataFrame([(sql,)], "sql string")
+    got = df.select(screen("sql", "compat"), screen("sql", "strict")).first()
+    assert tuple(got) == (compat, strict)
