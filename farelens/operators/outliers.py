@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelens.functions.parsing import duration_minutes, stops_num
+from farelens.functions.parsing import with_parsed
 from farelens.functions.text import RUPEE, half_even_text
 
 # Detector defaults, severity labels and display colours.
@@ -29,18 +29,25 @@ MEASURES = {"Price": "price", "duration_minutes": "duration", "stops_num": "stop
 GROUP = "Route"
 
 
+PARSED = ("duration_minutes", "stops_num")
+
+
 def outlier_input(flights: DataFrame) -> DataFrame:
-    """The five detector columns of a fare table, under their report names."""
-    return flights.select(
-        F.col("airline").alias("Airline"), F.col("route").alias("Route"),
-        F.col("Price"), F.col("Duration"), F.col("Total_stops"))
+    """The five detector columns of a fare table, under their report names
+    (plus the parsed measures when the table already stores them)."""
+    cols = [F.col("airline").alias("Airline"), F.col("route").alias("Route"),
+            F.col("Price"), F.col("Duration"), F.col("Total_stops")]
+    if all(c in flights.columns for c in PARSED):
+        cols += [F.col(c) for c in PARSED]
+    return flights.select(*cols)
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """Parse duration and stops once, then drop rows missing any measure."""
-    return (df.withColumn("duration_minutes", duration_minutes("Duration"))
-            .withColumn("stops_num", stops_num("Total_stops"))
-            .dropna(subset=list(MEASURES)))
+    """Parse duration and stops (unless already parsed at ingest), then drop
+    rows missing any measure."""
+    if not all(c in df.columns for c in PARSED):
+        df = with_parsed(df)
+    return df.dropna(subset=list(MEASURES))
 
 
 def group_stats(df: DataFrame, by: str = GROUP, measures: dict[str, str] = MEASURES) -> DataFrame:

@@ -31,7 +31,19 @@ def _alias_order(mode: str) -> list[tuple[str, str]]:
 
 def match_metric(question: Column | str, mode: str = "first") -> Column:
     """Metric key for each question, NULL when no alias occurs."""
-    q = F.lower(F.col(question) if isinstance(question, str) else question)
+    return _match_lowered(F.lower(F.col(question) if isinstance(question, str) else question), mode)
+
+
+def match_questions(df: DataFrame, col: str = "question", modes: tuple[str, ...] = ("first", "longest"),
+                    prefix: str = "metric_") -> DataFrame:
+    """Add one ``metric_<mode>`` column per mode. The lower-cased text gets its
+    own projection, so it is computed once per row, not once per alias."""
+    keep = [F.col(c) for c in df.columns]
+    staged = df.select(*keep, F.lower(F.col(col)).alias("_q"))
+    return staged.select(*keep, *[_match_lowered(F.col("_q"), m).alias(f"{prefix}{m}") for m in modes])
+
+
+def _match_lowered(q: Column, mode: str) -> Column:
     out = F.lit(None).cast("string")
     for alias, key in reversed(_alias_order(mode)):
         out = F.when(q.contains(F.lit(alias)), F.lit(key)).otherwise(out)

@@ -18,9 +18,11 @@ exactly an allowed table (no qualified names).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from farelens.functions.parsing import py_strip
+
 # Forbidden words and the allowed table set.
 FORBIDDEN = ["insert", "update", "delete", "drop", "alter", "create",
              "truncate", "grant", "attach", "pragma"]
@@ -30,8 +32,8 @@ _NAME = r"[a-zA-Z_][a-zA-Z0-9_]*"
 
 
 def _prepare(sql: Column) -> Column:
-    stripped = F.regexp_replace(sql, r"^\s+|\s+$", "")
-    return F.lower(F.regexp_replace(stripped, r";+$", ""))
+    # str.strip(), then drop trailing ';' characters, then lower-case
+    return F.lower(F.rtrim(py_strip(sql), F.lit(";")))
 
 
 def _names_allowed(names: Column, allowed: list[str]) -> Column:
@@ -39,8 +41,8 @@ def _names_allowed(names: Column, allowed: list[str]) -> Column:
     return F.size(F.array_except(names, allowed_arr)) == 0
 
 
-def screen_compat(sql: Column, allowed: list[str] = ALLOWED_TABLES) -> Column:
-    s = _prepare(sql)
+def _compat_rules(s: Column, allowed: list[str]) -> Column:
+    """Compat verdict on prepared text ``s``."""
     no_forbidden = ~F.lit(False)
     for word in FORBIDDEN + [";"]:
         no_forbidden = no_forbidden & ~s.contains(F.lit(word))
@@ -50,32 +52,65 @@ def screen_compat(sql: Column, allowed: list[str] = ALLOWED_TABLES) -> Column:
                       F.lit(False))
 
 
-def screen_strict(sql: Column, allowed: list[str] = ALLOWED_TABLES) -> Column:
-    s = _prepare(sql)
+def _blank_literals(s: Column) -> Column:
     # blank string literal bodies: 'it''s' and 'a\'b' both become ''
-    s = F.regexp_replace(s, r"'(?:[^'\\]|\\.|'')*'", "''")
+    return F.regexp_replace(s, r"'(?:[^'\\]|\\.|'')*'", "''")
+
+
+def _drop_function_from(b: Column) -> Column:
+    # FROM inside EXTRACT(.. FROM ..), TRIM(.. FROM ..), SUBSTRING(.. FROM ..)
+    return F.regexp_replace(b, r"\b(extract|trim|substring|overlay)\s*\([^()]*\)", "$1()")
+
+
+def _strict_rules(b: Column, e: Column, allowed: list[str]) -> Column:
+    """Strict verdict on blanked text ``b`` and its function-stripped body ``e``."""
     words = "|".join(FORBIDDEN + ["into"])
+    # one pass for: ';', comments, identifier quotes, forbidden words
     bad = (
-        ~s.rlike(r"^select\b")
-        | s.contains(";")
-        | s.rlike(r"--|/\*|\*/|#")          # comments
-        | s.rlike("[`\"]")                  # quoted identifiers
-        | s.rlike(rf"\b({words})\b")
-        | ((F.length(s) - F.length(F.replace(s, F.lit("'"), F.lit("")))) % 2 == 1)  # unterminated literal
+        ~(b.startswith("select") & ~F.substring(b, 7, 1).rlike("[a-z0-9_]"))
+        | b.rlike(rf";|--|/\*|\*/|#|[`\"]|\b(?:{words})\b")
+        | ((F.length(b) - F.length(F.replace(b, F.lit("'"), F.lit("")))) % 2 == 1)  # unterminated literal
     )
-    # FROM inside EXTRACT(.. FROM ..), TRIM(.. FROM ..), SUBSTRING(.. FROM ..)
-    body = F.regexp_replace(s, r"\b(extract|trim|substring|overlay)\s*\([^()]*\)", "$1()")
-    comma_join = body.rlike(rf"\bfrom\s+{_NAME}(\s+(as\s+)?{_NAME})?\s*,")
-    names = F.regexp_extract_all(body, F.lit(r"\b(?:from|join)\s+([^\s(),]+)"), F.lit(1))
-    ok = ~bad & ~comma_join & _names_allowed(names, allowed)
-    return F.coalesce(ok, F.lit(False))
+    comma_join = e.rlike(rf"\bfrom\s+{_NAME}(\s+(as\s+)?{_NAME})?\s*,")
+    names = F.regexp_extract_all(e, F.lit(r"\b(?:from|join)\s+([^\s(),]+)"), F.lit(1))
+    return F.coalesce(~bad & ~comma_join & _names_allowed(names, allowed), F.lit(False))
+
+
+def screen_compat(sql: Column, allowed: list[str] = ALLOWED_TABLES) -> Column:
+    return _compat_rules(_prepare(sql), allowed)
+
+
+def screen_strict(sql: Column, allowed: list[str] = ALLOWED_TABLES) -> Column:
+    b = _blank_literals(_prepare(sql))
+    return _strict_rules(b, _drop_function_from(b), allowed)
 
 
 def screen(sql: Column | str, mode: str = "compat", allowed: list[str] = ALLOWED_TABLES) -> Column:
-    """Boolean column: True when the statement passes the screen."""
+    """Boolean column: True when the statement passes the screen.
+
+    A single expression; over a DataFrame prefer :func:`screen_log`, which
+    computes the shared intermediate texts once per row."""
     sql = F.col(sql) if isinstance(sql, str) else sql
     if mode == "compat":
         return screen_compat(sql, allowed)
     if mode == "strict":
         return screen_strict(sql, allowed)
     raise ValueError(mode)
+
+
+def screen_log(df: DataFrame, col: str = "sql_text", allowed: list[str] = ALLOWED_TABLES) -> DataFrame:
+    """Add ``safe_compat`` and ``safe_strict`` to a log of statements.
+
+    The prepared, literal-blanked and function-stripped texts each get their
+    own projection, so every regex runs once per row rather than once per
+    rule that reads it.
+    """
+    keep = [F.col(c) for c in df.columns]
+    staged = df.select(*keep, _prepare(F.col(col)).alias("_s"))
+    staged = staged.select("*", _blank_literals(F.col("_s")).alias("_b"))
+    staged = staged.select("*", _drop_function_from(F.col("_b")).alias("_e"))
+    return staged.select(
+        *keep,
+        _compat_rules(F.col("_s"), allowed).alias("safe_compat"),
+        _strict_rules(F.col("_b"), F.col("_e"), allowed).alias("safe_strict"),
+    )

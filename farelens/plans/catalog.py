@@ -12,14 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farelens.functions.parsing import duration_minutes, stops_num
+from farelens.functions.parsing import stops_num, with_parsed
 from farelens.operators import metrics as M
 from farelens.operators import outliers as O
 from farelens.operators import profile as P
 from farelens.operators import search as Q
-from farelens.operators.questions import match_metric
+from farelens.operators.questions import match_questions
 from farelens.operators.results import chart_kind_column, sample_json
-from farelens.operators.screen import screen
+from farelens.operators.screen import screen_log
 from farelens.plans import dashboard as D
 from farelens.plans.inputs import question_log, sql_log
 from farelens.sources import flights_table
@@ -62,16 +62,11 @@ def _flags(fl: DataFrame) -> DataFrame:
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    qs = question_log(flights_table(spark, sf_dir), spark, sf_dir)
-    return qs.select("origin", "question",
-                     match_metric("question", "first").alias("metric_first"),
-                     match_metric("question", "longest").alias("metric_longest"))
+    return match_questions(question_log(flights_table(spark, sf_dir), spark, sf_dir), "question")
 
 
 def _screen(fl: DataFrame) -> DataFrame:
-    log = sql_log(fl)
-    return log.select("sql_text", screen("sql_text", "compat").alias("safe_compat"),
-                      screen("sql_text", "strict").alias("safe_strict"))
+    return screen_log(sql_log(fl), "sql_text")
 
 
 def _chart_kinds(fl: DataFrame) -> DataFrame:
@@ -120,8 +115,10 @@ QUERIES: dict[str, Query] = {
     "search_airlines": _on_flights(lambda fl: Q.search_airlines(fl, SEARCH_SOURCE, SEARCH_DESTINATION)),
     "distinct_cities": _on_flights(Q.distinct_cities),
     # text parsing
-    "parse_duration": _on_flights(lambda fl: fl.select(
-        "Duration", duration_minutes("Duration").alias("duration_minutes"))),
+    # the parse itself, run on the raw text columns (the stored table also
+    # keeps the parsed columns from ingest; these re-derive them)
+    "parse_duration": _on_flights(lambda fl: with_parsed(fl.select("Duration", "Total_stops")).select(
+        "Duration", "duration_minutes")),
     "parse_stops": _on_flights(lambda fl: fl.select(
         "Total_stops", stops_num("Total_stops").alias("stops_num"))),
     # outliers

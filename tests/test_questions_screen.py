@@ -57,3 +57,14 @@ def test_screen(spark, sql, compat, strict):
     df = spark.createDataFrame([(sql,)], "sql string")
     got = df.select(screen("sql", "compat"), screen("sql", "strict")).first()
     assert tuple(got) == (compat, strict)
+
+
+def test_staged_forms_agree(spark):
+    from farelens.operators.questions import match_questions
+    from farelens.operators.screen import screen_log
+    df = spark.createDataFrame([(s,) for s, _, _ in SCREEN], "sql_text string")
+    got = [(r["safe_compat"], r["safe_strict"]) for r in screen_log(df).collect()]
+    assert got == [(c, s) for _, c, s in SCREEN]
+    qd = spark.createDataFrame([(q,) for q, _, _ in QUESTIONS], "question string")
+    got = [(r["metric_first"], r["metric_longest"]) for r in match_questions(qd).collect()]
+    assert got == [(f, lg) for _, f, lg in QUESTIONS]
