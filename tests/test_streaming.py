@@ -1,0 +1,18 @@
+"""The frequency profile runs unchanged over a file stream."""
+
+import datetime as dt
+
+from farelens import schema as S
+from farelens.streaming import fare_stream, start_frequency
+
+
+def test_frequency_over_file_stream(spark, tmp_path):
+    src = tmp_path / "in"
+    rows = [("A", dt.date(2019, 1, 1), "X", "Y", "X-Y", "10:00:00", "12:00:00", "2h", "non-stop", 100)] * 3 \
+        + [("B", dt.date(2019, 1, 2), "X", "Y", "X-Y", "10:00:00", "12:00:00", "2h", "non-stop", 200)]
+    spark.createDataFrame(rows, S.FLIGHTS).write.parquet(str(src / "batch1"))
+    q = start_frequency(fare_stream(spark, str(src / "batch1")), S.AIRLINE, "airline_counts_test",
+                        checkpoint=str(tmp_path / "ckpt"), available_now=True)
+    q.awaitTermination(120)
+    got = {r["airline"]: r["flights"] for r in spark.table("airline_counts_test").collect()}
+    assert got == {"A": 3, "B": 1}
