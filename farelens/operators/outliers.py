@@ -152,6 +152,12 @@ def report(flagged: DataFrame, top_n: int = TOP_N) -> DataFrame:
     )
 
 
+def outlier_report(flights: DataFrame, top_n: int = TOP_N, threshold: float = Z_THRESHOLD,
+                   min_size: int = MIN_GROUP_SIZE) -> DataFrame:
+    """Fare table -> ranked report in one call (detect, then report)."""
+    return report(detect(flights, threshold, min_size), top_n)
+
+
 def severity_counts(flagged: DataFrame, top_n: int = TOP_N) -> DataFrame:
     """One row: flagged rows per severity, the uncapped total, and how many
     the capped report shows."""

@@ -5,6 +5,7 @@ from farelens.sources.flights import (
     flights_table,
     load_flights,
     materialize,
+    register_view,
 )
 
-__all__ = ["flights_from_star", "flights_table", "load_flights", "materialize"]
+__all__ = ["flights_from_star", "flights_table", "load_flights", "materialize", "register_view"]

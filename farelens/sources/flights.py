@@ -10,7 +10,6 @@ operator re-derives it (every later plan starts from a pruned parquet scan).
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,17 +144,29 @@ def materialize(df: DataFrame, path: str, sort_within: list[str] | None = None)
     return spark.read.parquet(path)
 
 
-def _input_fingerprint(sf_dir: str) -> str:
+def _input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Identify the inputs by path, size, file count and modification time,
+    through the Hadoop file system so it works for any cluster store."""
     h = hashlib.sha1(DERIVATION_VERSION.encode())
     h.update(sf_dir.encode())
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for name in STAR_TABLES:
-        p = f"{sf_dir}/{name}.parquet"
-        if os.path.exists(p):  # local inputs: include size and mtime
-            st = os.stat(p)
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            summary = fs.getContentSummary(p)
+            mtime = fs.getFileStatus(p).getModificationTime()
+            h.update(f"{name}:{summary.getLength()}:{summary.getFileCount()}:{mtime}".encode())
     return h.hexdigest()[:16]
 
 
+def register_view(df: DataFrame, name: str = "flights") -> DataFrame:
+    """Expose a fare table to SQL callers as a temporary view."""
+    df.createOrReplaceTempView(name)
+    return df
+
+
 def flights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fare table for ``sf_dir``: derived once, written, then scanned.
 
@@ -167,7 +178,7 @@ def flights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     sf_dir = sf_dir.rstrip("/")
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MEMO:
-        path = f"{scratch_root(spark)}/farelens/flights_{_input_fingerprint(sf_dir)}"
+        path = f"{scratch_root(spark)}/farelens/flights_{_input_fingerprint(spark, sf_dir)}"
         _MEMO[key] = materialize(with_parsed(flights_from_star(spark, sf_dir)), path,
                                  sort_within=[S.SOURCE, S.DESTINATION])
     return _MEMO[key]

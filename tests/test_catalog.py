@@ -44,3 +44,20 @@ def test_entry(spark):
     rows = df.collect()
     assert 0 < len(rows) <= 8
     assert df.columns[:3] == ["Airline", "Route", "Price"]
+
+
+def test_governed_sql_matches_dataframe_form(spark):
+    from farelens.sources import register_view
+    fl = flights_table(spark, SF)
+    register_view(fl, "flights")
+    for key in M.REGISTRY:
+        a = [tuple(r) for r in M.run_metric(fl, key).collect()]
+        b = [tuple(r) for r in M.run_metric_sql(spark, key).collect()]
+        assert a == b, key
+        assert M.run_metric(fl, key).columns == M.run_metric_sql(spark, key).columns
+
+
+def test_kpi_values_and_one_call_report(spark):
+    fl = flights_table(spark, SF)
+    assert M.kpi_values(fl) == (6000, 25, 250, 5450.0)
+    assert O.outlier_report(fl).count() == 8

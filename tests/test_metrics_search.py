@@ -132,3 +132,26 @@ def test_kpi_labels(spark):
 def test_distinct_cities_keeps_null(spark):
     got = Q.distinct_cities(_df(spark, [_row(src=None), _row()])).collect()
     assert ("source", None) in [tuple(r) for r in got]
+
+
+def test_metric_match_ignores_other_filters(spark):
+    # a governed match answers the global question even when the text narrows it
+    from farelens.operators.questions import answer
+    df = _df(spark, [_row(src="Delhi"), _row(src="Mumbai"), _row(src="Mumbai")])
+    a = answer(df, "how many flights from Delhi?")
+    assert a.metric_key == "total_flights" and a.data.first()[0] == 3
+    assert a.chart == "none" and a.sample.first()["record"] == '{"total_flights":3}'
+
+
+def test_summary_over_route_cheapest_over_filtered(spark):
+    rows = [_row(airline="A", price=300), _row(airline="B", price=100)]
+    df = _df(spark, rows)
+    assert Q.search_summary(df, "X", "Y").first()["cheapest_price"] == 100
+    marked = Q.search_flights(df, "X", "Y", airlines=["A"]).collect()
+    assert [(r["Price"], r["is_cheapest"]) for r in marked] == [(300, True)]
+
+
+def test_no_match_answer(spark):
+    from farelens.operators.questions import answer
+    a = answer(_df(spark, [_row()]), "Show me flights from Mumbai to Delhi under 5000")
+    assert a.metric_key is None and a.data is None
