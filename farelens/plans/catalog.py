@@ -32,6 +32,13 @@ SEARCH_AIRLINES = ["Brand#1", "Brand#12", "Brand#23"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _date_text(df: DataFrame) -> DataFrame:
+    """Search results with the travel date as ISO text (yyyy-MM-dd), the form
+    the result grid shows; keeps the result free of engine-specific date
+    conversions when it leaves Spark."""
+    return df.withColumn("Date", F.date_format("Date", "yyyy-MM-dd"))
+
+
 def _on_flights(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(flights_table(spark, sf_dir))
 
@@ -103,14 +110,14 @@ QUERIES: dict[str, Query] = {
     "avg_price_airline_chart": _on_flights(P.avg_price_airline_chart),
     "od_route": _on_flights(P.od_routes),
     # route search
-    "flight_search": _on_flights(lambda fl: Q.sort_rows(
-        Q.route_rows(fl, SEARCH_SOURCE, SEARCH_DESTINATION), "price")),
-    "flight_search_by_duration": _on_flights(lambda fl: Q.sort_rows(
-        Q.route_rows(fl, SEARCH_SOURCE, SEARCH_DESTINATION), "duration", "text")),
-    "flight_search_airlines": _on_flights(lambda fl: Q.filter_airlines(
-        Q.route_rows(fl, SEARCH_SOURCE, SEARCH_DESTINATION), SEARCH_AIRLINES)),
-    "flight_search_cheapest": _on_flights(lambda fl: Q.search_flights(
-        fl, SEARCH_SOURCE, SEARCH_DESTINATION, "price", SEARCH_AIRLINES)),
+    "flight_search": _on_flights(lambda fl: _date_text(Q.sort_rows(
+        Q.route_rows(fl, SEARCH_SOURCE, SEARCH_DESTINATION), "price"))),
+    "flight_search_by_duration": _on_flights(lambda fl: _date_text(Q.sort_rows(
+        Q.route_rows(fl, SEARCH_SOURCE, SEARCH_DESTINATION), "duration", "text"))),
+    "flight_search_airlines": _on_flights(lambda fl: _date_text(Q.filter_airlines(
+        Q.route_rows(fl, SEARCH_SOURCE, SEARCH_DESTINATION), SEARCH_AIRLINES))),
+    "flight_search_cheapest": _on_flights(lambda fl: _date_text(Q.search_flights(
+        fl, SEARCH_SOURCE, SEARCH_DESTINATION, "price", SEARCH_AIRLINES))),
     "search_summary": _on_flights(lambda fl: Q.search_summary(fl, SEARCH_SOURCE, SEARCH_DESTINATION)),
     "search_airlines": _on_flights(lambda fl: Q.search_airlines(fl, SEARCH_SOURCE, SEARCH_DESTINATION)),
     "distinct_cities": _on_flights(Q.distinct_cities),

@@ -110,7 +110,7 @@ parsed AS (
 
 _OD = "Source || ' -> ' || destination"
 _ROUTE_WHERE = f"Source = '{SEARCH_SOURCE}' AND destination = '{SEARCH_DESTINATION}'"
-_SEARCH_COLS = ("airline AS Airline, date_of_journey AS Date, route AS Route, dep_time AS Departure, "
+_SEARCH_COLS = ("airline AS Airline, strftime(date_of_journey, '%Y-%m-%d') AS Date, route AS Route, dep_time AS Departure, "
                 "Arrival_time AS Arrival, Duration, Total_stops AS Stops, Price")
 _AIRLINES_IN = ", ".join(f"'{a}'" for a in SEARCH_AIRLINES)
 
@@ -254,7 +254,7 @@ ORACLE: dict[str, str] = {
     "result_sample_json": """, r AS (SELECT airline, ROUND(AVG(Price), 0) AS avg_price FROM flights
             GROUP BY airline ORDER BY avg_price DESC, airline LIMIT 20)
         SELECT CAST(row_number() OVER (ORDER BY avg_price DESC, airline) AS INTEGER) AS rn,
-               to_json(struct_pack(airline := airline, avg_price := avg_price)) AS record FROM r""",
+               CAST(to_json(struct_pack(airline := airline, avg_price := avg_price)) AS VARCHAR) AS record FROM r""",
     "result_chart_kind": f""",
         c AS (
           SELECT 'busiest_route' AS metric_key, (SELECT COUNT(*) FROM (SELECT {_OD} AS r, COUNT(*) AS n FROM flights

@@ -29,15 +29,18 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "NaN"
-        return round(v, 9)
+    # exact comparison: floats must be bit-for-bit equal
+    if isinstance(v, float) and math.isnan(v):
+        return "NaN"
     if hasattr(v, "item"):
         return _norm(v.item())
     return v
 
 
+_SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                  "boolean": "BOOLEAN", "date": "DATE", "smallint": "SMALLINT", "float": "FLOAT"}
+
+
 def _rows(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(_norm(r[i]) for i in order) for r in rows]
@@ -51,9 +54,14 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
     s_rows = [tuple(r) for r in sdf.collect()]
     res = con.execute(oracle_sql()[name])
     d_cols = [d[0] for d in res.description]
+    d_types = {d[0]: str(d[1]) for d in res.description}
     d_rows = res.fetchall()
     if sorted(s_cols) != sorted(d_cols):
         return False, f"columns differ: spark={s_cols} duck={d_cols}"
+    s_types = {f.name: _SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in sdf.schema.fields}
+    if s_types != d_types:
+        return False, f"types differ: spark={s_types} duck={d_types}"
     if len(s_rows) != len(d_rows):
         return False, f"row count differs: spark={len(s_rows)} duck={len(d_rows)}"
     a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
