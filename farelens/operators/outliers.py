@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from farelens.functions.parsing import with_parsed
 from farelens.functions.text import RUPEE, half_even_text
+from farelens.plans.strategy import bounded_broadcast
+from farelens.session import scratch_root
 
 # Detector defaults, severity labels and display colours.
 Z_THRESHOLD = 2.0
@@ -24,6 +26,10 @@ TOP_N = 8
 SEVERITY_LABELS = {1: "Low", 2: "Medium", 3: "High"}
 SEVERITY_COLOURS = {"High": "#f8d7da", "Medium": "#fff3cd", "Low": "#d4edda"}
 
+# Per-group stats rows are small (key + 7 numbers, ~100 bytes); a million of
+# them is a ~100 MB broadcast, the most we ship to every executor.
+STATS_BROADCAST_ROWS = 1_000_000
+
 # measure column -> short name used in derived columns
 MEASURES = {"Price": "price", "duration_minutes": "duration", "stops_num": "stops"}
 GROUP = "Route"
@@ -65,9 +71,27 @@ def _safe_z(x: Column, mean: Column, sd: Column) -> Column:
     return F.coalesce(F.nanvl(z, F.lit(0.0)), F.lit(0.0))
 
 
-def group_zscores(df: DataFrame, by: str = GROUP, measures: dict[str, str] = MEASURES) -> DataFrame:
+def attachable_stats(stats: DataFrame, broadcast_max_rows: int | None = STATS_BROADCAST_ROWS) -> DataFrame:
+    """Make the per-group stats ready to join back onto the rows.
+
+    The planner cannot know how many groups an aggregate yields, so it would
+    plan a shuffle join and move every row across the network. Instead the
+    stats are computed once and checkpointed to the shared checkpoint folder
+    (cutting their lineage), their row count is read, and they are broadcast
+    only when that count is under ``broadcast_max_rows``; beyond it the join
+    stays a sort-merge join, where AQE splits hot groups. ``None`` leaves the
+    choice to the planner (for small, one-off inputs).
+    """
+    if broadcast_max_rows is None:
+        return stats
+    scratch_root(stats.sparkSession)          # make sure a checkpoint folder is set
+    return bounded_broadcast(stats.checkpoint(eager=True), broadcast_max_rows)
+
+
+def group_zscores(df: DataFrame, by: str = GROUP, measures: dict[str, str] = MEASURES,
+                  broadcast_max_rows: int | None = STATS_BROADCAST_ROWS) -> DataFrame:
     """Attach group stats and a z-score per measure to every row."""
-    stats = group_stats(df, by, measures)
+    stats = attachable_stats(group_stats(df, by, measures), broadcast_max_rows)
     out = df.where(F.col(by).isNotNull()).join(stats, by)
     for col, short in measures.items():
         out = out.withColumn(f"{short}_z", _safe_z(F.col(col), F.col(f"{short}_mean"), F.col(f"{short}_std")))
@@ -101,10 +125,11 @@ def flag_outliers(df: DataFrame, threshold: float = Z_THRESHOLD,
     return out.withColumn("highlight", colour)
 
 
-def detect(flights: DataFrame, threshold: float = Z_THRESHOLD,
-           min_size: int = MIN_GROUP_SIZE) -> DataFrame:
+def detect(flights: DataFrame, threshold: float = Z_THRESHOLD, min_size: int = MIN_GROUP_SIZE,
+           broadcast_max_rows: int | None = STATS_BROADCAST_ROWS) -> DataFrame:
     """All flagged rows of a fare table (unordered, not capped)."""
-    return flag_outliers(group_zscores(clean(outlier_input(flights))), threshold, min_size)
+    z = group_zscores(clean(outlier_input(flights)), broadcast_max_rows=broadcast_max_rows)
+    return flag_outliers(z, threshold, min_size)
 
 
 # rank order, with every remaining column as a tie-break so top-n is stable
