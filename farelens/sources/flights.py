@@ -10,6 +10,8 @@ operator re-derives it (every later plan starts from a pruned parquet scan).
 from __future__ import annotations
 
 import hashlib
+import threading
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ from farelens.session import scratch_root
 
 STAR_TABLES = ("lineitem", "orders", "customer", "supplier", "part", "nation")
 # bump when the derivation below changes, so stale materialisations are ignored
-DERIVATION_VERSION = "5"
+DERIVATION_VERSION = "6"
 
 _MEMO: dict[tuple[str, str], DataFrame] = {}
 
@@ -122,13 +124,20 @@ def flights_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _hadoop_exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def _hadoop_exists(spark: SparkSession, path: str) -> bool:
+    fs, hpath = _fs(spark, path)
     return bool(fs.exists(hpath))
 
 
+_WRITE_LOCK = threading.Lock()
+
+
 def materialize(df: DataFrame, path: str, sort_within: list[str] | None = None) -> DataFrame:
     """Write ``df`` as parquet at ``path`` (once) and return a scan of it.
 
@@ -136,11 +145,26 @@ def materialize(df: DataFrame, path: str, sort_within: list[str] | None = None)
     pruning and pushed filters instead of recomputing the joins. Sorting
     inside each output file (no extra shuffle) keeps equal keys together so
     row-group min/max statistics can skip most of a file for equality filters.
+
+    The table is written to a private temporary folder next to ``path`` and
+    renamed into place, so concurrent callers never see or clobber a partial
+    table; a failed or lost job leaves only its own temporary folder behind
+    and the next call writes again.
     """
     spark = df.sparkSession
-    if not _hadoop_exists(spark, f"{path}/_SUCCESS"):
-        out = df.sortWithinPartitions(*sort_within) if sort_within else df
-        out.write.mode("overwrite").parquet(path)
+    with _WRITE_LOCK:
+        if not _hadoop_exists(spark, f"{path}/_SUCCESS"):
+            tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+            out = df.sortWithinPartitions(*sort_within) if sort_within else df
+            out.write.mode("errorifexists").parquet(tmp)
+            fs, target = _fs(spark, path)
+            _, staged = _fs(spark, tmp)
+            parent = target.getParent()
+            if not fs.exists(parent):
+                fs.mkdirs(parent)
+            if not fs.rename(staged, target):
+                # another writer finished first; keep its table, drop ours
+                fs.delete(staged, True)
     return spark.read.parquet(path)
 
 
