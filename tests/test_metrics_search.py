@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from farelens import schema as S
 from farelens.operators import metrics as M

@@ -1,7 +1,6 @@
 """Question matching and the SQL screen."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from farelens.operators.questions import match_metric, match_question
 from farelens.operators.screen import screen
