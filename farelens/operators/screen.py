@@ -70,13 +70,26 @@ def _drop_function_from(b: Column) -> Column:
         b, r"\b(extract|trim|substring|overlay)\s*\([^()]*\)", "$1()"), b)
 
 
+def _is_word_char(c: Column) -> Column:
+    # [a-z0-9_] on one (lower-cased) character, without a regex
+    return ((c >= "a") & (c <= "z")) | ((c >= "0") & (c <= "9")) | (c == "_")
+
+
 def _strict_rules(b: Column, e: Column, allowed: list[str]) -> Column:
     """Strict verdict on blanked text ``b`` and its function-stripped body ``e``."""
-    words = "|".join(FORBIDDEN + ["into"])
-    # one pass for: ';', comments, identifier quotes, forbidden words
+    words = FORBIDDEN + ["into"]
+    # Plain substring tests first; generated AND/OR short-circuit, so the
+    # word-boundary regex only runs on rows that contain a forbidden word.
+    any_word = F.lit(False)
+    for w in words:
+        any_word = any_word | b.contains(F.lit(w))
+    marks = F.lit(False)
+    for m in [";", "--", "/*", "*/", "#", "`", '"']:  # ';', comments, quoted identifiers
+        marks = marks | b.contains(F.lit(m))
     bad = (
-        ~(b.startswith("select") & ~F.substring(b, 7, 1).rlike("[a-z0-9_]"))
-        | b.rlike(rf";|--|/\*|\*/|#|[`\"]|\b(?:{words})\b")
+        ~(b.startswith("select") & ~_is_word_char(F.substring(b, 7, 1)))
+        | marks
+        | (any_word & b.rlike(rf"\b(?:{'|'.join(words)})\b"))
         | ((F.length(b) - F.length(F.replace(b, F.lit("'"), F.lit("")))) % 2 == 1)  # unterminated literal
     )
     comma_join = e.contains(",") & e.rlike(rf"\bfrom\s+{_NAME}(\s+(as\s+)?{_NAME})?\s*,")
