@@ -45,7 +45,7 @@ def freq_airline_share(df: DataFrame) -> DataFrame:
 
 def freq_airport(df: DataFrame) -> DataFrame:
     return (frequency(df, S.SOURCE, "airport")
-            .orderBy(F.desc("flights"), F.asc("airport")))
+            .orderBy(F.desc("flights"), F.asc_nulls_last("airport")))
 
 
 def time_bucket(df: DataFrame, unit: str = "month") -> DataFrame:
@@ -70,7 +70,7 @@ def freq_year(df: DataFrame) -> DataFrame:
 def top_k(grouped: DataFrame, k: int, by: str, key: str) -> DataFrame:
     """The k largest groups; ties broken by the key so the cut is stable.
     Planned as TakeOrderedAndProject (a per-task top-k then a k-row merge)."""
-    return grouped.orderBy(F.desc(by), F.asc(key)).limit(k)
+    return grouped.orderBy(F.desc(by), F.asc_nulls_last(key)).limit(k)
 
 
 def top_routes(df: DataFrame, k: int = 10) -> DataFrame:
@@ -81,7 +81,7 @@ def avg_price_airline_chart(df: DataFrame) -> DataFrame:
     """Average price per airline (rounded), ordered by the unrounded mean."""
     return (df.groupBy(S.AIRLINE)
             .agg(F.avg(S.PRICE).alias("_mean"))
-            .orderBy(F.desc("_mean"), F.asc(S.AIRLINE))
+            .orderBy(F.desc("_mean"), F.asc_nulls_last(S.AIRLINE))
             .select(S.AIRLINE, F.round("_mean", 0).alias("avg_price")))
 
 

@@ -154,3 +154,10 @@ def test_no_match_answer(spark):
     from farelens.operators.questions import answer
     a = answer(_df(spark, [_row()]), "Show me flights from Mumbai to Delhi under 5000")
     assert a.metric_key is None and a.data is None
+
+
+def test_top1_ties_prefer_named_group_over_null(spark):
+    df = _df(spark, [_row(src=None), _row(src="B"), _row(src="A", dst="Z")])
+    top = M.run_metric(df, "busiest_airport").first()
+    assert tuple(top) == ("A", 1)          # three-way tie: key order, NULL last
+    assert tuple(M.run_metric(df, "busiest_route").first()) == ("A -> Z", 1)
