@@ -3,9 +3,10 @@
 from farelens.sources.flights import (
     flights_from_star,
     flights_table,
+    ingest_flights,
     load_flights,
     materialize,
     register_view,
 )
 
-__all__ = ["flights_from_star", "flights_table", "load_flights", "materialize", "register_view"]
+__all__ = ["flights_from_star", "flights_table", "ingest_flights", "load_flights", "materialize", "register_view"]

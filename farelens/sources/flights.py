@@ -191,6 +191,13 @@ def register_view(df: DataFrame, name: str = "flights") -> DataFrame:
     return df
 
 
+def ingest_flights(df: DataFrame, path: str) -> DataFrame:
+    """Ingest any fare table (e.g. from :func:`load_flights`): parse the text
+    columns once, write parquet at ``path`` (shared storage) and return a
+    scan of it. Later queries read numbers and prune columns."""
+    return materialize(with_parsed(df), path, sort_within=[S.SOURCE, S.DESTINATION])
+
+
 def flights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fare table for ``sf_dir``: derived once, written, then scanned.
 
@@ -203,6 +210,5 @@ def flights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MEMO:
         path = f"{scratch_root(spark)}/farelens/flights_{_input_fingerprint(spark, sf_dir)}"
-        _MEMO[key] = materialize(with_parsed(flights_from_star(spark, sf_dir)), path,
-                                 sort_within=[S.SOURCE, S.DESTINATION])
+        _MEMO[key] = ingest_flights(flights_from_star(spark, sf_dir), path)
     return _MEMO[key]

@@ -52,3 +52,11 @@ def test_star_derivation_shape(spark):
     stored = flights_table(spark, "/root/testdata/sf0.001")
     assert stored.columns == S.FLIGHT_COLUMNS + ["duration_minutes", "stops_num"]
     assert stored.count() == raw.count() == 6000
+
+
+def test_ingest_parses_once(spark, tmp_path):
+    from farelens.sources import ingest_flights
+    df = spark.createDataFrame(_rows() + [("B", dt.date(2019, 1, 2), "X", "Y", "X-Y", "10:00:00",
+                                             "13:00:00", None, "2 stops", 200)], S.FLIGHTS)
+    got = ingest_flights(df, str(tmp_path / "ing")).orderBy("airline").collect()
+    assert [(r["duration_minutes"], r["stops_num"]) for r in got] == [(120.0, 0), (None, 2)]
