@@ -61,3 +61,26 @@ def test_kpi_values_and_one_call_report(spark):
     fl = flights_table(spark, SF)
     assert M.kpi_values(fl) == (6000, 25, 250, 5450.0)
     assert O.outlier_report(fl).count() == 8
+
+
+@pytest.mark.parametrize("sf,expected", [
+    ("/root/testdata/sf0.01", dict(total=60000, routes=625, avg=5465.0, nonstop=70.9,
+                                   route=("NATION_9 -> NATION_10", 291), airport=("NATION_9", 5950),
+                                   clean=59667, sev=(3515, 305, 17, 3837))),
+    ("/root/testdata/sf0.1", dict(total=600000, routes=625, avg=5459.0, nonstop=71.1,
+                                  route=("NATION_5 -> NATION_13", 1343), airport=("NATION_23", 31138),
+                                  clean=596537, sev=(34339, 3300, 142, 37781))),
+])
+def test_fixture_values_larger_scales(spark, sf, expected):
+    if not os.path.exists(sf):
+        pytest.skip("test data not present")
+    fl = flights_table(spark, sf)
+    k = M.kpi_bundle(fl).first()
+    assert (k["total_flights"], k["total_airlines"], k["total_routes"], k["avg_price"]) == \
+        (expected["total"], 25, expected["routes"], expected["avg"])
+    assert M.scalar_metric(fl, "nonstop_rate") == expected["nonstop"]
+    assert tuple(M.run_metric(fl, "busiest_route").first()) == expected["route"]
+    assert tuple(M.run_metric(fl, "busiest_airport").first()) == expected["airport"]
+    assert O.clean(O.outlier_input(fl)).count() == expected["clean"]
+    c = O.severity_counts(O.detect(fl)).first()
+    assert (c["low"], c["medium"], c["high"], c["flagged_total"]) == expected["sev"]
