@@ -31,7 +31,8 @@ def home_counts(df: DataFrame) -> DataFrame:
         F.count_distinct(S.AIRLINE).alias("airlines_covered"),
         F.count_distinct(pair_route()).alias("unique_routes"),
         (F.count_distinct(S.SOURCE)
-         + F.max(F.col(S.SOURCE).isNull().cast("int"))).cast("bigint").alias("cities_covered"),
+         + F.coalesce(F.max(F.col(S.SOURCE).isNull().cast("int")), F.lit(0))).cast("bigint")
+        .alias("cities_covered"),
     )
 
 

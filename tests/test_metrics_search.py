@@ -161,3 +161,8 @@ def test_top1_ties_prefer_named_group_over_null(spark):
     top = M.run_metric(df, "busiest_airport").first()
     assert tuple(top) == ("A", 1)          # three-way tie: key order, NULL last
     assert tuple(M.run_metric(df, "busiest_route").first()) == ("A -> Z", 1)
+
+
+def test_home_counts_empty_table(spark):
+    got = D.home_counts(_df(spark, [])).first()
+    assert tuple(got) == (0, 0, 0, 0)
