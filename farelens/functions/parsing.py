@@ -30,6 +30,11 @@ _DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"
 PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
+# The same set as a Java regex character class, so "\s" in a rule means what
+# it means in Python (Java's \s alone is ASCII-only).
+PY_SPACE = "[" + "".join(f"\\u{ord(ch):04x}" for ch in PY_WHITESPACE) + "]"
+
+
 def py_strip(c: Column) -> Column:
     """``str.strip()``: remove leading and trailing whitespace."""
     return F.btrim(c, F.lit(PY_WHITESPACE))
@@ -41,8 +46,8 @@ def _first_int(text: Column, pattern: str) -> Column:
     return F.regexp_extract(text, pattern, 1).try_cast("bigint")
 
 
-_HOURS = r"([0-9]+)\s*h"
-_MINUTES = r"([0-9]+)\s*m"
+_HOURS = rf"([0-9]+){PY_SPACE}*h"
+_MINUTES = rf"([0-9]+){PY_SPACE}*m"
 
 
 def _combine(raw: Column, hours: Column, minutes: Column) -> Column:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelens.functions.parsing import py_strip
+from farelens.functions.parsing import PY_SPACE, py_strip
 
 # Forbidden words and the allowed table set.
 FORBIDDEN = ["insert", "update", "delete", "drop", "alter", "create",
@@ -46,8 +46,8 @@ def _compat_rules(s: Column, allowed: list[str]) -> Column:
     no_forbidden = ~F.lit(False)
     for word in FORBIDDEN + [";"]:
         no_forbidden = no_forbidden & ~s.contains(F.lit(word))
-    names = F.array_union(F.regexp_extract_all(s, F.lit(rf"from\s+({_NAME})"), F.lit(1)),
-                          _if_contains(s, "join", F.regexp_extract_all(s, F.lit(rf"join\s+({_NAME})"), F.lit(1)),
+    names = F.array_union(F.regexp_extract_all(s, F.lit(rf"from{PY_SPACE}+({_NAME})"), F.lit(1)),
+                          _if_contains(s, "join", F.regexp_extract_all(s, F.lit(rf"join{PY_SPACE}+({_NAME})"), F.lit(1)),
                                        F.array().cast("array<string>")))
     return F.coalesce(s.startswith("select") & no_forbidden & _names_allowed(names, allowed),
                       F.lit(False))
