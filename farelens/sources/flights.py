@@ -10,6 +10,8 @@ operator re-derives it (every later plan starts from a pruned parquet scan).
 from __future__ import annotations
 
 import hashlib
+import inspect
+import sys
 import threading
 import uuid
 
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelens import schema as S
+from farelens.functions import parsing
 from farelens.functions.parsing import with_parsed
 from farelens.plans.strategy import bounded_broadcast
 from farelens.session import scratch_root
@@ -173,6 +176,9 @@ def _input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
     through the Hadoop file system so it works for any cluster store."""
     h = hashlib.sha1(DERIVATION_VERSION.encode())
     h.update(sf_dir.encode())
+    # the derivation and parsing code itself: any change to it makes a new table
+    for module in (sys.modules[__name__], parsing):
+        h.update(inspect.getsource(module).encode())
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for name in STAR_TABLES:
