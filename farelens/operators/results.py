@@ -30,7 +30,7 @@ def chart_kind_column(df: DataFrame) -> DataFrame:
     for at most 15 rows; ``line`` otherwise. At most 16 rows are counted."""
     if len(df.columns) < 2 or not isinstance(df.schema.fields[1].dataType, _NUMERIC):
         # decided by the schema alone: no need to compute the result
-        return df.sparkSession.range(1).select(F.lit("none").alias("chart_kind"))
+        return df.sparkSession.range(1, numPartitions=1).select(F.lit("none").alias("chart_kind"))
     n = F.count(F.lit(1))
     kind = (F.when(n == 0, F.lit("none"))
             .when(n <= BAR_MAX_ROWS, F.lit("bar"))
