@@ -84,3 +84,18 @@ def test_fixture_values_larger_scales(spark, sf, expected):
     assert O.clean(O.outlier_input(fl)).count() == expected["clean"]
     c = O.severity_counts(O.detect(fl)).first()
     assert (c["low"], c["medium"], c["high"], c["flagged_total"]) == expected["sev"]
+
+
+def test_outlier_shuffle_join_fallback_matches_broadcast_path(spark):
+    """Above the stats bound the join is a sort-merge join; same answer."""
+    fl = flights_table(spark, SF)
+    want = sorted(tuple(r) for r in O.detect(fl).select("Airline", "Route", "Price", "severity_score").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        forced = O.detect(fl, broadcast_max_rows=1)           # 250 routes > 1: no broadcast
+        plan = forced._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        got = sorted(tuple(r) for r in forced.select("Airline", "Route", "Price", "severity_score").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want and len(got) == 463
