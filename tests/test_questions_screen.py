@@ -48,6 +48,15 @@ SCREEN = [
     ("SELECT * FROM flights INTO OUTFILE '/tmp/x'", True, False),
     ("  select * from flights ;  ", True, True),
     (None, False, False),
+    ("SELECT * FROM flights WHERE note = 'a;b'", False, True),
+    ("SELECT * FROM flights f JOIN flights g ON f.x = g.x", True, True),
+    ("SELECT * FROM flights AS f, users u", True, False),
+    ("SELECT a FROM flights WHERE b IN (SELECT c FROM users)", False, False),
+    ("SELECT TRIM(LEADING 'x' FROM airline) FROM flights", False, True),
+    ("SELECT * FROM flights WHERE a = 'it''s'", True, True),
+    ("SELECT * FROM flights WHERE a = 'unterminated", True, False),
+    ("SELECT * FROM flights # comment", True, False),
+    ("SELECTED * FROM flights", True, False),
 ]
 
 
