@@ -24,13 +24,19 @@ CHEAPEST_COLOUR = "#d4edda"
 _OUT = [out for _, out in SEARCH_COLUMNS]
 
 
-def _route_filter(source: str, destination: str) -> Column:
-    return (F.col(S.SOURCE) == F.lit(source)) & (F.col(S.DESTINATION) == F.lit(destination))
-
-
-def route_rows(df: DataFrame, source: str, destination: str) -> DataFrame:
-    """All flights from ``source`` to ``destination``, search-page columns."""
-    return (df.where(_route_filter(source, destination))
+def _route_filter(source: str, destination: str, ignore_case: bool = False) -> Column:
+    src, dst = F.col(S.SOURCE), F.col(S.DESTINATION)
+    if ignore_case:
+        # case-insensitive comparison through a collation (binary is the default)
+        src, dst = F.collate(src, "UTF8_LCASE"), F.collate(dst, "UTF8_LCASE")
+    return (src == F.lit(source)) & (dst == F.lit(destination))
+
+
+def route_rows(df: DataFrame, source: str, destination: str, ignore_case: bool = False) -> DataFrame:
+    """All flights from ``source`` to ``destination``, search-page columns.
+    ``ignore_case=True`` matches city names case-insensitively (such filters
+    are evaluated after the scan rather than pushed into it)."""
+    return (df.where(_route_filter(source, destination, ignore_case))
             .select([F.col(c).alias(o) for c, o in SEARCH_COLUMNS]))
 
 
@@ -73,16 +79,17 @@ def mark_cheapest(rows: DataFrame, price: str = "Price") -> DataFrame:
 
 
 def search_flights(df: DataFrame, source: str, destination: str, sort: str = "price",
-                   airlines: list[str] | None = None, duration_order: str = "text") -> DataFrame:
+                   airlines: list[str] | None = None, duration_order: str = "text",
+                   ignore_case: bool = False) -> DataFrame:
     """The search page: route filter -> sort -> airline filter -> cheapest."""
-    rows = filter_airlines(route_rows(df, source, destination), airlines)
+    rows = filter_airlines(route_rows(df, source, destination, ignore_case), airlines)
     return sort_rows(mark_cheapest(rows), sort, duration_order)
 
 
-def search_summary(df: DataFrame, source: str, destination: str) -> DataFrame:
+def search_summary(df: DataFrame, source: str, destination: str, ignore_case: bool = False) -> DataFrame:
     """Row count and cheapest price over the whole route (before any airline
     filter), plus the banner text."""
-    agg = (df.where(_route_filter(source, destination))
+    agg = (df.where(_route_filter(source, destination, ignore_case))
            .agg(F.count(F.lit(1)).alias("flights_found"),
                 F.min(S.PRICE).alias("cheapest_price")))
     banner = F.when(

@@ -166,3 +166,12 @@ def test_top1_ties_prefer_named_group_over_null(spark):
 def test_home_counts_empty_table(spark):
     got = D.home_counts(_df(spark, [])).first()
     assert tuple(got) == (0, 0, 0, 0)
+
+
+def test_search_ignore_case(spark):
+    df = _df(spark, [_row(src="Delhi", dst="Mumbai", price=100), _row(src="DELHI", dst="mumbai", price=90)])
+    assert Q.route_rows(df, "delhi", "MUMBAI").count() == 0
+    assert Q.route_rows(df, "delhi", "MUMBAI", ignore_case=True).count() == 2
+    assert Q.search_summary(df, "Delhi", "Mumbai", ignore_case=True).first()["cheapest_price"] == 90
+    marked = Q.search_flights(df, "delhi", "mumbai", ignore_case=True).collect()
+    assert [(r["Price"], r["is_cheapest"]) for r in marked] == [(90, True), (100, False)]
