@@ -3,7 +3,7 @@ the same rules, on many random strings (one Spark job per batch)."""
 
 import re
 
-from hypothesis import given, settings
+from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -92,3 +92,68 @@ def test_stops_match_rules(spark, values):
 def test_compat_screen_matches_rules(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "sql string")
     assert [r[0] for r in df.select(screen("sql", "compat")).collect()] == [py_compat(v) for v in values]
+
+
+# --- question matching: column form == driver-side form -------------------
+
+_FRAGMENTS = ["what is the ", "AVERAGE PRICE", " per airline", "how many flights", " busiest ", "route",
+              "airport", "non-stop rate", "% non-stop", "number of routes", "cheapest flight by route",
+              "mean price", " from Delhi", "?", "price by airline", "total airlines"]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_FRAGMENTS), max_size=5).map("".join), min_size=1, max_size=30))
+def test_question_match_column_equals_driver_rule(spark, questions):
+    from farelens.operators.questions import match_question, match_questions
+    df = spark.createDataFrame([(q,) for q in questions], "question string")
+    got = [(r["metric_first"], r["metric_longest"]) for r in match_questions(df).collect()]
+    assert got == [(match_question(q, "first"), match_question(q, "longest")) for q in questions]
+
+
+# --- outliers: Spark chain == numpy brute force -----------------------------
+
+_group_rows = st.lists(
+    st.tuples(st.sampled_from(["R1", "R2", "R3", None]),
+              st.one_of(st.none(), st.integers(100, 110), st.just(5000)),
+              st.sampled_from(["1h", "1h 5m", "2h", "9h", None, "x"]),
+              st.sampled_from(["non-stop", "1 stop", "2 stops", None])),
+    min_size=0, max_size=40)
+
+
+def _brute_force(rows, threshold, min_size):
+    import math
+
+    import numpy as np
+    clean = []
+    for route, price, dur, stops in rows:
+        d, s = py_duration(dur), py_stops(stops)
+        if price is None or d is None or s is None or route is None:
+            continue
+        clean.append((route, float(price), d, float(s)))
+    flagged = []
+    for route in sorted({r[0] for r in clean}):
+        grp = [r for r in clean if r[0] == route]
+        if len(grp) < min_size:
+            continue
+        cols = np.array([[g[1], g[2], g[3]] for g in grp])
+        mean = cols.mean(axis=0)
+        std = cols.std(axis=0, ddof=1) if len(grp) > 1 else np.array([math.nan] * 3)
+        for g, row in zip(grp, cols):
+            z = [(row[i] - mean[i]) / std[i] if std[i] and not math.isnan(std[i]) else 0.0 for i in range(3)]
+            # a z within rounding distance of the threshold can fall either way
+            assume(all(abs(abs(v) - threshold) > 1e-9 for v in z))
+            score = sum(abs(v) > threshold for v in z)
+            if score >= 1:
+                flagged.append((route, g[1], score))
+    return sorted(flagged)
+
+
+@settings(max_examples=20, deadline=None)
+@given(_group_rows, st.sampled_from([1.0, 1.5, 2.0]), st.sampled_from([1, 2, 5]))
+def test_outliers_match_brute_force(spark, rows, threshold, min_size):
+    from farelens.operators import outliers as O
+    from farelens.schema import OUTLIER_INPUT
+    df = spark.createDataFrame([("A", r, p, d, s) for r, p, d, s in rows], OUTLIER_INPUT)
+    flagged = O.flag_outliers(O.group_zscores(O.clean(df), broadcast_max_rows=None), threshold, min_size)
+    got = sorted((r["Route"], float(r["Price"]), r["severity_score"]) for r in flagged.collect())
+    assert got == _brute_force(rows, threshold, min_size)
