@@ -1,12 +1,13 @@
 """Per-group outlier detection with severity scoring and a ranked report.
 
-Plan shape (see README "Outlier plan"): parse the two text columns once,
-drop incomplete rows, aggregate mean / sample std / size per group (partial
-aggregation before the shuffle, so a hot group costs one row per task), then
-join those per-group rows back. The stats side has one row per group; AQE
-measures it and broadcasts it when it is small, otherwise the join stays a
-sort-merge join with skew splitting. No per-group window, so no single task
-ever holds a whole group.
+Plan shape (README, "Designed for scale"): the text columns are parsed once
+(at ingest when the table stores the parsed columns), incomplete rows are
+dropped, mean / sample std / size are aggregated per group (partial
+aggregation before the shuffle, so a hot group costs one row per task), and
+those per-group rows are joined back. The stats are checkpointed and counted;
+under a fixed row bound they are broadcast and the rows are never shuffled,
+above it the join is a sort-merge join whose skewed groups AQE splits. No
+per-group window, so no single task ever holds a whole group.
 """
 
 from __future__ import annotations
