@@ -109,6 +109,8 @@ QUERIES: dict[str, Query] = {
     "top_routes": _on_flights(P.top_routes),
     "avg_price_airline_chart": _on_flights(P.avg_price_airline_chart),
     "od_route": _on_flights(P.od_routes),
+    # the whole analytics page from one scan (grouping sets)
+    "dashboard_feeds": _on_flights(D.dashboard_feeds),
     # route search
     "flight_search": _on_flights(lambda fl: _date_text(Q.sort_rows(
         Q.route_rows(fl, SEARCH_SOURCE, SEARCH_DESTINATION), "price"))),

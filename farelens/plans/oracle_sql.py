@@ -190,6 +190,16 @@ ORACLE: dict[str, str] = {
     "avg_price_airline_chart": """SELECT airline, ROUND(AVG(Price), 0) AS avg_price FROM flights
         GROUP BY airline ORDER BY AVG(Price) DESC""",
     "od_route": f"SELECT DISTINCT Source, destination, {_OD} AS od_route FROM flights",
+    "dashboard_feeds": """, keyed AS (
+            SELECT airline AS k1, Source AS k2, strftime(date_of_journey, '%Y-%m') AS k3,
+                   CAST(year(date_of_journey) AS VARCHAR) AS k4, Source || ' → ' || destination AS k5,
+                   Source || destination AS k6, Price FROM flights)
+        SELECT CASE GROUPING(k1, k2, k3, k4, k5, k6)
+                 WHEN 31 THEN 'airline' WHEN 47 THEN 'airport' WHEN 55 THEN 'month'
+                 WHEN 59 THEN 'year' WHEN 61 THEN 'od_route' WHEN 62 THEN 'pair_route' ELSE 'all' END AS feed,
+               COALESCE(k1, k2, k3, k4, k5, k6) AS key, COUNT(*) AS flights,
+               CAST(SUM(Price) AS BIGINT) AS price_sum, COUNT(Price) AS price_n
+        FROM keyed GROUP BY GROUPING SETS ((k1), (k2), (k3), (k4), (k5), (k6), ())""",
     "flight_search": f"SELECT {_SEARCH_COLS} FROM flights WHERE {_ROUTE_WHERE} ORDER BY Price",
     "flight_search_by_duration": f"SELECT {_SEARCH_COLS} FROM flights WHERE {_ROUTE_WHERE} ORDER BY Duration",
     "flight_search_airlines": f"""SELECT {_SEARCH_COLS} FROM flights

@@ -99,3 +99,21 @@ def test_outlier_shuffle_join_fallback_matches_broadcast_path(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == want and len(got) == 463
+
+
+def test_one_pass_dashboard_equals_independent_plans(spark):
+    from farelens.plans.dashboard import dashboard
+    fl = flights_table(spark, SF)
+    one, many = dashboard(fl, one_pass=True), dashboard(fl, one_pass=False)
+    assert set(one) == set(many)
+    for name in one:
+        a = [tuple(r) for r in one[name].collect()]
+        b = [tuple(r) for r in many[name].collect()]
+        assert one[name].columns == many[name].columns, name
+        if name == "flights_per_airline":      # the only unordered feed
+            a, b = sorted(a), sorted(b)
+        assert a == b, name
+    # one scan of the fact table feeds the whole page
+    plan = fl.sparkSession.sparkContext._jvm.PythonSQLUtils.explainString(
+        __import__("farelens.plans.dashboard", fromlist=["x"]).dashboard_feeds(fl)._jdf.queryExecution(), "simple")
+    assert plan.count("FileScan") == 1 and "Expand" in plan

@@ -175,3 +175,14 @@ def test_search_ignore_case(spark):
     assert Q.search_summary(df, "Delhi", "Mumbai", ignore_case=True).first()["cheapest_price"] == 90
     marked = Q.search_flights(df, "delhi", "mumbai", ignore_case=True).collect()
     assert [(r["Price"], r["is_cheapest"]) for r in marked] == [(90, True), (100, False)]
+
+
+def test_one_pass_dashboard_with_null_keys(spark):
+    rows = [_row(airline=None, src=None), _row(airline="A"), _row(airline="A", src="Z", price=300),
+            _row(airline="B", dst=None, price=None)]
+    df = _df(spark, rows)
+    one, many = D.dashboard(df, one_pass=True), D.dashboard(df, one_pass=False)
+    for name in one:
+        a = sorted((tuple(r) for r in one[name].collect()), key=str)
+        b = sorted((tuple(r) for r in many[name].collect()), key=str)
+        assert a == b, name
