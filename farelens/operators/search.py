@@ -73,9 +73,10 @@ def mark_cheapest(rows: DataFrame, price: str = "Price") -> DataFrame:
     flagged) and add its highlight colour. The minimum is a scalar subquery,
     computed by its own partial/final aggregate and inlined as a literal."""
     low = rows.select(F.min(price)).scalar()
-    cheapest = F.coalesce(F.col(price) == low, F.lit(False))
-    return (rows.withColumn("is_cheapest", cheapest)
-            .withColumn("highlight", F.when(cheapest, F.lit(CHEAPEST_COLOUR)).otherwise(F.lit(""))))
+    marked = rows.withColumn("is_cheapest", F.coalesce(F.col(price) == low, F.lit(False)))
+    # read the flag column (not the expression again), so the subquery runs once
+    return marked.withColumn(
+        "highlight", F.when(F.col("is_cheapest"), F.lit(CHEAPEST_COLOUR)).otherwise(F.lit("")))
 
 
 def search_flights(df: DataFrame, source: str, destination: str, sort: str = "price",
@@ -108,6 +109,11 @@ def search_airlines(df: DataFrame, source: str, destination: str) -> DataFrame:
 def distinct_cities(df: DataFrame) -> DataFrame:
     """Option lists for the search page: distinct sources and destinations
     (a NULL is kept as its own value), alphabetical."""
-    src = df.select(F.lit("source").alias("side"), F.col(S.SOURCE).alias("city")).distinct()
-    dst = df.select(F.lit("destination").alias("side"), F.col(S.DESTINATION).alias("city")).distinct()
-    return src.unionByName(dst).orderBy("side", F.asc_nulls_last("city"))
+    # one scan: each row yields its two (side, city) pairs, then one distinct
+    # (partial aggregation before the shuffle)
+    pairs = F.explode(F.array(
+        F.struct(F.lit("source").alias("side"), F.col(S.SOURCE).alias("city")),
+        F.struct(F.lit("destination").alias("side"), F.col(S.DESTINATION).alias("city")),
+    )).alias("p")
+    return (df.select(pairs).select("p.side", "p.city").distinct()
+            .orderBy("side", F.asc_nulls_last("city")))
