@@ -184,6 +184,16 @@ def outlier_report(flights: DataFrame, top_n: int = TOP_N, threshold: float = Z_
     return report(detect(flights, threshold, min_size), top_n)
 
 
+def outlier_alerts(flights: DataFrame, top_n: int = TOP_N, threshold: float = Z_THRESHOLD,
+                   min_size: int = MIN_GROUP_SIZE) -> dict[str, DataFrame]:
+    """The alerts page: ranked report, per-severity counts and the narrative
+    for every flagged row, all from one detection (the per-route stats are
+    computed and checkpointed once and shared by the three results)."""
+    flagged = detect(flights, threshold, min_size)
+    return {"report": report(flagged, top_n), "counts": severity_counts(flagged, top_n),
+            "narrative": with_narrative(flagged).select("Airline", "Route", "Price", "Severity", "explanation")}
+
+
 def severity_counts(flagged: DataFrame, top_n: int = TOP_N) -> DataFrame:
     """One row: flagged rows per severity, the uncapped total, and how many
     the capped report shows."""
