@@ -83,7 +83,10 @@ def flights_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     src_nation = nation.select(F.col("n_nationkey").alias("_src_key"), F.col("n_name").alias(S.SOURCE))
     dst_nation = nation.select(F.col("n_nationkey").alias("_dst_key"), F.col("n_name").alias(S.DESTINATION))
     rows = (
-        li.join(order_nation, F.col("l_orderkey") == F.col("o_orderkey"))
+        # fact x order: a large-large join at any real size, so always a
+        # sort-merge join; without the hint a small test input can get the
+        # fact table broadcast and the whole derivation run in one task
+        li.join(order_nation.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(src_nation, F.col("s_nationkey") == F.col("_src_key"))
