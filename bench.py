@@ -4,10 +4,10 @@ Runs on local[$BENCH_CPUS] over $BENCH_SF_DIR (default /root/testdata/sf0.1).
 The fare table is derived from the star schema and written once
 ("build_flights", timed on its own); each query is then built and run to
 completion with the no-op sink, so the full result is computed on the
-executors and nothing is collected. Each query runs $BENCH_RUNS times
-(default 2); "queries" holds the best run, "cold_queries" the first run
-(which also pays JIT compilation). "value" is the sum of the best runs plus
-the derivation. Prints one JSON line.
+executors and nothing is collected. The derivation and each query run
+$BENCH_RUNS times (default 2); "queries" holds the best run, "cold_queries"
+the first run (which also pays JIT compilation). "value" is the sum of the
+best runs plus the one-off materialisation. Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -37,18 +37,25 @@ def main() -> None:
     # JVM warm-up on generated numbers (not timed, touches no input)
     spark.range(2_000_000).selectExpr("sum(id % 7)", "count(distinct id % 1000)").collect()
 
+    runs = max(1, int(os.environ.get("BENCH_RUNS", "2")))
+    cold: dict[str, float] = {}
+
     # the star-schema derivation, computed in full (timed even when a
     # materialised copy from an earlier run exists) ...
-    t0 = time.perf_counter()
-    flights_from_star(spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times["build_flights"] = round(time.perf_counter() - t0, 3)
+    best = None
+    for i in range(runs):
+        t0 = time.perf_counter()
+        flights_from_star(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        took = time.perf_counter() - t0
+        if i == 0:
+            cold["build_flights"] = round(took, 3)
+        best = took if best is None else min(best, took)
+    times["build_flights"] = round(best, 3)
     # ... and the written table (near zero when an earlier run left it)
     t0 = time.perf_counter()
     flights_table(spark, sf_dir)
     times["materialize_flights"] = round(time.perf_counter() - t0, 3)
 
-    runs = max(1, int(os.environ.get("BENCH_RUNS", "2")))
-    cold: dict[str, float] = {}
     for name, q in QUERIES.items():
         best = None
         for i in range(runs):
@@ -68,7 +75,7 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "cold_queries": cold,
-        "cold_total": round(sum(cold.values()) + times["build_flights"] + times["materialize_flights"], 3),
+        "cold_total": round(sum(cold.values()) + times["materialize_flights"], 3),
         "runs": runs,
         "headline_seconds": round(sum(times[n] for n in HEADLINE), 3),
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
