@@ -236,9 +236,12 @@ def ingest_flights(df: DataFrame, path: str, partitions: int | None = None) -> D
     """Ingest any fare table (e.g. from :func:`load_flights`): parse the text
     columns once, write route-clustered parquet at ``path`` (shared storage)
     and return a scan of it. Later queries read numbers and prune columns.
-    ``partitions`` defaults to one file per 256 MB of the input files."""
+    ``partitions`` defaults to one file per 256 MB of input, taken from the
+    planner's size estimate (for a file scan: the listed file sizes, with no
+    extra file-system calls)."""
     if partitions is None:
-        partitions = file_count(df.sparkSession, _bytes_under(df.sparkSession, df.inputFiles()))
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        partitions = file_count(df.sparkSession, size)
     return materialize(with_parsed(df), path, sort_within=[S.SOURCE, S.DESTINATION],
                        cluster_by=CLUSTER_COLUMNS, partitions=partitions)
 
