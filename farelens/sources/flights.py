@@ -215,6 +215,7 @@ def register_view(df: DataFrame, name: str = "flights") -> DataFrame:
 # Layout of a written fare table: route-clustered files of about this size.
 TARGET_FILE_BYTES = 256 * 1024 * 1024
 CLUSTER_COLUMNS = [S.SOURCE, S.DESTINATION, S.DATE, S.AIRLINE, S.PRICE]
+UNKNOWN_SIZE = 1 << 50          # 1 PiB: estimates at or above this are "unknown"
 
 
 def _bytes_under(spark: SparkSession, paths: list[str]) -> int:
@@ -241,7 +242,9 @@ def ingest_flights(df: DataFrame, path: str, partitions: int | None = None) -> D
     extra file-system calls)."""
     if partitions is None:
         size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        partitions = file_count(df.sparkSession, size)
+        # an unknown size is reported as a huge default: then let
+        # spark.sql.shuffle.partitions (and AQE) decide
+        partitions = file_count(df.sparkSession, size) if size < UNKNOWN_SIZE else None
     return materialize(with_parsed(df), path, sort_within=[S.SOURCE, S.DESTINATION],
                        cluster_by=CLUSTER_COLUMNS, partitions=partitions)
 
