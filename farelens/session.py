@@ -36,6 +36,9 @@ def build_session(cpus: int | str = "*", app: str = "farelens",
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # checkpoint files of short-lived results (per-route stats) are removed
+        # once their DataFrame is garbage-collected
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "16g")
     )
     for k, v in (extra or {}).items():
