@@ -59,6 +59,35 @@ def match_question(question: str, mode: str = "first") -> str | None:
     return None
 
 
+def metric_answers(flights: DataFrame) -> DataFrame:
+    """(metric_key, answer): each governed metric's result as a JSON array of
+    at most 20 records, in the result's order. One row per registered metric,
+    so its size is fixed by the registry, not by the data."""
+    parts = []
+    for key in REGISTRY:
+        sample = sample_json(run_metric(flights, key))
+        ordered = F.array_sort(F.collect_list(F.struct("rn", "record")))
+        text = F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["record"]), ","), F.lit("]"))
+        parts.append(sample.agg(text.alias("answer")).select(F.lit(key).alias("metric_key"), "answer"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def answer_questions(questions: DataFrame, flights: DataFrame, col: str = "question",
+                     mode: str = "first") -> DataFrame:
+    """Bulk governed answers: every question gets its matched metric key and
+    that metric's answer (NULL when nothing matches). The answers table has
+    one row per registered metric, a bound known before running, so it is
+    broadcast and the question log is never shuffled."""
+    matched = match_questions(questions, col, modes=(mode,))
+    answers = F.broadcast(metric_answers(flights))
+    key = f"metric_{mode}"
+    return (matched.join(answers, matched[key] == answers["metric_key"], "left")
+            .drop("metric_key"))
+
+
 @dataclass
 class Answer:
     question: str

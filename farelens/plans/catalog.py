@@ -17,7 +17,7 @@ from farelens.operators import metrics as M
 from farelens.operators import outliers as O
 from farelens.operators import profile as P
 from farelens.operators import search as Q
-from farelens.operators.questions import match_questions
+from farelens.operators.questions import answer_questions, match_questions
 from farelens.operators.results import chart_kind_column, sample_json
 from farelens.operators.screen import screen_log
 from farelens.plans import dashboard as D
@@ -72,6 +72,11 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_questions(question_log(flights_table(spark, sf_dir), spark, sf_dir), "question")
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fl = flights_table(spark, sf_dir)
+    return answer_questions(question_log(fl, spark, sf_dir), fl, "question", "first")
+
+
 def _screen(fl: DataFrame) -> DataFrame:
     return screen_log(sql_log(fl), "sql_text")
 
@@ -141,6 +146,7 @@ QUERIES: dict[str, Query] = {
         "Airline", "Route", "Price", "Severity", "explanation")),
     # questions, screening, result helpers
     "question_metric_match": _questions,
+    "question_answers": _answers,
     "query_log_screen": _on_flights(_screen),
     "result_sample_json": _on_flights(lambda fl: sample_json(M.run_metric(fl, "avg_price_by_airline"))),
     "result_chart_kind": _on_flights(_chart_kinds),

@@ -253,6 +253,40 @@ ORACLE: dict[str, str] = {
             SELECT 'conversation', text FROM conversations WHERE role = 'user')
         SELECT origin, question, {_match_sql('first')} AS metric_first,
                {_match_sql('longest')} AS metric_longest FROM questions""",
+    "question_answers": f""", questions AS (
+            SELECT 'flight' AS origin, {_fill_sql(QUESTION_TEMPLATES)} AS question FROM flights
+            UNION ALL
+            SELECT 'conversation', text FROM conversations WHERE role = 'user'),
+        matched AS (SELECT origin, question, {_match_sql('first')} AS metric_first FROM questions),
+        answers AS (
+          SELECT 'total_flights' AS metric_key,
+                 '[' || CAST(to_json(struct_pack(total_flights := COUNT(*))) AS VARCHAR) || ']' AS answer FROM flights
+          UNION ALL SELECT 'total_airlines',
+                 '[' || CAST(to_json(struct_pack(total_airlines := COUNT(DISTINCT airline))) AS VARCHAR) || ']' FROM flights
+          UNION ALL SELECT 'total_routes',
+                 '[' || CAST(to_json(struct_pack(total_routes := COUNT(DISTINCT Source || destination))) AS VARCHAR)
+                 || ']' FROM flights
+          UNION ALL SELECT 'avg_price',
+                 '[' || CAST(to_json(struct_pack(avg_price := ROUND(AVG(Price), 0))) AS VARCHAR) || ']' FROM flights
+          UNION ALL SELECT 'nonstop_rate',
+                 '[' || CAST(to_json(struct_pack(nonstop_rate := CAST((2000 * SUM(CASE WHEN Total_stops = 'non-stop'
+                   THEN 1 ELSE 0 END) + COUNT(*)) // (2 * COUNT(*)) AS DOUBLE) / 10)) AS VARCHAR) || ']' FROM flights
+          UNION ALL SELECT 'busiest_route', '[' || string_agg(CAST(to_json(struct_pack(od_route := r, flights := n))
+                   AS VARCHAR), ',' ORDER BY n DESC, r NULLS LAST) || ']'
+                 FROM (SELECT {_OD} AS r, COUNT(*) AS n FROM flights GROUP BY 1 ORDER BY n DESC, r NULLS LAST LIMIT 1)
+          UNION ALL SELECT 'busiest_airport', '[' || string_agg(CAST(to_json(struct_pack(airport := a, flights := n))
+                   AS VARCHAR), ',' ORDER BY n DESC, a NULLS LAST) || ']'
+                 FROM (SELECT Source AS a, COUNT(*) AS n FROM flights GROUP BY 1 ORDER BY n DESC, a NULLS LAST LIMIT 1)
+          UNION ALL SELECT 'avg_price_by_airline', '[' || string_agg(CAST(to_json(struct_pack(airline := a,
+                   avg_price := p)) AS VARCHAR), ',' ORDER BY p DESC, a NULLS LAST) || ']'
+                 FROM (SELECT airline AS a, ROUND(AVG(Price), 0) AS p FROM flights GROUP BY 1
+                       ORDER BY p DESC, a NULLS LAST LIMIT 20)
+          UNION ALL SELECT 'cheapest_flight_by_route', '[' || string_agg(CAST(to_json(struct_pack(od_route := r,
+                   cheapest_price := c)) AS VARCHAR), ',' ORDER BY c, r NULLS LAST) || ']'
+                 FROM (SELECT {_OD} AS r, MIN(Price) AS c FROM flights GROUP BY 1
+                       ORDER BY c NULLS LAST, r NULLS LAST LIMIT 20))
+        SELECT m.origin, m.question, m.metric_first, a.answer
+        FROM matched m LEFT JOIN answers a ON m.metric_first = a.metric_key""",
     "query_log_screen": f""", logged AS (SELECT {_fill_sql(SQL_TEMPLATES)} AS sql_text FROM flights),
         prepared AS (SELECT sql_text,
             lower(regexp_replace(regexp_replace(sql_text, '^\\s+|\\s+$', '', 'g'), ';+$', '')) AS s FROM logged),

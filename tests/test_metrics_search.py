@@ -186,3 +186,16 @@ def test_one_pass_dashboard_with_null_keys(spark):
         a = sorted((tuple(r) for r in one[name].collect()), key=str)
         b = sorted((tuple(r) for r in many[name].collect()), key=str)
         assert a == b, name
+
+
+def test_bulk_answers(spark):
+    import json as _json
+    from farelens.operators.questions import answer_questions
+    df = _df(spark, [_row(price=100), _row(price=201), _row(airline="B", src="Z", price=50)])
+    qs = spark.createDataFrame([("what is the average price?",), ("busiest route please",), ("hello",)],
+                               "question string")
+    got = {r["question"]: (r["metric_first"], r["answer"]) for r in answer_questions(qs, df).collect()}
+    assert got["hello"] == (None, None)
+    assert got["what is the average price?"] == ("avg_price", '[{"avg_price":117.0}]')
+    key, ans = got["busiest route please"]
+    assert key == "busiest_route" and _json.loads(ans) == [{"od_route": "X -> Y", "flights": 2}]
