@@ -117,3 +117,22 @@ def test_one_pass_dashboard_equals_independent_plans(spark):
     plan = fl.sparkSession.sparkContext._jvm.PythonSQLUtils.explainString(
         __import__("farelens.plans.dashboard", fromlist=["x"]).dashboard_feeds(fl)._jdf.queryExecution(), "simple")
     assert plan.count("FileScan") == 1 and "Expand" in plan
+
+
+def test_queries_hold_under_other_session_settings(spark):
+    """Same answers with AQE off, ANSI off, no automatic broadcasts and a
+    non-UTC session time zone."""
+    from oracle_compare import compare, duck
+    from __spark_entry__ import queries
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.ansi.enabled": "false",
+            "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.session.timeZone": "America/Los_Angeles"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        con = duck(SF)
+        bad = [(n, m) for n in queries() for ok, m in [compare(spark, con, n, SF)] if not ok]
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert not bad
