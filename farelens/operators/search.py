@@ -40,6 +40,14 @@ def route_rows(df: DataFrame, source: str, destination: str, ignore_case: bool =
             .select([F.col(c).alias(o) for c, o in SEARCH_COLUMNS]))
 
 
+def route_rows_sql(spark, source: str, destination: str, view: str = "flights") -> DataFrame:
+    """The route search as SQL text over a registered view, with the cities
+    bound as named parameters (never pasted into the text)."""
+    cols = ", ".join(f"{c} AS {o}" for c, o in SEARCH_COLUMNS)
+    return spark.sql(f"SELECT {cols} FROM {view} WHERE Source = :src AND destination = :dst",
+                     args={"src": source, "dst": destination})
+
+
 def sort_rows(rows: DataFrame, by: str = "price", duration_order: str = "text") -> DataFrame:
     """Sort by price, or by duration. ``duration_order="text"`` sorts the
     duration text as text ("10h" before "2h"), like the original page;

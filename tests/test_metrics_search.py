@@ -199,3 +199,12 @@ def test_bulk_answers(spark):
     assert got["what is the average price?"] == ("avg_price", '[{"avg_price":117.0}]')
     key, ans = got["busiest route please"]
     assert key == "busiest_route" and _json.loads(ans) == [{"od_route": "X -> Y", "flights": 2}]
+
+
+def test_parameterised_sql_search(spark):
+    from farelens.sources import register_view
+    df = register_view(_df(spark, [_row(), _row(src="Z"), _row(price=50)]), "flights_param_test")
+    a = sorted(tuple(r) for r in Q.route_rows_sql(spark, "X", "Y", "flights_param_test").collect())
+    b = sorted(tuple(r) for r in Q.route_rows(df, "X", "Y").collect())
+    assert a == b and len(a) == 2
+    assert Q.route_rows_sql(spark, "X' OR '1'='1", "Y", "flights_param_test").count() == 0
