@@ -1,12 +1,13 @@
-"""Physical-strategy helpers: size-checked broadcast and lineage cuts."""
+"""Physical-strategy helper: the size-checked broadcast."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when a row count proves it small. Everything
-# else is left to the planner: AQE measures the real shuffle output at run
+# A side is broadcast only when a row count proves it small (the nation
+# lookup; per-route stats after their checkpoint). Everything else is left
+# to the planner: AQE measures the real shuffle output at run
 # time and turns a sort-merge join into a broadcast join only under
 # spark.sql.autoBroadcastJoinThreshold, so the broadcast is size-checked
 # either way and the sort-merge join remains the path for large sides.
@@ -16,8 +17,10 @@ DEFAULT_BROADCAST_ROWS = 100_000
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
 
-    The count is one cheap job (parquet answers it from footers); it runs at
-    plan-construction time and only for dimension-sized inputs.
+    The count reads at most ``max_rows + 1`` rows (a plain parquet scan
+    answers it from footers); it runs at plan-construction time and only on
+    inputs expected to be small: a lookup table or an already-checkpointed
+    aggregate.
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
