@@ -17,10 +17,9 @@ DEFAULT_BROADCAST_ROWS = 100_000
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
 
-    The count reads at most ``max_rows + 1`` rows (a plain parquet scan
-    answers it from footers); it runs at plan-construction time and only on
-    inputs expected to be small: a lookup table or an already-checkpointed
-    aggregate.
+    The count stops after ``max_rows + 1`` rows; it runs at plan-construction
+    time and only on inputs expected to be small: a lookup table or an
+    already-checkpointed aggregate.
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
