@@ -82,7 +82,8 @@ def _screen(fl: DataFrame) -> DataFrame:
 
 
 def _chart_kinds(fl: DataFrame) -> DataFrame:
-    parts = [chart_kind_column(M.run_metric(fl, k)).select(F.lit(k).alias("metric_key"), "chart_kind")
+    results = M.metric_results(fl)           # all nine results from one scan
+    parts = [chart_kind_column(results[k]).select(F.lit(k).alias("metric_key"), "chart_kind")
              for k in M.REGISTRY]
     out = parts[0]
     for p in parts[1:]:

@@ -136,3 +136,11 @@ def test_queries_hold_under_other_session_settings(spark):
             spark.conf.unset(k)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert not bad
+
+
+def test_one_pass_metric_results_on_data(spark):
+    fl = flights_table(spark, SF)
+    one = M.metric_results(fl)
+    for key in M.REGISTRY:
+        assert one[key].schema == M.run_metric(fl, key).schema, key
+        assert [tuple(r) for r in one[key].collect()] == [tuple(r) for r in M.run_metric(fl, key).collect()], key

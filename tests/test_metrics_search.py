@@ -208,3 +208,16 @@ def test_parameterised_sql_search(spark):
     b = sorted(tuple(r) for r in Q.route_rows(df, "X", "Y").collect())
     assert a == b and len(a) == 2
     assert Q.route_rows_sql(spark, "X' OR '1'='1", "Y", "flights_param_test").count() == 0
+
+
+def test_one_pass_metric_results_equal_governed(spark):
+    rows = [_row(airline=None, src=None), _row(stops="Non-Stop"), _row(airline="B", src="Z", price=300),
+            _row(airline="B", dst=None, price=None, stops=None), _row(src="A", dst="BC"), _row(src="AB", dst="C")]
+    for data in (rows, []):
+        df = _df(spark, data)
+        one = M.metric_results(df)
+        for key in M.REGISTRY:
+            a, b = one[key], M.run_metric(df, key)
+            assert a.columns == b.columns, key
+            assert a.schema == b.schema, key
+            assert [tuple(r) for r in a.collect()] == [tuple(r) for r in b.collect()], key
