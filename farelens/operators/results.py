@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,13 +15,14 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
 
 def sample_json(df: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
     """The first ``n`` rows of ``df`` (in its own order), one JSON object per
-    row with its 1-based position. The limit bounds the work before the
-    position is numbered, so the numbering window sees at most ``n`` rows."""
-    head = df.limit(n).withColumn("_mono", F.monotonically_increasing_id())
-    return head.select(
-        F.row_number().over(Window.orderBy("_mono")).alias("rn"),
-        F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("record"),
-    )
+    row with its 1-based position. The limit bounds the work: at most ``n``
+    records are gathered into one array, sorted by their arrival id and
+    exploded with their position (no window operator)."""
+    head = df.limit(n).select(F.monotonically_increasing_id().alias("_mono"),
+                              F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("record"))
+    ordered = head.agg(F.array_sort(F.collect_list(F.struct("_mono", "record"))).alias("_rows"))
+    return (ordered.select(F.posexplode("_rows").alias("_pos", "_row"))
+            .select((F.col("_pos") + 1).alias("rn"), F.col("_row.record").alias("record")))
 
 
 def chart_kind_column(df: DataFrame) -> DataFrame:
