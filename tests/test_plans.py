@@ -24,7 +24,8 @@ def test_no_python_and_no_pairwise_joins(spark):
     try:
         for name in QUERIES:
             plan = _plan(spark, name)
-            for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
+            for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin",
+                        "Window ["):   # no window at all, so no single-partition window either
                 assert bad not in plan, (name, bad)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
