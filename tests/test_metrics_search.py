@@ -221,3 +221,12 @@ def test_one_pass_metric_results_equal_governed(spark):
             assert a.columns == b.columns, key
             assert a.schema == b.schema, key
             assert [tuple(r) for r in a.collect()] == [tuple(r) for r in b.collect()], key
+
+
+def test_airline_filter_keeps_null_when_listed(spark):
+    df = _df(spark, [_row(airline=None), _row(airline="A"), _row(airline="B")])
+    rows = Q.route_rows(df, "X", "Y")
+    assert sorted(r["Airline"] or "" for r in Q.filter_airlines(rows, ["A", None]).collect()) == ["", "A"]
+    assert [r["Airline"] for r in Q.filter_airlines(rows, ["B"]).collect()] == ["B"]
+    assert Q.filter_airlines(rows, []).count() == 0
+    assert Q.filter_airlines(rows, None).count() == 3
