@@ -193,7 +193,10 @@ def _input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
     h.update(sf_dir.encode())
     # the derivation and parsing code itself: any change to it makes a new table
     for module in (sys.modules[__name__], parsing):
-        h.update(inspect.getsource(module).encode())
+        try:
+            h.update(inspect.getsource(module).encode())
+        except (OSError, TypeError):      # no source shipped: the version alone
+            pass
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for name in STAR_TABLES:
