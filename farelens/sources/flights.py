@@ -145,19 +145,22 @@ _WRITE_LOCK = threading.Lock()
 
 
 def materialize(df: DataFrame, path: str, sort_within: list[str] | None = None,
-                cluster_by: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None) -> DataFrame:
     """Write ``df`` as parquet at ``path`` (once) and return a scan of it.
 
     The write cuts lineage: later plans start at a parquet scan with column
     pruning and pushed filters instead of recomputing the joins.
 
-    ``cluster_by`` range-partitions the rows into ``partitions`` files first
-    (one shuffle, paid once at ingest): the file count then follows the data
-    size instead of the input's file layout, every later scan gets that many
-    parallel splits, and files cover narrow key ranges so equality filters
-    skip whole files. The trailing cluster columns let one very large key
-    value spread over several files. ``sort_within`` then orders rows inside
-    each file so row-group min/max statistics skip the rest.
+    ``partitions`` spreads the rows evenly over that many files first (a
+    round-robin repartition: one shuffle, paid once at ingest, which Spark
+    makes deterministic for retries by sorting locally before it). The file
+    count then follows the data size instead of the input's file layout,
+    every later scan gets that many parallel splits, and no key or group of
+    identical rows can pile up in one file. (A range partition would also
+    cluster files by key, but it runs an extra sampling pass over its input,
+    and on an ingest that input is the whole derivation.) ``sort_within``
+    then orders rows inside each file so row-group min/max statistics let
+    equality filters skip most of every file.
 
     The table is written to a private temporary folder next to ``path`` and
     renamed into place, so concurrent callers never see or clobber a partial
@@ -168,10 +171,7 @@ def materialize(df: DataFrame, path: str, sort_within: list[str] | None = None,
     with _WRITE_LOCK:
         if not _hadoop_exists(spark, f"{path}/_SUCCESS"):
             tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-            out = df
-            if cluster_by:
-                out = (out.repartitionByRange(partitions, *cluster_by) if partitions
-                       else out.repartitionByRange(*cluster_by))
+            out = df.repartition(partitions) if partitions else df
             if sort_within:
                 out = out.sortWithinPartitions(*sort_within)
             out.write.mode("errorifexists").parquet(tmp)
@@ -215,9 +215,8 @@ def register_view(df: DataFrame, name: str = "flights") -> DataFrame:
     return df
 
 
-# Layout of a written fare table: route-clustered files of about this size.
+# Layout of a written fare table: files of about this size, sorted by route.
 TARGET_FILE_BYTES = 256 * 1024 * 1024
-CLUSTER_COLUMNS = [S.SOURCE, S.DESTINATION, S.DATE, S.AIRLINE, S.PRICE]
 UNKNOWN_SIZE = 1 << 50          # 1 PiB: estimates at or above this are "unknown"
 
 
@@ -238,18 +237,20 @@ def file_count(spark: SparkSession, input_bytes: int, target_bytes: int = TARGET
 
 def ingest_flights(df: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
     """Ingest any fare table (e.g. from :func:`load_flights`): parse the text
-    columns once, write route-clustered parquet at ``path`` (shared storage)
-    and return a scan of it. Later queries read numbers and prune columns.
+    columns once, write evenly sized parquet files sorted by route at ``path``
+    (shared storage) and return a scan of it. Later queries read numbers and
+    prune columns.
     ``partitions`` defaults to one file per 256 MB of input, taken from the
     planner's size estimate (for a file scan: the listed file sizes, with no
     extra file-system calls)."""
     if partitions is None:
         size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        # an unknown size is reported as a huge default: then let
-        # spark.sql.shuffle.partitions (and AQE) decide
-        partitions = file_count(df.sparkSession, size) if size < UNKNOWN_SIZE else None
+        # an unknown size is reported as a huge default: then use the
+        # session's shuffle partition count
+        partitions = (file_count(df.sparkSession, size) if size < UNKNOWN_SIZE
+                      else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return materialize(with_parsed(df), path, sort_within=[S.SOURCE, S.DESTINATION],
-                       cluster_by=CLUSTER_COLUMNS, partitions=partitions)
+                       partitions=partitions)
 
 
 def flights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
