@@ -157,3 +157,38 @@ def test_outliers_match_brute_force(spark, rows, threshold, min_size):
     flagged = O.flag_outliers(O.group_zscores(O.clean(df), broadcast_max_rows=None), threshold, min_size)
     got = sorted((r["Route"], float(r["Price"]), r["severity_score"]) for r in flagged.collect())
     assert got == _brute_force(rows, threshold, min_size)
+
+
+# --- strict screen: Spark expression == plain-Python statement of the rules --
+
+_WORDS = ["insert", "update", "delete", "drop", "alter", "create", "truncate", "grant", "attach",
+          "pragma", "into"]
+
+
+def py_strict(sql):
+    if sql is None:
+        return False
+    s = sql.strip().rstrip(";").lower()
+    b = re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", s)
+    starts = b.startswith("select") and not (len(b) > 6 and re.match(r"[a-z0-9_]", b[6]))
+    marks = any(m in b for m in [";", "--", "/*", "*/", "#", "`", '"'])
+    words = re.search(r"\b(?:" + "|".join(_WORDS) + r")\b", b) is not None
+    odd = b.count("'") % 2 == 1
+    e = re.sub(r"\b(extract|trim|substring|overlay)\s*\([^()]*\)", r"\1()", b)
+    name = r"[a-zA-Z_][a-zA-Z0-9_]*"
+    comma = re.search(rf"\bfrom\s+{name}(\s+(as\s+)?{name})?\s*,", e) is not None
+    names = re.findall(r"\b(?:from|join)\s+([^\s(),]+)", e)
+    return starts and not marks and not words and not odd and not comma and all(n == "flights" for n in names)
+
+
+_SQL_BITS = ["select", "SELECT ", " ", "  ", "*", " from ", "FROM", "flights", "users", " join ", ",", ";",
+             "'", "'x'", "'it''s'", "--", "/*", "#", "`", '"', "extract(year from d)", "trim(a from b)",
+             "update", "updated_at", " into ", "(", ")", " as ", " f", ".", "\t", "where a = 1", "selected"]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_SQL_BITS), max_size=8).map("".join), min_size=1, max_size=40))
+def test_strict_screen_matches_rules(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "sql string")
+    got = [r[0] for r in df.select(screen("sql", "strict")).collect()]
+    assert got == [py_strict(v) for v in values]
