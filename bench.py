@@ -23,9 +23,9 @@ from farelens.plans.catalog import QUERIES  # noqa: E402
 from farelens.session import build_session  # noqa: E402
 from farelens.sources import flights_from_star, flights_table  # noqa: E402
 
-HEADLINE = ["kpi_bundle", "metric_busiest_route", "freq_airline_share", "top_routes",
+HEADLINE = ["kpi_bundle", "metric_busiest_route", "dashboard_feeds", "top_routes",
             "flight_search_cheapest", "outlier_report", "outlier_severity_counts",
-            "question_metric_match", "query_log_screen"]
+            "question_answers", "query_log_screen"]
 
 
 def main() -> None:
