@@ -11,9 +11,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -160,8 +163,27 @@ def longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="farelens-py-")) / "farelens_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(target))  # Spark serves the file to the executors
+    _SHIPPED.add(app)
+
+
+_SHIPPED: set[str] = set()
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(batch) -> iterable of RecordBatch`` over the Arrow batches of df."""
+    ship_package(df.sparkSession)
+
     def run(it):
         for batch in it:
             if batch.num_rows:
@@ -234,3 +256,23 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         last = tuple(state)
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+
+
+# --- global positions -------------------------------------------------------
+
+def positions(spark: SparkSession, df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``pos``, its 0-based place in the global order: rows are
+    range-partitioned and written with their partition's number, then numbered
+    within the partition on top of the counts of the earlier ones. Only one row
+    per partition is ever ordered in a single task."""
+    from pyspark.sql import Window
+    parted = stage_table(spark, df.repartitionByRange(*order)
+                         .withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (parted.groupBy("_part").count()
+             .select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")))
+    within = Window.partitionBy("_part").orderBy(*order)
+    return (parted.withColumn("_row", F.row_number().over(within) - 1)
+            .join(sizes, "_part")
+            .withColumn("pos", F.col("_before") + F.col("_row"))
+            .drop("_part", "_row", "_before"))
