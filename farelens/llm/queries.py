@@ -10,9 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from farelens.llm.fingerprints import fingerprint_edits
+from farelens.llm.license_scan import scan_licenses
 from farelens.llm.mixing import mix_sources
 from farelens.llm.quality import score_quality
 from farelens.llm.token_counts import token_counts
+from farelens.llm.url_rules import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +24,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -34,7 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op7_quality, op9_source_mix, op10_token_counts,
+    op4_license_scan, op5_url_filter, op7_quality, op8_fingerprints, op9_source_mix, op10_token_counts,
 )}
 
 ORACLE: dict[str, str] = {}
