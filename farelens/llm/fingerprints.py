@@ -5,8 +5,8 @@ it none) is hashed once; its low bits choose one of BINS bins, the rest of the
 hash competes for the bin's minimum. An empty bin i takes the value of the
 first filled bin in a random order of bins that belongs to i alone: the first
 few places come from PROBES tables, the rest of the order from a hash of the
-two bins (optimal densification). Of each minimum the low BITS bits are kept and
-packed, one hex digit a bin. Two fingerprints agree in a bin by chance with
+two bins (optimal densification). Each bin's value is hashed with the bin's
+number, and the low BITS bits are kept and packed, one hex digit a bin. Two fingerprints agree in a bin by chance with
 probability 2**-BITS, so their likeness is (share of equal bins - chance) /
 (1 - chance), held to 0..1.
 
@@ -56,8 +56,8 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     minima = F.filter(F.col(s), lambda x, i: (i == 0) | (F.shiftright(x, shift) != F.shiftright(F.get(s, i - 1), shift)))
     df = df.withColumn(m, F.transform(minima, lambda x: F.struct(
         F.shiftright(x, shift).cast("int").alias("bin"),
-        x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("tinyint").alias("v"))))
-    none = F.lit(None).cast("tinyint")
+        x.alias("v"))))
+    none = F.lit(None).cast("long")
     filled = F.flatten(F.transform(F.col(m), lambda x, i: F.concat(
         F.array_repeat(none, x["bin"] - F.when(i == 0, F.lit(-1)).otherwise(F.get(m, i - 1)["bin"]) - 1),
         F.array(x["v"]))))
@@ -66,7 +66,9 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
 
     def dense(x, i):
         rest = F.array_min(F.transform(F.col(m), lambda y: F.struct(F.xxhash64(i, y["bin"]).alias("h"), y["v"].alias("v"))))
-        return F.coalesce(x, *[F.get(F.col(b), F.get(t, i)) for t in tables], rest["v"])
+        value = F.coalesce(x, *[F.get(F.col(b), F.get(t, i)) for t in tables], rest["v"])
+        # a value copied to several bins keeps other bits in each, so that chance agreements stay independent
+        return F.xxhash64(value, i).bitwiseAND(F.lit((1 << BITS) - 1)).cast("tinyint")
     return df.withColumn(out, F.transform(F.col(b), dense)).drop(w, s, m, b)
 
 
