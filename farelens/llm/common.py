@@ -200,7 +200,7 @@ def bit_sketch(keys: DataFrame, column: str, bits: int = SKETCH_BITS) -> np.ndar
     place = F.pmod(F.col(column), F.lit(bits))
     rows = (keys.select(place.alias("p"))
             .groupBy(F.shiftright("p", 5).alias("w"))
-            .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("p") % 32).cast("int"))).alias("b"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("b"))
             .toArrow())
     out = np.zeros(bits // 32, np.uint32)
     out[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from farelens.llm.fingerprints import fingerprint_edits
+from farelens.llm.jaccard_join import jaccard_components
 from farelens.llm.license_scan import scan_licenses
 from farelens.llm.mixing import mix_sources
 from farelens.llm.quality import score_quality
@@ -24,6 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op4_license_scan, op5_url_filter, op7_quality, op8_fingerprints, op9_source_mix, op10_token_counts,
+    op3_jaccard_join, op4_license_scan, op5_url_filter, op7_quality, op8_fingerprints, op9_source_mix, op10_token_counts,
 )}
 
 ORACLE: dict[str, str] = {}
