@@ -19,8 +19,9 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelens.session import scratch_root
@@ -214,6 +215,15 @@ def in_sketch(sketch: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (word >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0
 
 
+def maybe_in(sketch: np.ndarray, key) -> Column:
+    """True where the long hash column ``key`` may be in the sketch; only that
+    column goes to Python."""
+    @F.pandas_udf("boolean")
+    def test(k: pd.Series) -> pd.Series:
+        return pd.Series(in_sketch(sketch, np.ascontiguousarray(k.to_numpy(), np.int64)))
+    return test(key)
+
+
 def mixed_id(column: str = "doc_id"):
     """A well-mixed hash of an id, as ``bit_sketch`` wants it."""
     return F.xxhash64(column)

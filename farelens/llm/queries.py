@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from farelens.llm.fingerprints import fingerprint_edits
 from farelens.llm.jaccard_join import jaccard_components
 from farelens.llm.license_scan import scan_licenses
 from farelens.llm.mixing import mix_sources
 from farelens.llm.quality import score_quality
+from farelens.llm.suffix_dedup import remove_repeats
 from farelens.llm.token_counts import token_counts
 from farelens.llm.url_rules import filter_urls
 
@@ -25,6 +27,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -54,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_jaccard_join, op4_license_scan, op5_url_filter, op7_quality, op8_fingerprints, op9_source_mix, op10_token_counts,
+    op2_suffix_dedup, op3_jaccard_join, op4_license_scan, op5_url_filter, op7_quality, op8_fingerprints, op9_source_mix, op10_token_counts,
 )}
 
 ORACLE: dict[str, str] = {}
