@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from farelens.llm.fingerprints import fingerprint_edits
 from farelens.llm.jaccard_join import jaccard_components
+from farelens.llm.language_model import score_documents
 from farelens.llm.license_scan import scan_licenses
 from farelens.llm.mixing import mix_sources
 from farelens.llm.quality import score_quality
@@ -45,6 +46,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -62,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_suffix_dedup, op3_jaccard_join, op4_license_scan, op5_url_filter, op7_quality, op8_fingerprints, op9_source_mix, op10_token_counts,
+    op2_suffix_dedup, op3_jaccard_join, op4_license_scan, op5_url_filter, op6_language_model, op7_quality, op8_fingerprints, op9_source_mix, op10_token_counts,
 )}
 
 ORACLE: dict[str, str] = {}
