@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from farelens.llm.common import LOWER, Block, Words, arrow_map, blocks, longs, stage_table, texts
 
-DEPTH = 4
-SHARE = 2.0 ** -13
+DEPTH = 5
+SHARE = 2.0 ** -16
 DICTIONARY = 1 << 18
 WORD, GRAM, TEXT = 0, 1, 2   # kinds of counted things
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from farelens.llm.decontamination import contamination
 from farelens.llm.fingerprints import fingerprint_edits
 from farelens.llm.jaccard_join import jaccard_components
 from farelens.llm.language_model import score_documents
@@ -28,6 +29,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).select(
         "doc_id", (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans",
@@ -67,7 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_suffix_dedup, op3_jaccard_join, op4_license_scan, op5_url_filter, op6_language_model, op7_quality, op8_fingerprints, op9_source_mix, op10_token_counts,
+    op1_decontamination, op2_suffix_dedup, op3_jaccard_join, op4_license_scan, op5_url_filter, op6_language_model, op7_quality, op8_fingerprints, op9_source_mix, op10_token_counts,
 )}
 
 ORACLE: dict[str, str] = {}
