@@ -229,6 +229,14 @@ def mixed_id(column: str = "doc_id"):
     return F.xxhash64(column)
 
 
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is among ``ids`` (doc_id). Only
+    rows that may be among them are shuffled to the exact anti-join."""
+    sketch = bit_sketch(ids.select(mixed_id().alias("k")), "k")
+    maybe = maybe_in(sketch, F.xxhash64(F.col("doc_id").cast("long")))
+    return docs.where(~maybe).union(docs.where(maybe).join(ids, "doc_id", "left_anti").select(docs.columns))
+
+
 # --- connected components ---------------------------------------------------
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:

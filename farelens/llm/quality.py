@@ -211,6 +211,28 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> C
     return fit(np.concatenate(xs), first, np.array([r[0] for r in rows]))
 
 
+def _scores(chain: Chain, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(number of lines, score) of each text of a block."""
+    x, length, first = line_features(block)
+    good = chain.marginals(with_neighbours(x, first), first)
+    weight = np.maximum(length, 1).astype(np.float64)
+    score = np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
+    return np.diff(first), np.clip(score, 0, 1)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
+              train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, all columns as
+    they are; no row is shuffled."""
+    chain = train(docs, labels, train_docs)
+
+    def run(batch: pa.RecordBatch):
+        text = batch.column("text").fill_null("")
+        score = np.concatenate([_scores(chain, b)[1] for b in blocks(text)])
+        yield batch.filter(pa.array(score >= threshold))
+    return arrow_map(docs, run, docs.schema)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
                   train_docs: int = TRAIN_DOCS) -> DataFrame:
     """Per document: doc_id, held_out, n_lines, score, predicted."""
@@ -219,13 +241,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     def run(batch: pa.RecordBatch):
         ids = batch.column("doc_id")
         for b in blocks(batch.column("text")):
-            x, length, first = line_features(b)
-            good = chain.marginals(with_neighbours(x, first), first)
-            weight = np.maximum(length, 1).astype(np.float64)
-            score = np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
-            score = np.clip(score, 0, 1)
+            n_lines, score = _scores(chain, b)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(b.rows.start, len(b.rows)), longs(np.diff(first)), pa.array(score),
+                [ids.slice(b.rows.start, len(b.rows)), longs(n_lines), pa.array(score),
                  pa.array((score >= threshold).astype(np.int32))], ["doc_id", "n_lines", "score", "predicted"])
 
     scored = arrow_map(texts(docs), run, "doc_id long, n_lines long, score double, predicted int")

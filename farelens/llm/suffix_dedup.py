@@ -264,23 +264,27 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed, stage_table(spark, spans, "spans")
 
 
+def _stays(raw: bytes, spans: pa.StructArray | None) -> tuple[bytes, int, int]:
+    """(what stays of a text, bytes removed, maximal removed runs)."""
+    if spans is None:
+        return raw, 0, 0
+    a = spans.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
+    e = spans.field("until").to_numpy(zero_copy_only=False).astype(np.int64)
+    _, a, e = _merged(np.zeros(len(a), np.int64), a, e)
+    stays = b"".join(raw[x:y] for x, y in zip([0, *e.tolist()], [*a.tolist(), len(raw)], strict=True))
+    return stays, int((e - a).sum()), len(a)
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """(doc_id, text, spans) -> what stays of the bytes and how much went."""
     def run(batch: pa.RecordBatch):
         kept, removed, count = [], [], []
         spans = batch.column("spans")
         for i, text in enumerate(batch.column("text").cast(pa.binary())):
-            raw = text.as_py()
-            s = spans[i].values
-            if s is None:
-                kept.append(raw), removed.append(0), count.append(0)
-                continue
-            a = s.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
-            e = s.field("until").to_numpy(zero_copy_only=False).astype(np.int64)
-            _, a, e = _merged(np.zeros(len(a), np.int64), a, e)
-            kept.append(b"".join(raw[x:y] for x, y in zip([0, *e.tolist()], [*a.tolist(), len(raw)], strict=True)))
-            removed.append(int((e - a).sum()))
-            count.append(len(a))
+            stays, gone, n = _stays(text.as_py(), spans[i].values)
+            kept.append(stays)
+            removed.append(gone)
+            count.append(n)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([t.decode("utf-8", "ignore") for t in kept]), pa.array(kept, pa.binary()),
              pa.array(removed, pa.int64()), pa.array(count, pa.int64())],
@@ -288,6 +292,28 @@ def _cut(df: DataFrame) -> DataFrame:
     return arrow_map(df, run, "doc_id long, kept_text string, kept binary, n_removed long, n_spans long")
 
 
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated passages cut out of text and n_chars counted
+    anew; documents (one row per doc_id) stay rows even if nothing is left."""
+    _, spans = repeated_spans(docs)
+    spans = spans.withColumnRenamed("doc", "doc_id")
+    sketch = bit_sketch(spans.select(mixed_id().alias("k")), "k")
+    touched = maybe_in(sketch, F.xxhash64(F.col("doc_id").cast("long")))
+    hit = docs.where(touched).join(spans.withColumnRenamed("spans", "_spans"), "doc_id", "left")
+
+    def run(batch: pa.RecordBatch):
+        text = [None if t is None or s is None else _stays(t, s.values)[0].decode("utf-8", "ignore")
+                for t, s in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_spans"), strict=True)]
+        old = batch.column("text").to_pylist()
+        out = [o if t is None else t for t, o in zip(text, old, strict=True)]
+        names = [c for c in batch.schema.names if c != "_spans"]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(out, batch.column("text").type) if c == "text" else batch.column(c) for c in names], names)
+    schema = [f for f in hit.schema if f.name != "_spans"]
+    cut = arrow_map(hit, run, type(hit.schema)(schema)).withColumn("n_chars", F.length("text").cast("long"))
+    return cut.select(docs.columns).union(docs.where(~touched))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, kept_text (without broken characters at cuts), kept
     (the remaining bytes), n_removed, n_spans. Only texts with spans are
