@@ -11,7 +11,8 @@ present the whole text is read as a plain decimal number ("170" -> 170.0);
 anything else is NULL.
 
 stops: NULL stays NULL; text containing "non" is 0; otherwise the first run
-of digits; otherwise NULL.
+of digits; otherwise NULL. A number beyond 64 bits (hours, minutes) or 32 bits
+(stops) counts as absent.
 """
 
 from __future__ import annotations
@@ -40,10 +41,11 @@ def py_strip(c: Column) -> Column:
     return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
-def _first_int(text: Column, pattern: str) -> Column:
-    # regexp_extract gives '' when nothing matches, and try_cast('') is NULL.
+def _first_int(text: Column, pattern: str, kind: str = "bigint") -> Column:
+    # regexp_extract gives '' when nothing matches, and try_cast of '' or of a
+    # number too long for ``kind`` is NULL: no text can end the job.
     # The extract is referenced once, so it is evaluated once per row.
-    return F.regexp_extract(text, pattern, 1).try_cast("bigint")
+    return F.regexp_extract(text, pattern, 1).try_cast(kind)
 
 
 _HOURS = rf"([0-9]+){PY_SPACE}*h"
@@ -58,7 +60,8 @@ def _combine(raw: Column, hours: Column, minutes: Column) -> Column:
     return (
         F.when(raw.isNull(), F.lit(None).cast("double"))
         .when(hours.isNull() & minutes.isNull(), as_number)
-        .otherwise((F.coalesce(hours, F.lit(0)) * 60 + F.coalesce(minutes, F.lit(0))).cast("double"))
+        # doubles from here on: a long number of hours can't overflow
+        .otherwise(F.coalesce(hours.cast("double"), F.lit(0.0)) * 60 + F.coalesce(minutes.cast("double"), F.lit(0.0)))
     )
 
 
@@ -77,7 +80,7 @@ def stops_num(c: Column | str) -> Column:
     return (
         F.when(c.isNull(), F.lit(None).cast("int"))
         .when(text.contains("non"), F.lit(0))
-        .otherwise(_first_int(text, r"([0-9]+)").cast("int"))
+        .otherwise(_first_int(text, r"([0-9]+)", "int"))
     )
 
 

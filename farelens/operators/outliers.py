@@ -4,8 +4,8 @@ Plan shape (README, "Designed for scale"): the text columns are parsed once
 (at ingest when the table stores the parsed columns), incomplete rows are
 dropped, mean / sample std / size are aggregated per group (partial
 aggregation before the shuffle, so a hot group costs one row per task), and
-those per-group rows are joined back. The stats are checkpointed and counted;
-under a fixed row bound they are broadcast and the rows are never shuffled,
+those per-group rows are joined back. The stats are checkpointed and measured;
+under a fixed byte bound they are broadcast and the rows are never shuffled,
 above it the join is a sort-merge join whose skewed groups AQE splits. No
 per-group window, so no single task ever holds a whole group.
 """
@@ -27,9 +27,9 @@ TOP_N = 8
 SEVERITY_LABELS = {1: "Low", 2: "Medium", 3: "High"}
 SEVERITY_COLOURS = {"High": "#f8d7da", "Medium": "#fff3cd", "Low": "#d4edda"}
 
-# Per-group stats rows are small (key + 7 numbers, ~100 bytes); a million of
-# them is a ~100 MB broadcast, the most we ship to every executor.
-STATS_BROADCAST_ROWS = 1_000_000
+# The most per-group stats that are sent to every executor, in bytes: the group
+# key may be any text, so a row count would not bound it.
+STATS_BROADCAST_BYTES = 64 * 1024 * 1024
 
 # measure column -> short name used in derived columns
 MEASURES = {"Price": "price", "duration_minutes": "duration", "stops_num": "stops"}
@@ -72,27 +72,27 @@ def _safe_z(x: Column, mean: Column, sd: Column) -> Column:
     return F.coalesce(F.nanvl(z, F.lit(0.0)), F.lit(0.0))
 
 
-def attachable_stats(stats: DataFrame, broadcast_max_rows: int | None = STATS_BROADCAST_ROWS) -> DataFrame:
+def attachable_stats(stats: DataFrame, broadcast_max_bytes: int | None = STATS_BROADCAST_BYTES) -> DataFrame:
     """Make the per-group stats ready to join back onto the rows.
 
     The planner cannot know how many groups an aggregate yields, so it would
     plan a shuffle join and move every row across the network. Instead the
     stats are computed once and checkpointed to the shared checkpoint folder
-    (cutting their lineage), their row count is read, and they are broadcast
-    only when that count is under ``broadcast_max_rows``; beyond it the join
+    (cutting their lineage), their bytes are summed, and they are broadcast
+    only when that sum is under ``broadcast_max_bytes``; beyond it the join
     stays a sort-merge join, where AQE splits hot groups. ``None`` leaves the
     choice to the planner (for small, one-off inputs).
     """
-    if broadcast_max_rows is None:
+    if broadcast_max_bytes is None:
         return stats
     scratch_root(stats.sparkSession)          # make sure a checkpoint folder is set
-    return bounded_broadcast(stats.checkpoint(eager=True), broadcast_max_rows)
+    return bounded_broadcast(stats.checkpoint(eager=True), broadcast_max_bytes)
 
 
 def group_zscores(df: DataFrame, by: str = GROUP, measures: dict[str, str] = MEASURES,
-                  broadcast_max_rows: int | None = STATS_BROADCAST_ROWS) -> DataFrame:
+                  broadcast_max_bytes: int | None = STATS_BROADCAST_BYTES) -> DataFrame:
     """Attach group stats and a z-score per measure to every row."""
-    stats = attachable_stats(group_stats(df, by, measures), broadcast_max_rows)
+    stats = attachable_stats(group_stats(df, by, measures), broadcast_max_bytes)
     out = df.where(F.col(by).isNotNull()).join(stats, by)
     for col, short in measures.items():
         out = out.withColumn(f"{short}_z", _safe_z(F.col(col), F.col(f"{short}_mean"), F.col(f"{short}_std")))
@@ -127,9 +127,9 @@ def flag_outliers(df: DataFrame, threshold: float = Z_THRESHOLD,
 
 
 def detect(flights: DataFrame, threshold: float = Z_THRESHOLD, min_size: int = MIN_GROUP_SIZE,
-           broadcast_max_rows: int | None = STATS_BROADCAST_ROWS) -> DataFrame:
+           broadcast_max_bytes: int | None = STATS_BROADCAST_BYTES) -> DataFrame:
     """All flagged rows of a fare table (unordered, not capped)."""
-    z = group_zscores(clean(outlier_input(flights)), broadcast_max_rows=broadcast_max_rows)
+    z = group_zscores(clean(outlier_input(flights)), broadcast_max_bytes=broadcast_max_bytes)
     return flag_outliers(z, threshold, min_size)
 
 
@@ -164,8 +164,9 @@ def with_narrative(flagged: DataFrame) -> DataFrame:
 def report(flagged: DataFrame, top_n: int = TOP_N) -> DataFrame:
     """The ranked report: top ``top_n`` flagged rows with display columns.
     ``orderBy().limit()`` plans as TakeOrderedAndProject: each task keeps
-    its own top n and only n rows per task reach the final merge."""
-    top = with_narrative(flagged).orderBy(*rank_order()).limit(top_n)
+    its own top n and only n rows per task reach the final merge. The text is
+    made for these rows alone."""
+    top = with_narrative(flagged.orderBy(*rank_order()).limit(top_n))
     return top.select(
         "Airline", "Route", "Price",
         F.bround("duration_minutes", 0).cast("int").alias("duration_min"),

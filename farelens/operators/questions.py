@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farelens.operators.metrics import REGISTRY, metric_results, run_metric
-from farelens.operators.results import chart_kind, sample_json
+from farelens.operators.results import SAMPLE_ROWS, chart_kind, sample_json
 
 
 def _alias_order(mode: str) -> list[tuple[str, str]]:
@@ -59,30 +59,48 @@ def match_question(question: str, mode: str = "first") -> str | None:
     return None
 
 
-def metric_answers(flights: DataFrame) -> DataFrame:
-    """(metric_key, answer): each governed metric's result as a JSON array of
-    at most 20 records, in the result's order. One row per registered metric,
-    so its size is fixed by the registry, not by the data. All nine results
-    come from one scan (:func:`metric_results`)."""
-    results = metric_results(flights)
-    parts = []
-    for key in REGISTRY:
-        sample = sample_json(results[key])
+def governed_rows(flights: DataFrame) -> DataFrame:
+    """(metric_key, sort_value, record): every row of all nine governed results,
+    as JSON records. ``sort_value`` is the number that orders a result, largest
+    first where the result runs downwards (ascending results carry it negated),
+    null for single values; ties run by record. All results come from one scan
+    (:func:`metric_results`); nothing is gathered, so a result may have any
+    number of rows."""
+    # the column that orders a table result, and its direction
+    order = {"busiest_route": ("flights", 1), "busiest_airport": ("flights", 1),
+             "avg_price_by_airline": ("avg_price", 1), "cheapest_flight_by_route": ("cheapest_price", -1)}
+    out = None
+    for key, df in metric_results(flights).items():
+        col, sign = order.get(key, (None, 1))
+        value = (F.col(col).cast("double") * sign) if col else F.lit(None).cast("double")
+        part = df.select(F.lit(key).alias("metric_key"), value.alias("sort_value"),
+                         F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("record"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def metric_answers(flights: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
+    """(metric_key, row_count, sample): per governed metric the number of rows
+    of its result and a JSON array of the first ``n`` of them, for display. One
+    row per registered metric; whole results are :func:`governed_rows`."""
+    out = None
+    for key, df in metric_results(flights).items():
         ordered = F.array_sort(F.collect_list(F.struct("rn", "record")))
         text = F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["record"]), ","), F.lit("]"))
-        parts.append(sample.agg(text.alias("answer")).select(F.lit(key).alias("metric_key"), "answer"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        part = sample_json(df, n).agg(text.alias("sample")).select(
+            F.lit(key).alias("metric_key"), df.agg(F.count(F.lit(1))).scalar().alias("row_count"), "sample")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
 def answer_questions(questions: DataFrame, flights: DataFrame, col: str = "question",
                      mode: str = "first") -> DataFrame:
-    """Bulk governed answers: every question gets its matched metric key and
-    that metric's answer (NULL when nothing matches). The answers table has
-    one row per registered metric, a bound known before running, so it is
-    broadcast and the question log is never shuffled."""
+    """Bulk governed answers: every question gets its matched metric key, the
+    number of rows of that metric's result and a sample of them (NULL when
+    nothing matches). The result itself, in full, is :func:`governed_rows` under
+    the metric key. The joined side has one row per registered metric, a bound
+    known before running, so it is broadcast and the question log is never
+    shuffled."""
     matched = match_questions(questions, col, modes=(mode,))
     answers = F.broadcast(metric_answers(flights))
     key = f"metric_{mode}"

@@ -8,12 +8,18 @@ the engine never executes untrusted SQL. Two rule sets:
 must start with "select"; must not contain any forbidden word or ';' as a
 substring; every identifier right after "from"/"join" must be allowed.
 
-``strict``: closes the holes of ``compat``. String literals are blanked
-first (keywords inside quotes do not count); comments, identifier quotes,
-INTO and a comma after the first FROM table are rejected; keywords match on
-word boundaries (so a column named updated_at passes); the FROM inside
-EXTRACT/TRIM/SUBSTRING(...) is ignored; every name after FROM/JOIN must be
-exactly an allowed table (no qualified names).
+``strict``: reads the statement's shape. String literals are blanked first
+(keywords inside quotes do not count) and the FROM inside EXTRACT / TRIM /
+SUBSTRING / OVERLAY(...) is ignored; on what is left the name rule of
+``compat`` must hold, and besides: no comments, identifier quotes, unterminated
+literals, INTO or TABLE; keywords match on word boundaries (so a column named
+updated_at passes); every name after FROM or JOIN is exactly an allowed table
+(no qualified names); a parenthesis after FROM or JOIN opens a SELECT; no comma
+separates tables in any FROM clause, at any depth; parentheses are balanced and
+nested at most eight deep. So a statement that reads another table passes
+``strict`` only if it passes the name rule of ``compat`` too; what ``strict``
+accepts and ``compat`` does not are forbidden words in literals or as parts of
+longer names, and the FROM of the functions named above.
 """
 
 from __future__ import annotations
@@ -47,15 +53,19 @@ def _names_allowed(names: Column, allowed: list[str]) -> Column:
     return F.size(F.array_except(names, allowed_arr)) == 0
 
 
+def _names_ok(s: Column, allowed: list[str]) -> Column:
+    """Every identifier right behind "from" or "join" is an allowed table."""
+    from_names = F.regexp_extract_all(s, F.lit(rf"from{PY_SPACE}+({_NAME})"), F.lit(1))
+    join_names = F.regexp_extract_all(s, F.lit(rf"join{PY_SPACE}+({_NAME})"), F.lit(1))
+    return _names_allowed(from_names, allowed) & (~s.contains("join") | _names_allowed(join_names, allowed))
+
+
 def _compat_rules(s: Column, allowed: list[str]) -> Column:
     """Compat verdict on prepared text ``s``."""
     no_forbidden = ~F.lit(False)
     for word in FORBIDDEN + [";"]:
         no_forbidden = no_forbidden & ~s.contains(F.lit(word))
-    from_names = F.regexp_extract_all(s, F.lit(rf"from{PY_SPACE}+({_NAME})"), F.lit(1))
-    join_names = F.regexp_extract_all(s, F.lit(rf"join{PY_SPACE}+({_NAME})"), F.lit(1))
-    names_ok = _names_allowed(from_names, allowed) & (~s.contains("join") | _names_allowed(join_names, allowed))
-    return F.coalesce(s.startswith("select") & no_forbidden & names_ok, F.lit(False))
+    return F.coalesce(s.startswith("select") & no_forbidden & _names_ok(s, allowed), F.lit(False))
 
 
 def _if_contains(s: Column, needle: str, then: Column, otherwise: Column) -> Column:
@@ -80,9 +90,28 @@ def _is_word_char(c: Column) -> Column:
     return ((c >= "a") & (c <= "z")) | ((c >= "0") & (c <= "9")) | (c == "_")
 
 
+# what ends a FROM clause on its own level
+_AFTER_FROM = "where|group|having|order|limit|union|intersect|except|window|offset|fetch"
+_FROM_COMMA = rf"\bfrom\b(?:(?!\b(?:{_AFTER_FROM})\b)[^,()]|\(\))*,"
+_DEPTH = 8
+
+
+def _table_comma(e: Column) -> Column:
+    """A comma between tables, at any depth: the innermost parentheses are
+    emptied level by level, so that each FROM clause is once free of nested
+    text. Text that still has filled or unpaired parentheses counts as bad."""
+    found, level = e.rlike(_FROM_COMMA), e
+    for _ in range(_DEPTH):
+        level = F.regexp_replace(level, r"\([^()]+\)", "()")
+        level = F.regexp_replace(level, r"\((?:\(\)|[^()])+\)", "()")
+        found = found | level.rlike(_FROM_COMMA)
+    rest = F.replace(level, F.lit("()"), F.lit(""))
+    return found | rest.contains("(") | rest.contains(")")
+
+
 def _strict_rules(b: Column, e: Column, allowed: list[str]) -> Column:
     """Strict verdict on blanked text ``b`` and its function-stripped body ``e``."""
-    words = FORBIDDEN + ["into"]
+    words = FORBIDDEN + ["into", "table"]
     # Plain substring tests first; generated AND/OR short-circuit, so the
     # word-boundary regex only runs on rows that contain a forbidden word.
     any_word = F.lit(False)
@@ -97,9 +126,11 @@ def _strict_rules(b: Column, e: Column, allowed: list[str]) -> Column:
         | (any_word & b.rlike(rf"\b(?:{'|'.join(words)})\b"))
         | ((F.length(b) - F.length(F.replace(b, F.lit("'"), F.lit("")))) % 2 == 1)  # unterminated literal
     )
-    comma_join = e.contains(",") & e.rlike(rf"\bfrom\s+{_NAME}(\s+(as\s+)?{_NAME})?\s*,")
-    names = F.regexp_extract_all(e, F.lit(r"\b(?:from|join)\s+([^\s(),]+)"), F.lit(1))
-    return F.coalesce(~bad & ~comma_join & _names_allowed(names, allowed), F.lit(False))
+    parens = e.contains("(") | e.contains(")")
+    opens = e.contains("(") & e.rlike(rf"(?:from|join){PY_SPACE}*\((?!{PY_SPACE}*select\b)")
+    comma = F.when(parens, _table_comma(e)).otherwise(e.contains(",") & e.rlike(_FROM_COMMA))
+    names = F.regexp_extract_all(e, F.lit(rf"\b(?:from|join){PY_SPACE}+([^\s(),]+)"), F.lit(1))
+    return F.coalesce(~bad & ~opens & ~comma & _names_ok(e, allowed) & _names_allowed(names, allowed), F.lit(False))
 
 
 def screen_compat(sql: Column, allowed: list[str] = ALLOWED_TABLES) -> Column:

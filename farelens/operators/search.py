@@ -20,6 +20,9 @@ SEARCH_COLUMNS = [
     (S.DURATION, "Duration"), (S.STOPS, "Stops"), (S.PRICE, "Price"),
 ]
 CHEAPEST_COLOUR = "#d4edda"
+# The summary banner's texts.
+FOUND_BANNER = f"%d flights found | Cheapest: {RUPEE}%d"
+EMPTY_BANNER = "No flights found for this route!"
 
 _OUT = [out for _, out in SEARCH_COLUMNS]
 
@@ -48,10 +51,10 @@ def route_rows_sql(spark, source: str, destination: str, view: str = "flights")
                      args={"src": source, "dst": destination})
 
 
-def sort_rows(rows: DataFrame, by: str = "price", duration_order: str = "text") -> DataFrame:
-    """Sort by price, or by duration. ``duration_order="text"`` sorts the
-    duration text as text ("10h" before "2h"), like the original page;
-    ``"minutes"`` sorts by parsed minutes. NULLs last; remaining ties are
+def sort_rows(rows: DataFrame, by: str = "price", duration_order: str = "minutes") -> DataFrame:
+    """Sort by price, or by duration. ``duration_order="minutes"`` sorts by the
+    parsed minutes; ``"text"`` sorts the duration text as text ("10h" before
+    "2h"), like the original page. NULLs last; remaining ties are
     broken on every column so the order is deterministic."""
     rest = [F.asc_nulls_last(c) for c in _OUT]
     if by == "price":
@@ -88,7 +91,7 @@ def mark_cheapest(rows: DataFrame, price: str = "Price") -> DataFrame:
 
 
 def search_flights(df: DataFrame, source: str, destination: str, sort: str = "price",
-                   airlines: list[str] | None = None, duration_order: str = "text",
+                   airlines: list[str] | None = None, duration_order: str = "minutes",
                    ignore_case: bool = False) -> DataFrame:
     """The search page: route filter -> sort -> airline filter -> cheapest."""
     rows = filter_airlines(route_rows(df, source, destination, ignore_case), airlines)
@@ -103,9 +106,8 @@ def search_summary(df: DataFrame, source: str, destination: str, ignore_case: bo
                 F.min(S.PRICE).alias("cheapest_price")))
     banner = F.when(
         F.col("flights_found") > 0,
-        F.format_string(f"%d flights found | Cheapest: {RUPEE}%d",
-                        F.col("flights_found"), F.col("cheapest_price")),
-    ).otherwise(F.lit("No flights found for this route!"))
+        F.format_string(FOUND_BANNER, F.col("flights_found"), F.col("cheapest_price")),
+    ).otherwise(F.lit(EMPTY_BANNER))
     return agg.withColumn("banner", banner)
 
 

@@ -1,8 +1,10 @@
 """The query catalog: every operator as a named query over a test-data folder.
 
-Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame. All of them
-start from the fare table derived from the star schema in ``sf_dir`` (written
-once, then scanned), so their work grows with the input.
+Each entry takes ``(spark, sf_dir)`` and returns a DataFrame. All of them start
+from the fare table derived from the star schema in ``sf_dir`` (written once,
+then scanned), so their work grows with the input. Most plans are lazy; the
+outlier queries, ``question_answers``, ``governed_rows`` and
+``result_chart_kind`` checkpoint a small aggregate while they are built.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ from farelens.operators import metrics as M
 from farelens.operators import outliers as O
 from farelens.operators import profile as P
 from farelens.operators import search as Q
-from farelens.operators.questions import answer_questions, match_questions
+from farelens.operators.questions import answer_questions, governed_rows, match_questions
 from farelens.operators.results import chart_kind_column, sample_json
 from farelens.operators.screen import screen_log
 from farelens.plans import dashboard as D
 from farelens.plans.inputs import question_log, sql_log
-from farelens.sources import flights_table
+from farelens.sources import flights_table, register_view
 
 # The search-page parameters used by the registered searches.
 SEARCH_SOURCE = "NATION_5"
@@ -77,6 +79,12 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_questions(question_log(fl, spark, sf_dir), fl, "question", "first")
 
 
+def _search_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The route search as SQL text over a view of the fare table."""
+    register_view(flights_table(spark, sf_dir), "flights_catalog")
+    return _date_text(Q.route_rows_sql(spark, SEARCH_SOURCE, SEARCH_DESTINATION, "flights_catalog"))
+
+
 def _screen(fl: DataFrame) -> DataFrame:
     return screen_log(sql_log(fl), "sql_text")
 
@@ -121,12 +129,16 @@ QUERIES: dict[str, Query] = {
     "flight_search": _on_flights(lambda fl: _date_text(Q.sort_rows(
         Q.route_rows(fl, SEARCH_SOURCE, SEARCH_DESTINATION), "price"))),
     "flight_search_by_duration": _on_flights(lambda fl: _date_text(Q.sort_rows(
+        Q.route_rows(fl, SEARCH_SOURCE, SEARCH_DESTINATION), "duration"))),
+    "flight_search_by_duration_text": _on_flights(lambda fl: _date_text(Q.sort_rows(
         Q.route_rows(fl, SEARCH_SOURCE, SEARCH_DESTINATION), "duration", "text"))),
+    "flight_search_sql": _search_sql,
     "flight_search_airlines": _on_flights(lambda fl: _date_text(Q.filter_airlines(
         Q.route_rows(fl, SEARCH_SOURCE, SEARCH_DESTINATION), SEARCH_AIRLINES))),
     "flight_search_cheapest": _on_flights(lambda fl: _date_text(Q.search_flights(
         fl, SEARCH_SOURCE, SEARCH_DESTINATION, "price", SEARCH_AIRLINES))),
     "search_summary": _on_flights(lambda fl: Q.search_summary(fl, SEARCH_SOURCE, SEARCH_DESTINATION)),
+    "search_summary_empty": _on_flights(lambda fl: Q.search_summary(fl, SEARCH_SOURCE, SEARCH_SOURCE + "_")),
     "search_airlines": _on_flights(lambda fl: Q.search_airlines(fl, SEARCH_SOURCE, SEARCH_DESTINATION)),
     "distinct_cities": _on_flights(Q.distinct_cities),
     # text parsing
@@ -148,6 +160,7 @@ QUERIES: dict[str, Query] = {
     # questions, screening, result helpers
     "question_metric_match": _questions,
     "question_answers": _answers,
+    "governed_rows": _on_flights(governed_rows),
     "query_log_screen": _on_flights(_screen),
     "result_sample_json": _on_flights(lambda fl: sample_json(M.run_metric(fl, "avg_price_by_airline"))),
     "result_chart_kind": _on_flights(_chart_kinds),

@@ -33,25 +33,50 @@ QUESTION_TEMPLATES = [
     "lowest price per route to {dst}",
 ]
 
-# Logged statements, good and bad. Same placeholders.
-SQL_TEMPLATES = [
-    "SELECT * FROM flights WHERE Source = '{src}' AND destination = '{dst}'",
-    "SELECT airline, AVG(Price) FROM flights WHERE airline = '{airline}' GROUP BY airline",
-    "DELETE FROM flights WHERE Price > {price}",
-    "SELECT * FROM flights, users WHERE Price = {price}",
-    "SELECT * FROM `users` WHERE airline = '{airline}'",
-    "SELECT * FROM flights WHERE Price < {price}; DROP TABLE flights",
-    "SELECT EXTRACT(YEAR FROM date_of_journey) FROM flights WHERE Source = '{src}'",
-    "SELECT * FROM flights.users WHERE Price = {price}",
-    "UPDATE flights SET Price = {price}",
-    "SELECT * FROM flights WHERE airline = 'updated {airline}'",
-    "  select route, count(*) from flights where destination = '{dst}' group by route;  ",
-    "SELECT * FROM flights JOIN users ON flights.airline = users.name",
-    "SELECT * FROM/**/users WHERE Price = {price}",
-    "WITH t AS (SELECT * FROM flights) SELECT * FROM t",
-    "SELECT * FROM flights -- {airline}",
-    "SELECT * FROM (SELECT * FROM flights WHERE Price > {price}) t",
+# Logged statements, good and bad, with the verdicts (compat,
+# strict) that a reader of the rules gives them. Same placeholders.
+SQL_VERDICTS = [
+    ("SELECT * FROM flights WHERE Source = '{src}' AND destination = '{dst}'", True, True),
+    ("SELECT airline, AVG(Price) FROM flights WHERE airline = '{airline}' GROUP BY airline", True, True),
+    ("DELETE FROM flights WHERE Price > {price}", False, False),
+    ("SELECT * FROM flights, users WHERE Price = {price}", True, False),
+    ("SELECT * FROM `users` WHERE airline = '{airline}'", True, False),
+    ("SELECT * FROM flights WHERE Price < {price}; DROP TABLE flights", False, False),
+    ("SELECT EXTRACT(YEAR FROM date_of_journey) FROM flights WHERE Source = '{src}'", False, True),
+    ("SELECT * FROM flights.users WHERE Price = {price}", True, False),
+    ("UPDATE flights SET Price = {price}", False, False),
+    ("SELECT * FROM flights WHERE airline = 'updated {airline}'", False, True),
+    ("  select route, count(*) from flights where destination = '{dst}' group by route;  ", True, True),
+    ("SELECT * FROM flights JOIN users ON flights.airline = users.name", False, False),
+    ("SELECT * FROM/**/users WHERE Price = {price}", True, False),
+    ("WITH t AS (SELECT * FROM flights) SELECT * FROM t", False, False),
+    ("SELECT * FROM flights -- {airline}", True, False),
+    ("SELECT * FROM (SELECT * FROM flights WHERE Price > {price}) t", True, True),
+    ("SELECT * FROM (users) WHERE Price = {price}", True, False),
+    ("SELECT * FROM(users) WHERE Source = '{src}'", True, False),
+    ("SELECT * FROM (SELECT * FROM flights WHERE Price > {price}) t, users", True, False),
+    ("SELECT * FROM flights STRAIGHT_JOIN users ON Price = {price}", False, False),
+    ("SELECT * FROM flights f JOIN flights g ON f.Price = g.Price, users", True, False),
+    ("SELECT Price FROM flights WHERE Price = {price} UNION TABLE users", True, False),
+    ("SELECT * FROM flights f USE INDEX (a), users WHERE Price = {price}", True, False),
+    ("INSERT INTO flights VALUES ('{airline}', {price})", False, False),
+    ("DROP TABLE flights", False, False),
+    ("SELECT * FROM users WHERE name = '{airline}'", False, False),
+    ("SELECT updated_at FROM flights WHERE Price = {price}", False, True),
+    ("SELECT * FROM flights INTO OUTFILE '/tmp/{price}'", True, False),
+    ("SELECT * FROM flights WHERE airline = 'a;{airline}'", False, True),
+    ("SELECT * FROM flights f JOIN flights g ON f.Price = g.Price WHERE f.Price = {price}", True, True),
+    ("SELECT * FROM flights AS f, users u WHERE f.Price = {price}", True, False),
+    ("SELECT Price FROM flights WHERE route IN (SELECT route FROM users WHERE Price = {price})", False, False),
+    ("SELECT TRIM(LEADING 'x' FROM airline) FROM flights WHERE Price = {price}", False, True),
+    ("SELECT * FROM flights WHERE airline = 'it''s {airline}'", True, True),
+    ("SELECT * FROM flights WHERE airline = '{src}", True, False),
+    ("SELECT * FROM flights # {price}", True, False),
+    ("SELECTED * FROM flights WHERE Price = {price}", True, False),
+    ("SELECT airline, route FROM flights WHERE Price IN ({price}, 1) ORDER BY airline, route", True, True),
+    ("SELECT MAX(Price), MIN(Price) FROM flights WHERE route IN (SELECT route FROM flights, users)", True, False),
 ]
+SQL_TEMPLATES = [t for t, _, _ in SQL_VERDICTS]
 
 
 def _fill(template: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from farelens.operators.metrics import REGISTRY
 from farelens.plans.catalog import SEARCH_AIRLINES, SEARCH_DESTINATION, SEARCH_SOURCE
-from farelens.plans.inputs import QUESTION_TEMPLATES, SQL_TEMPLATES, sql_case
+from farelens.plans.inputs import QUESTION_TEMPLATES, SQL_TEMPLATES, SQL_VERDICTS, sql_case
 
 FLIGHTS_CTE = """
 WITH base AS (
@@ -128,28 +128,43 @@ def _fill_sql(templates: list[str]) -> str:
             + ", '{src}', Source), '{dst}', destination), '{airline}', airline), '{price}', CAST(Price AS VARCHAR))")
 
 
-_COMPAT = """(starts_with(s, 'select')
-   AND NOT (contains(s, 'insert') OR contains(s, 'update') OR contains(s, 'delete') OR contains(s, 'drop')
-            OR contains(s, 'alter') OR contains(s, 'create') OR contains(s, 'truncate') OR contains(s, 'grant')
-            OR contains(s, 'attach') OR contains(s, 'pragma') OR contains(s, ';'))
-   AND len(list_filter(regexp_extract_all(s, 'from\\s+([a-zA-Z_][a-zA-Z0-9_]*)', 1)
-                       || regexp_extract_all(s, 'join\\s+([a-zA-Z_][a-zA-Z0-9_]*)', 1),
-                       lambda x: x <> 'flights')) = 0)"""
-
-_STRICT = """(regexp_matches(b, '^select\\b')
-   AND NOT contains(b, ';')
-   AND NOT regexp_matches(b, '--|/\\*|\\*/|#')
-   AND NOT regexp_matches(b, '[`"]')
-   AND NOT regexp_matches(b, '\\b(insert|update|delete|drop|alter|create|truncate|grant|attach|pragma|into)\\b')
-   AND (length(b) - length(replace(b, '''', ''))) % 2 = 0
-   AND NOT regexp_matches(e, '\\bfrom\\s+[a-zA-Z_][a-zA-Z0-9_]*(\\s+(as\\s+)?[a-zA-Z_][a-zA-Z0-9_]*)?\\s*,')
-   AND len(list_filter(regexp_extract_all(e, '\\b(?:from|join)\\s+([^\\s(),]+)', 1), lambda x: x <> 'flights')) = 0)"""
+def _verdict_sql(place: int) -> str:
+    """The hand-judged verdict of the statement that a row's price picks."""
+    arms = " ".join(f"WHEN {i} THEN {str(v[place]).lower()}" for i, v in enumerate(SQL_VERDICTS))
+    return f"CASE Price % {len(SQL_VERDICTS)} {arms} END"
 
 
 def _r4(c: str) -> str:
     return f"round({c}, 4) AS {c}"
 
 
+def _scalar_row(key: str, value: str) -> str:
+    return (f"SELECT '{key}' AS metric_key, CAST(NULL AS DOUBLE) AS sort_value, CAST(NULL AS VARCHAR) AS name, "
+            f"CAST(to_json(struct_pack({key} := {value})) AS VARCHAR) AS record FROM flights")
+
+
+# every row of the nine results: (metric_key, sort_value, name for ties, record)
+_RESULT_ROWS = " UNION ALL ".join([
+    _scalar_row("total_flights", "COUNT(*)"),
+    _scalar_row("total_airlines", "COUNT(DISTINCT airline)"),
+    _scalar_row("total_routes", "COUNT(DISTINCT Source || destination)"),
+    _scalar_row("avg_price", "ROUND(AVG(Price), 0)"),
+    _scalar_row("nonstop_rate", "CAST((2000 * SUM(CASE WHEN Total_stops = 'non-stop' THEN 1 ELSE 0 END) + COUNT(*))"
+                " // (2 * COUNT(*)) AS DOUBLE) / 10"),
+    f"""SELECT * FROM (SELECT 'busiest_route', CAST(COUNT(*) AS DOUBLE) AS v, {_OD} AS n,
+          CAST(to_json(struct_pack(od_route := {_OD}, flights := COUNT(*))) AS VARCHAR)
+        FROM flights GROUP BY {_OD} ORDER BY v DESC, n NULLS LAST LIMIT 1)""",
+    """SELECT * FROM (SELECT 'busiest_airport', CAST(COUNT(*) AS DOUBLE) AS v, Source AS n,
+          CAST(to_json(struct_pack(airport := Source, flights := COUNT(*))) AS VARCHAR)
+        FROM flights GROUP BY Source ORDER BY v DESC, n NULLS LAST LIMIT 1)""",
+    """SELECT 'avg_price_by_airline', ROUND(AVG(Price), 0), airline,
+          CAST(to_json(struct_pack(airline := airline, avg_price := ROUND(AVG(Price), 0))) AS VARCHAR)
+        FROM flights GROUP BY airline""",
+    f"""SELECT 'cheapest_flight_by_route', -CAST(MIN(Price) AS DOUBLE), {_OD},
+          CAST(to_json(struct_pack(od_route := {_OD}, cheapest_price := MIN(Price))) AS VARCHAR)
+        FROM flights GROUP BY {_OD}"""])
+
+
 ORACLE: dict[str, str] = {
     "metric_total_flights": "SELECT COUNT(*) AS total_flights FROM flights",
     "metric_total_airlines": "SELECT COUNT(DISTINCT airline) AS total_airlines FROM flights",
@@ -201,7 +216,9 @@ ORACLE: dict[str, str] = {
                CAST(SUM(Price) AS BIGINT) AS price_sum, COUNT(Price) AS price_n
         FROM keyed GROUP BY GROUPING SETS ((k1), (k2), (k3), (k4), (k5), (k6), ())""",
     "flight_search": f"SELECT {_SEARCH_COLS} FROM flights WHERE {_ROUTE_WHERE} ORDER BY Price",
-    "flight_search_by_duration": f"SELECT {_SEARCH_COLS} FROM flights WHERE {_ROUTE_WHERE} ORDER BY Duration",
+    "flight_search_by_duration": f"SELECT {_SEARCH_COLS} FROM flights WHERE {_ROUTE_WHERE} ORDER BY {DURATION_SQL}",
+    "flight_search_by_duration_text": f"SELECT {_SEARCH_COLS} FROM flights WHERE {_ROUTE_WHERE} ORDER BY Duration",
+    "flight_search_sql": f"SELECT {_SEARCH_COLS} FROM flights WHERE {_ROUTE_WHERE}",
     "flight_search_airlines": f"""SELECT {_SEARCH_COLS} FROM flights
         WHERE {_ROUTE_WHERE} AND airline IN ({_AIRLINES_IN})""",
     "flight_search_cheapest": f""", r AS (SELECT {_SEARCH_COLS} FROM flights
@@ -213,6 +230,9 @@ ORACLE: dict[str, str] = {
         CASE WHEN COUNT(*) > 0 THEN CAST(COUNT(*) AS VARCHAR) || ' flights found | Cheapest: ₹' || CAST(MIN(Price) AS VARCHAR)
              ELSE 'No flights found for this route!' END AS banner
         FROM flights WHERE {_ROUTE_WHERE}""",
+    "search_summary_empty": f"""SELECT COUNT(*) AS flights_found, MIN(Price) AS cheapest_price,
+        'No flights found for this route!' AS banner
+        FROM flights WHERE Source = '{SEARCH_SOURCE}' AND destination = '{SEARCH_SOURCE}_'""",
     "search_airlines": f"SELECT DISTINCT airline AS Airline FROM flights WHERE {_ROUTE_WHERE}",
     "distinct_cities": """SELECT DISTINCT 'source' AS side, Source AS city FROM flights
         UNION ALL SELECT DISTINCT 'destination', destination FROM flights""",
@@ -258,43 +278,17 @@ ORACLE: dict[str, str] = {
             UNION ALL
             SELECT 'conversation', text FROM conversations WHERE role = 'user'),
         matched AS (SELECT origin, question, {_match_sql('first')} AS metric_first FROM questions),
-        answers AS (
-          SELECT 'total_flights' AS metric_key,
-                 '[' || CAST(to_json(struct_pack(total_flights := COUNT(*))) AS VARCHAR) || ']' AS answer FROM flights
-          UNION ALL SELECT 'total_airlines',
-                 '[' || CAST(to_json(struct_pack(total_airlines := COUNT(DISTINCT airline))) AS VARCHAR) || ']' FROM flights
-          UNION ALL SELECT 'total_routes',
-                 '[' || CAST(to_json(struct_pack(total_routes := COUNT(DISTINCT Source || destination))) AS VARCHAR)
-                 || ']' FROM flights
-          UNION ALL SELECT 'avg_price',
-                 '[' || CAST(to_json(struct_pack(avg_price := ROUND(AVG(Price), 0))) AS VARCHAR) || ']' FROM flights
-          UNION ALL SELECT 'nonstop_rate',
-                 '[' || CAST(to_json(struct_pack(nonstop_rate := CAST((2000 * SUM(CASE WHEN Total_stops = 'non-stop'
-                   THEN 1 ELSE 0 END) + COUNT(*)) // (2 * COUNT(*)) AS DOUBLE) / 10)) AS VARCHAR) || ']' FROM flights
-          UNION ALL SELECT 'busiest_route', '[' || string_agg(CAST(to_json(struct_pack(od_route := r, flights := n))
-                   AS VARCHAR), ',' ORDER BY n DESC, r NULLS LAST) || ']'
-                 FROM (SELECT {_OD} AS r, COUNT(*) AS n FROM flights GROUP BY 1 ORDER BY n DESC, r NULLS LAST LIMIT 1)
-          UNION ALL SELECT 'busiest_airport', '[' || string_agg(CAST(to_json(struct_pack(airport := a, flights := n))
-                   AS VARCHAR), ',' ORDER BY n DESC, a NULLS LAST) || ']'
-                 FROM (SELECT Source AS a, COUNT(*) AS n FROM flights GROUP BY 1 ORDER BY n DESC, a NULLS LAST LIMIT 1)
-          UNION ALL SELECT 'avg_price_by_airline', '[' || string_agg(CAST(to_json(struct_pack(airline := a,
-                   avg_price := p)) AS VARCHAR), ',' ORDER BY p DESC, a NULLS LAST) || ']'
-                 FROM (SELECT airline AS a, ROUND(AVG(Price), 0) AS p FROM flights GROUP BY 1
-                       ORDER BY p DESC, a NULLS LAST LIMIT 20)
-          UNION ALL SELECT 'cheapest_flight_by_route', '[' || string_agg(CAST(to_json(struct_pack(od_route := r,
-                   cheapest_price := c)) AS VARCHAR), ',' ORDER BY c, r NULLS LAST) || ']'
-                 FROM (SELECT {_OD} AS r, MIN(Price) AS c FROM flights GROUP BY 1
-                       ORDER BY c NULLS LAST, r NULLS LAST LIMIT 20))
-        SELECT m.origin, m.question, m.metric_first, a.answer
+        rows AS ({_RESULT_ROWS}),
+        ranked AS (SELECT metric_key, record, row_number() OVER (PARTITION BY metric_key ORDER BY sort_value DESC NULLS LAST,
+                     name NULLS LAST) AS rn FROM rows),
+        answers AS (SELECT metric_key, COUNT(*) AS row_count,
+                      '[' || string_agg(record, ',' ORDER BY rn) FILTER (WHERE rn <= 20) || ']' AS sample
+                    FROM ranked GROUP BY metric_key)
+        SELECT m.origin, m.question, m.metric_first, a.row_count, a.sample
         FROM matched m LEFT JOIN answers a ON m.metric_first = a.metric_key""",
-    "query_log_screen": f""", logged AS (SELECT {_fill_sql(SQL_TEMPLATES)} AS sql_text FROM flights),
-        prepared AS (SELECT sql_text,
-            lower(regexp_replace(regexp_replace(sql_text, '^\\s+|\\s+$', '', 'g'), ';+$', '')) AS s FROM logged),
-        blanked AS (SELECT *, regexp_replace(s, '''(?:[^''\\\\]|\\\\.|'''')*''', '''''', 'g') AS b FROM prepared),
-        bodies AS (SELECT *, regexp_replace(b, '\\b(extract|trim|substring|overlay)\\s*\\([^()]*\\)', '\\1()', 'g') AS e
-                   FROM blanked)
-        SELECT sql_text, COALESCE({_COMPAT}, false) AS safe_compat, COALESCE({_STRICT}, false) AS safe_strict
-        FROM bodies""",
+    "governed_rows": f""", rows AS ({_RESULT_ROWS}) SELECT metric_key, sort_value, record FROM rows""",
+    "query_log_screen": f"""SELECT {_fill_sql(SQL_TEMPLATES)} AS sql_text, {_verdict_sql(1)} AS safe_compat,
+               {_verdict_sql(2)} AS safe_strict FROM flights""",
     "result_sample_json": """, r AS (SELECT airline, ROUND(AVG(Price), 0) AS avg_price FROM flights
             GROUP BY airline ORDER BY avg_price DESC, airline LIMIT 20)
         SELECT CAST(row_number() OVER (ORDER BY avg_price DESC, airline) AS INTEGER) AS rn,

@@ -2,8 +2,9 @@
 
 On a cluster, ``spark.checkpoint.dir`` names a shared folder (HDFS, S3, ...)
 that every executor can reach; all lineage cuts and materialised tables go
-below it. Only when the setting is missing (local runs, tests) do we pick a
-fresh local folder, once per process.
+below it. Only when the setting is missing and the master is local (tests) do
+we pick a fresh local folder, once per process; a cluster session without the
+setting is refused, for its executors would each write to their own disk.
 """
 
 from __future__ import annotations
@@ -52,9 +53,10 @@ def build_session(cpus: int | str = "*", app: str = "farelens",
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised tables.
 
-    Reads ``spark.checkpoint.dir`` from the session. If it is unset we are not
-    on a configured cluster, so a fresh local folder is created for this
-    process and registered as the checkpoint directory.
+    Reads ``spark.checkpoint.dir`` from the session. If it is unset, a session
+    with a checkpoint folder of its own uses that one; a local session gets a
+    fresh local folder, registered as the checkpoint directory; any other master
+    raises, as no folder is known that all executors share.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -66,6 +68,8 @@ def scratch_root(spark: SparkSession) -> str:
     if current:
         # setCheckpointDir appends a per-application uuid folder; use its parent
         return current.rstrip("/").rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _LOCAL_FALLBACK:
         _LOCAL_FALLBACK[key] = tempfile.mkdtemp(prefix="farelens-scratch-")

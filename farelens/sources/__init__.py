@@ -4,9 +4,11 @@ from farelens.sources.flights import (
     flights_from_star,
     flights_table,
     ingest_flights,
+    jdbc_partitions,
     load_flights,
     materialize,
     register_view,
 )
 
-__all__ = ["flights_from_star", "flights_table", "ingest_flights", "load_flights", "materialize", "register_view"]
+__all__ = ["flights_from_star", "flights_table", "ingest_flights", "jdbc_partitions",
+           "load_flights", "materialize", "register_view"]

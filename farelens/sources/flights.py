@@ -26,23 +26,46 @@ from farelens.session import scratch_root
 
 STAR_TABLES = ("lineitem", "orders", "customer", "supplier", "part", "nation")
 # bump when the derivation below changes, so stale materialisations are ignored
-DERIVATION_VERSION = "7"
+DERIVATION_VERSION = "8"
+# The reader options that make a JDBC read parallel.
+JDBC_PARALLEL = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+PARSED = ("duration_minutes", "stops_num")
 
 _MEMO: dict[tuple[str, str], DataFrame] = {}
 
 
 def load_flights(spark: SparkSession, path: str | None = None, fmt: str = "parquet",
-                 options: dict[str, str] | None = None) -> DataFrame:
+                 options: dict[str, str] | None = None, single_task: bool = False) -> DataFrame:
     """Read a fare table and project it onto the fixed schema.
 
-    ``fmt="jdbc"`` takes the usual reader options (url, dbtable, and for a
-    parallel read partitionColumn/lowerBound/upperBound/numPartitions).
+    ``fmt="jdbc"`` takes the usual reader options (url, dbtable, ...) and the
+    four of a parallel read (see :func:`jdbc_partitions`); without these a
+    single task would read the whole table, which is refused unless
+    ``single_task`` says that it is small.
+
+    A CSV value that does not fit the schema ends the read with an error
+    (``mode`` FAILFAST): it is never turned into NULL. Parsed columns of an
+    ingested table (``duration_minutes``, ``stops_num``) are kept.
     """
-    reader = spark.read.format(fmt).options(**(options or {}))
+    options = {"header": "true", "mode": "FAILFAST"} | (options or {}) if fmt == "csv" else options or {}
+    if fmt == "jdbc" and not single_task and not all(k in options for k in JDBC_PARALLEL):
+        raise ValueError(f"a JDBC read needs {', '.join(JDBC_PARALLEL)} (or single_task=True)")
+    reader = spark.read.format(fmt).options(**options)
     if fmt == "csv":
-        reader = reader.schema(S.FLIGHTS).option("header", "true")
+        reader = reader.schema(S.FLIGHTS)
     df = reader.load(path) if path is not None else reader.load()
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in S.FLIGHTS.fields])
+    kept = [F.col(c) for c in PARSED if c in df.columns]
+    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in S.FLIGHTS.fields] + kept)
+
+
+def jdbc_partitions(column: str, lower: int | str, upper: int | str, rows: int,
+                    rows_per_task: int = 1_000_000) -> dict[str, str]:
+    """Reader options that split a JDBC read of about ``rows`` rows on a number,
+    date or timestamp column whose values lie between ``lower`` and ``upper``
+    (values outside are read by the first and last task)."""
+    if rows < 0 or rows_per_task < 1:
+        raise ValueError("rows must not be negative, rows_per_task at least 1")
+    return dict(zip(JDBC_PARALLEL, (column, str(lower), str(upper), str(max(1, -(-rows // rows_per_task)))), strict=True))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, cols: list[str]) -> DataFrame:
@@ -145,12 +168,17 @@ _WRITE_LOCK = threading.Lock()
 
 
 def materialize(df: DataFrame, path: str, sort_within: list[str] | None = None,
-                partitions: int | None = None) -> DataFrame:
-    """Write ``df`` as parquet at ``path`` (once) and return a scan of it.
+                partitions: int | None = None, if_exists: str = "error") -> DataFrame:
+    """Write ``df`` as parquet at ``path`` and return a scan of it.
 
     The write cuts lineage: later plans start at a parquet scan with column
     pruning and pushed filters instead of recomputing the joins.
 
+    If ``path`` already holds a table, ``if_exists`` decides: "error" raises,
+    "replace" puts the new table in its place, "reuse" returns the table that is
+    there without looking at ``df`` (only for paths that name their content,
+    like those keyed by an input's fingerprint).
+
     ``partitions`` spreads the rows evenly over that many files first (a
     round-robin repartition: one shuffle, paid once at ingest, which Spark
     makes deterministic for retries by sorting locally before it). The file
@@ -167,9 +195,14 @@ def materialize(df: DataFrame, path: str, sort_within: list[str] | None = None,
     table; a failed or lost job leaves only its own temporary folder behind
     and the next call writes again.
     """
+    if if_exists not in ("error", "replace", "reuse"):
+        raise ValueError(if_exists)
     spark = df.sparkSession
     with _WRITE_LOCK:
-        if not _hadoop_exists(spark, f"{path}/_SUCCESS"):
+        there = _hadoop_exists(spark, f"{path}/_SUCCESS")
+        if there and if_exists == "error":
+            raise FileExistsError(f"{path} already holds a table")
+        if not there or if_exists == "replace":
             tmp = f"{path}.tmp-{uuid.uuid4().hex}"
             out = df.repartition(partitions) if partitions else df
             if sort_within:
@@ -180,14 +213,17 @@ def materialize(df: DataFrame, path: str, sort_within: list[str] | None = None,
             parent = target.getParent()
             if not fs.exists(parent):
                 fs.mkdirs(parent)
+            if there:
+                fs.delete(target, True)
             if not fs.rename(staged, target):
-                # another writer finished first; keep its table, drop ours
                 fs.delete(staged, True)
+                if if_exists != "reuse":    # another writer came first: its rows are not ours
+                    raise FileExistsError(f"{path} was written by another job")
     return spark.read.parquet(path)
 
 
 def _input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Identify the inputs by path, size, file count and modification time,
+    """Identify the inputs by path, length and modification time of every file,
     through the Hadoop file system so it works for any cluster store."""
     h = hashlib.sha1(DERIVATION_VERSION.encode())
     h.update(sf_dir.encode())
@@ -197,15 +233,15 @@ def _input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
             h.update(inspect.getsource(module).encode())
         except (OSError, TypeError):      # no source shipped: the version alone
             pass
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for name in STAR_TABLES:
-        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-        fs = p.getFileSystem(conf)
-        if fs.exists(p):
-            summary = fs.getContentSummary(p)
-            mtime = fs.getFileStatus(p).getModificationTime()
-            h.update(f"{name}:{summary.getLength()}:{summary.getFileCount()}:{mtime}".encode())
+        fs, p = _fs(spark, f"{sf_dir}/{name}.parquet")
+        if not fs.exists(p):
+            continue
+        listing, files = fs.listFiles(p, True), []
+        while listing.hasNext():
+            f = listing.next()
+            files.append(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}")
+        h.update(f"{name}:{';'.join(sorted(files))}".encode())
     return h.hexdigest()[:16]
 
 
@@ -235,11 +271,13 @@ def file_count(spark: SparkSession, input_bytes: int, target_bytes: int = TARGET
     return max(spark.sparkContext.defaultParallelism, -(-input_bytes // target_bytes))
 
 
-def ingest_flights(df: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
+def ingest_flights(df: DataFrame, path: str, partitions: int | None = None,
+                   if_exists: str = "error") -> DataFrame:
     """Ingest any fare table (e.g. from :func:`load_flights`): parse the text
     columns once, write evenly sized parquet files sorted by route at ``path``
     (shared storage) and return a scan of it. Later queries read numbers and
-    prune columns.
+    prune columns. A path that already holds a table raises, unless
+    ``if_exists`` says otherwise (see :func:`materialize`).
     ``partitions`` defaults to one file per 256 MB of input, taken from the
     planner's size estimate (for a file scan: the listed file sizes, with no
     extra file-system calls)."""
@@ -249,8 +287,9 @@ def ingest_flights(df: DataFrame, path: str, partitions: int | None = None) -> D
         # session's shuffle partition count
         partitions = (file_count(df.sparkSession, size) if size < UNKNOWN_SIZE
                       else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return materialize(with_parsed(df), path, sort_within=[S.SOURCE, S.DESTINATION],
-                       partitions=partitions)
+    base = df.select([c for c in df.columns if c not in PARSED])
+    return materialize(with_parsed(base), path, sort_within=[S.SOURCE, S.DESTINATION],
+                       partitions=partitions, if_exists=if_exists)
 
 
 def flights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,5 +308,5 @@ def flights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             _MEMO[key] = spark.read.parquet(path)
         else:
             size = _bytes_under(spark, [f"{sf_dir}/{t}.parquet" for t in STAR_TABLES])
-            _MEMO[key] = ingest_flights(flights_from_star(spark, sf_dir), path, file_count(spark, size))
+            _MEMO[key] = ingest_flights(flights_from_star(spark, sf_dir), path, file_count(spark, size), "reuse")
     return _MEMO[key]

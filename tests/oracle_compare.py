@@ -73,9 +73,9 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
 
 if __name__ == "__main__":
     from farelens.session import build_session
-    from __spark_entry__ import queries
+    from __spark_entry__ import oracle_sql
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(queries())
+    names = sys.argv[2:] or list(oracle_sql())
     spark = build_session(8)
     con = duck(sf_dir)
     bad = 0

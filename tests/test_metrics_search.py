@@ -3,6 +3,8 @@
 import datetime as dt
 
 
+from pyspark.sql import functions as F
+
 from farelens import schema as S
 from farelens.operators import metrics as M
 from farelens.operators import profile as P
@@ -94,9 +96,9 @@ def test_search_sort_filter_and_cheapest(spark):
     res = Q.search_flights(df, "X", "Y", airlines=["A"]).collect()
     assert [(r["Price"], r["is_cheapest"]) for r in res] == [(300, True)]
     # duration sorted as text: "10h" < "2h" < "3h"
-    by_text = [r["Duration"] for r in Q.sort_rows(Q.route_rows(df, "X", "Y"), "duration").collect()]
+    by_text = [r["Duration"] for r in Q.sort_rows(Q.route_rows(df, "X", "Y"), "duration", "text").collect()]
     assert by_text == ["10h", "2h", "3h"]
-    by_min = [r["Duration"] for r in Q.sort_rows(Q.route_rows(df, "X", "Y"), "duration", "minutes").collect()]
+    by_min = [r["Duration"] for r in Q.sort_rows(Q.route_rows(df, "X", "Y"), "duration").collect()]
     assert by_min == ["2h", "3h", "10h"]
     summ = Q.search_summary(df, "X", "Y").first()
     assert (summ["flights_found"], summ["cheapest_price"]) == (3, 100)
@@ -194,11 +196,28 @@ def test_bulk_answers(spark):
     df = _df(spark, [_row(price=100), _row(price=201), _row(airline="B", src="Z", price=50)])
     qs = spark.createDataFrame([("what is the average price?",), ("busiest route please",), ("hello",)],
                                "question string")
-    got = {r["question"]: (r["metric_first"], r["answer"]) for r in answer_questions(qs, df).collect()}
-    assert got["hello"] == (None, None)
-    assert got["what is the average price?"] == ("avg_price", '[{"avg_price":117.0}]')
-    key, ans = got["busiest route please"]
-    assert key == "busiest_route" and _json.loads(ans) == [{"od_route": "X -> Y", "flights": 2}]
+    got = {r["question"]: (r["metric_first"], r["row_count"], r["sample"]) for r in answer_questions(qs, df).collect()}
+    assert got["hello"] == (None, None, None)
+    assert got["what is the average price?"] == ("avg_price", 1, '[{"avg_price":117.0}]')
+    key, n, sample = got["busiest route please"]
+    assert key == "busiest_route" and n == 1 and _json.loads(sample) == [{"od_route": "X -> Y", "flights": 2}]
+
+
+def test_governed_results_are_whole(spark):
+    import json as _json
+    from farelens.operators.questions import answer_questions, governed_rows
+    df = _df(spark, [_row(airline=f"A{i:02d}", price=100 + i) for i in range(50)])
+    rows = governed_rows(df).where("metric_key = 'avg_price_by_airline'").orderBy(F.desc("sort_value")).collect()
+    assert [_json.loads(r["record"]) for r in rows] == \
+        [{"airline": f"A{i:02d}", "avg_price": 100.0 + i} for i in reversed(range(50))]
+    qs = spark.createDataFrame([("price by airline",)], "question string")
+    got = answer_questions(qs, df, mode="longest").first()
+    assert got["row_count"] == 50 and len(_json.loads(got["sample"])) == 20
+
+
+def test_results_without_a_checkpoint_folder(spark):
+    # a session that never set one: metric_results sets it itself
+    assert M.metric_results(_df(spark, [_row()]))["total_flights"].first()[0] == 1
 
 
 def test_parameterised_sql_search(spark):

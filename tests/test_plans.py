@@ -43,6 +43,17 @@ def test_outlier_rows_are_not_shuffled(spark):
         assert pruned not in plan           # column pruning reaches the scan
 
 
+def test_report_text_is_made_for_the_kept_rows_only(spark):
+    plan = _plan(spark, "outlier_report")
+    assert "format_string" not in plan.split("TakeOrderedAndProject")[1]
+
+
+def test_size_check_sums_in_the_tasks(spark):
+    import inspect
+    from farelens.plans import strategy
+    assert ".limit(" not in inspect.getsource(strategy)      # a limit would gather rows in one task
+
+
 def test_kpis_single_scan(spark):
     plan = _plan(spark, "kpi_bundle")
     assert plan.count("FileScan") == 1

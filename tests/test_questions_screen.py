@@ -5,6 +5,8 @@ import pytest
 from farelens.operators.questions import match_metric, match_question
 from farelens.operators.screen import screen
 
+# The questions and the first statements below are the documented
+# examples of the two rules, with the verdicts they are documented with.
 QUESTIONS = [
     ("What is the average price?", "avg_price", "avg_price"),
     ("How many total flights are there?", "total_flights", "total_flights"),
@@ -57,6 +59,20 @@ SCREEN = [
     ("SELECT * FROM flights WHERE a = 'unterminated", True, False),
     ("SELECT * FROM flights # comment", True, False),
     ("SELECTED * FROM flights", True, False),
+    ("SELECT * FROM (users)", True, False),
+    ("SELECT * FROM(users)", True, False),
+    ("SELECT * FROM (SELECT * FROM flights) t, users", True, False),
+    ("SELECT * FROM flights STRAIGHT_JOIN users", False, False),
+    ("SELECT * FROM flights STRAIGHT_JOIN(users)", True, False),
+    ("SELECT * FROM flights f JOIN flights g ON f.x=g.x, users", True, False),
+    ("SELECT * FROM flights UNION TABLE users", True, False),
+    ("SELECT * FROM flights f USE INDEX (a), users", True, False),
+    ("SELECT * FROM flights WHERE a IN (SELECT b FROM flights, users)", True, False),
+    ("SELECT * FROM (SELECT * FROM (SELECT a, b FROM flights) t) u", True, True),
+    ("SELECT a, (SELECT MAX(b) FROM flights), c FROM flights ORDER BY a, c", True, True),
+    ("SELECT * FROM flights WHERE a = (1", True, False),
+    ("SELECT a FROM flights GROUP BY a, b HAVING COUNT(*) > 1", True, True),
+    ("SELECT * FROM ((((((((((SELECT * FROM flights) a) b) c) d) e) f) g) h) i) j", True, False),
 ]
 
 

@@ -31,11 +31,12 @@ def test_sample_json_keeps_order_and_bounds(spark):
 def test_bounded_broadcast_checks_size(spark):
     small = spark.range(10).withColumnRenamed("id", "k")
     big = spark.range(1000).withColumnRenamed("id", "k")
+    long_keys = spark.range(10).selectExpr("id as k", "repeat('x', 1000) as name")   # few rows, many bytes
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        hinted = big.join(bounded_broadcast(small, max_rows=100), "k")
-        unhinted = big.join(bounded_broadcast(big.select("k"), max_rows=100), "k")
+        hinted = big.join(bounded_broadcast(small, max_bytes=4000), "k")
         assert "BroadcastHashJoin" in _plan(hinted)
-        assert "BroadcastHashJoin" not in _plan(unhinted)
+        for other in (big.select("k"), long_keys):
+            assert "BroadcastHashJoin" not in _plan(big.join(bounded_broadcast(other, max_bytes=4000), "k"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
