@@ -9,9 +9,10 @@ prefix tokens under two more orders before they are verified:
 1. Order 1 puts rare tokens first: tokens that are frequent in some batch go
    last, by magnitude, then by hash. Orders 2 and 3 use other hashes. Any order
    gives right results, so that the estimate of the frequencies is not critical.
-2. Prefix tokens that a single node has are dropped. The rest form groups (token,
-   size class); sizes that can't reach the similarity never meet, nor do places
-   in the prefixes that leave too little in common.
+2. A prefix token and a size class make a group; sizes that can't reach the
+   similarity hardly meet. Groups of a single node are dropped: a bitmap of
+   fixed size tells the tasks which groups may have more. Places in the prefixes
+   that leave too little in common don't meet either.
 3. In each group one pivot, the node with the earliest place, is paired with the
    others: as many pairs as rows. Verified links give components.
 4. Pairs that are still in different components meet within their groups; a
@@ -39,6 +40,7 @@ from farelens.llm.common import (Words, arrow_map, bit_sketch, blocks, component
 
 HOT_SHARE = 1 / 2000      # of the documents; only moves a token in the orders
 HOT_TOKENS = 1 << 18      # the most frequent ones that are moved (a bound of the broadcast)
+GROUP_BITS = 1 << 26
 CLASSES = 32              # hash classes of the count vector
 SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
@@ -107,27 +109,55 @@ def _hot_tokens(rows: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], magnitude[order]
 
 
-def _prefixes(docs: DataFrame, width: int, percent: int, hot, magnitude) -> DataFrame:
-    """(token, fp, n, place) of order 1; equal sets of a batch once. Sets so small
-    that only equal ones reach the similarity have no rows."""
+def _grouped_prefixes(batch: pa.RecordBatch, width: int, percent: int, hot, magnitude):
+    """(group, fp, n, place) arrays of order 1, one group per prefix token and
+    size class; equal sets of a batch once. Sets so small that only equal ones
+    reach the similarity have no rows.
+
+    A class is two steps of the similarity wide (a little more, for rounding).
+    A size in its upper half belongs to the next class too, so that any two
+    sizes that may link share one."""
     least = -(-percent // (100 - percent))
+    step = 2 * float(np.log(100 / percent * 1.0005))
+    out, done = [], set()
+    for _, t in _sets(batch, width):
+        n = len(t)
+        if n < least:
+            continue
+        fp = _fingerprint(t)
+        if fp in done:
+            continue
+        done.add(fp)
+        p = _ordered(t, 0, hot, magnitude, _prefix_length(n, percent))
+        place = np.arange(len(p))
+        size = float(np.log(n)) / step
+        for c in [int(size)] + [int(size) + 1] * (size - int(size) >= 0.5 - 1e-9):
+            out.append((mix(p ^ mix(np.array([c + 1], np.uint64))), np.full(len(p), fp, np.uint64), np.full(len(p), n), place))
+    if not out:
+        return None
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _group_sizes(docs: DataFrame, *how) -> DataFrame:
+    """(grp, n): how many sets of a batch are in a group, a row per batch."""
+    def run(batch: pa.RecordBatch):
+        rows = _grouped_prefixes(batch, *how)
+        if rows:
+            group, n = np.unique(rows[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([longs(group), longs(n)], ["grp", "n"])
+    return arrow_map(docs, run, "grp long, n long")
 
+
+def _group_rows(docs: DataFrame, sketch: np.ndarray, *how) -> DataFrame:
+    """(grp, fp, n, place) of the groups that may have several sets."""
     def run(batch: pa.RecordBatch):
-        out, done = [], set()
-        for _, t in _sets(batch, width):
-            if len(t) < least:
-                continue
-            fp = _fingerprint(t)
-            if fp in done:
-                continue
-            done.add(fp)
-            p = _ordered(t, 0, hot, magnitude, _prefix_length(len(t), percent))
-            out.append((p, np.full(len(p), fp, np.uint64), np.full(len(p), len(t)), np.arange(len(p))))
-        if out:
-            token, fp, n, place = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([longs(token), longs(fp), pa.array(n.astype(np.int32)),
-                                              pa.array(place.astype(np.int32))], ["token", "fp", "n", "place"])
-    return arrow_map(docs, run, "token long, fp long, n int, place int")
+        rows = _grouped_prefixes(batch, *how)
+        if rows:
+            keep = in_sketch(sketch, rows[0])
+            group, fp, n, place = (x[keep] for x in rows)
+            yield pa.RecordBatch.from_arrays([longs(group), longs(fp), pa.array(n.astype(np.int32)),
+                                              pa.array(place.astype(np.int32))], ["grp", "fp", "n", "place"])
+    return arrow_map(docs, run, "grp long, fp long, n int, place int")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, hot, magnitude) -> DataFrame:
@@ -186,20 +216,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     reps = stage_table(spark, per_doc.where("n > 0").groupBy("fp").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("counts").alias("counts")), "reps")
 
-    prefixes = stage_table(spark, _prefixes(docs, width, percent, hot, magnitude), "prefixes")
-    shared = (prefixes.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-              .where("lo <> hi").select("token"))
-    # size classes a little wider than the similarity: sizes that can link are at most one class apart
-    size_class = F.floor(F.log(F.col("n")) / float(np.log(100 / percent * 1.0005))).cast("int")
-    grouped = stage_table(spark, prefixes.join(shared, "token").distinct()
-                          .select("*", F.explode(F.array(size_class, size_class + 1)).alias("size_class")), "groups")
+    how = (width, percent, hot, magnitude)
+    several = _group_sizes(docs, *how).groupBy("grp").agg(F.sum("n").alias("n")).where("n > 1")
+    sketch = bit_sketch(several.select("grp"), "grp", GROUP_BITS)
+    # equal sets of different batches are one member
+    grouped = stage_table(spark, _group_rows(docs, sketch, *how).distinct(), "groups")
 
     def may_link(a, b):
         n = F.col(f"{a}n") + F.col(f"{b}n")
         return ((100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n"))
                 & ((100 + percent) * (F.col(f"{a}place") + F.col(f"{b}place")) <= (100 - percent) * n))
 
-    key = ["token", "size_class"]
+    key = ["grp"]
     pivots = (grouped.groupBy(*key).agg(F.min(F.struct("place", "n", "fp")).alias("p"), F.count("*").alias("members"))
               .where("members > 1").select(*key, F.col("p.fp").alias("p_fp"), F.col("p.n").alias("p_n"),
                                            F.col("p.place").alias("p_place")))

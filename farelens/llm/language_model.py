@@ -171,7 +171,7 @@ class ContextTree:
         for k in range(8):
             q = np.clip(p[:, node:node + (1 << k)], 1e-12, 1 - 1e-12)
             node += 1 << k
-            out = np.stack([out + np.log10(1 - q), out + np.log10(q)], axis=2).reshape(len(p), -1)
+            out = np.stack([out + np.log10(1 - q), out + np.log10(q)], axis=2).reshape(len(p), 2 << k)
         return out
 
     def rows(self, context: np.ndarray) -> np.ndarray:

@@ -69,8 +69,8 @@ FAMILIES = [
     ("mit", "mit licen", [r"mit license", r"the mit licence"], []),
     ("mit", "mit x11", [r"mit x11 license"], []),
     ("mit", "expat", [r"expat license"], []),
-    ("bsd", "bsd", [r"bsd license", r"bsd style license", r"berkeley software distribution license"],
-     []),
+    ("bsd", "bsd", [r"bsd license", r"bsd style license"], []),
+    ("bsd", "berkeley", [r"berkeley software distribution license"], []),
     ("bsd-2-clause", "bsd", [r"(?:2|two) clause bsd(?: license)?", r"bsd (?:2|two) clause(?: license)?",
                              r"simplified bsd license", r"freebsd license"], []),
     ("bsd-3-clause", "bsd", [r"(?:3|three) clause bsd(?: license)?", r"bsd (?:3|three) clause(?: license)?",
