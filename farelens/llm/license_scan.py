@@ -79,7 +79,8 @@ FAMILIES = [
     ("zlib", "zlib", [r"zlib license", r"zlib libpng license"], []),
     ("unlicense", "unlicense", [r"the unlicense", r"unlicense org"], []),
     ("wtfpl", "wtfpl", [r"wtfpl"], []),
-    ("cc0", "cc0", [r"cc0(?: 1 0)?(?: universal)?", r"creative commons zero"], []),
+    ("cc0", "cc0", [r"cc0(?: 1 0)?(?: universal)?"], []),
+    ("cc0", "creative commons", [r"creative commons zero"], []),
     ("public-domain", "public domain", [r"public domain", r"dedicated to the public domain"], []),
 ]
 

@@ -89,7 +89,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT,
     items = stage_table(labelled.sparkSession, labelled.withColumn("id", F.monotonically_increasing_id()), "urls")
     kept = (items.select("id", F.explode("tokens").alias("t")).join(frequent, "t")
             .groupBy("id").agg(F.collect_set("t").alias("ts")))
-    transactions = (items.join(kept, "id", "left")
+    transactions = (items.join(kept.hint("merge"), "id", "left")
                     .select(F.concat(F.coalesce("ts", F.array().cast("array<string>")),
                                      F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items")))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(transactions)
@@ -116,7 +116,7 @@ def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
             .where("found = needs"))
     best = fits.groupBy("have").agg(F.max_by("verdict", F.struct(
         "confidence", "support", "needs", (F.col("verdict") == "allow").alias("a"), "rule_id")).alias("mined"))
-    return reduced.join(best, "have").select("page_key", "mined")
+    return reduced.hint("merge").join(best, "have").select("page_key", "mined")
 
 
 def filter_urls(pages: DataFrame, min_support: float = MIN_SUPPORT,
@@ -136,7 +136,7 @@ def filter_urls(pages: DataFrame, min_support: float = MIN_SUPPORT,
     # equal urls are matched once; their 64-bit key and host and path stand for the url
     open_urls = judged.where("rule is null").groupBy("page_key").agg(F.any_value("tokens").alias("tokens"))
     found = apply_rules(open_urls, mined)
-    return (judged.join(found, "page_key", "left")
+    return (judged.join(found.hint("merge"), "page_key", "left")
             .select("page_id", "host", "path", "rule",
                     F.coalesce("listed", F.when(F.col("rule").isNull(), F.col("mined")), F.lit("allow"))
                     .alias("verdict")))

@@ -1,0 +1,119 @@
+"""Counts and base score against a dictionary; the tree against a recursive
+statement of context-tree weighting; probabilities sum to one."""
+
+import collections
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from llm_data import docs, edge_rows, empty, lowered, random_rows
+
+from farelens.llm import language_model as L
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_base(rows):
+    tokens = [(i, [*WORDS.findall(lowered(t)), None]) for i, t in rows if i is not None]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in tokens}
+    c = collections.Counter(w for i, ws in tokens if not held[i] for w in ws)
+    n, v = sum(c.values()), len(c)
+    return sorted((i, held[i], len(ws), sum(c[w] > 0 for w in ws), n,
+                   round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens)
+
+
+def base(df):
+    return sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6))
+                  for r in df.collect())
+
+
+@pytest.mark.parametrize("dictionary", [1 << 18, 20])
+def test_base_score(spark, monkeypatch, dictionary):
+    monkeypatch.setattr(L, "DICTIONARY", dictionary)   # with 20 words, most counts come by the join
+    rows = random_rows(1)
+    assert base(L.score_documents(docs(spark, rows, clash=True))) == plain_base(rows)
+
+
+def test_edges(spark):
+    out = L.score_documents(docs(spark, edge_rows(), clash=True))
+    assert base(out) == plain_base(edge_rows())
+    by = {r["doc_id"]: r for r in out.collect()}
+    assert by[1]["score"] == 0 and by[2]["score"] == 0 and by[1]["n_tokens"] == 1
+    assert all(r["score"] <= 0 for r in by.values())
+    assert L.score_documents(empty(spark)).count() == 0
+
+
+def log_kt(a, b):
+    return math.lgamma(a + .5) + math.lgamma(b + .5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+
+def test_tree_is_context_tree_weighting():
+    rng = np.random.default_rng(4)
+    text = bytes(rng.choice(list(b"abca"), 400).tolist())
+    depth = 2
+    counts = [collections.defaultdict(lambda: np.zeros(256)) for _ in range(depth + 1)]
+    for p, x in enumerate(text):
+        ctx = [text[p - k] if p >= k else 0 for k in range(1, depth + 1)]
+        for d in range(depth + 1):
+            counts[d][tuple(ctx[:d])][x] += 1
+    # contexts of depth 2 seen at least 30 times stay in the tree
+    kept = [dict(counts[0]), dict(counts[1]), {c: v for c, v in counts[2].items() if v.sum() >= 30}]
+
+    def code(c):
+        return sum(b << 8 * k for k, b in enumerate(c))
+    order = [sorted(k, key=code) for k in kept]
+    tree = L.ContextTree([np.array([code(c) for c in o], np.uint64) for o in order],
+                         [np.array([k[c] for c in o]) for k, o in zip(kept, order)])
+
+    def node(v, bit, prefix):   # zeros and ones at the node after ``bit`` bits with value ``prefix``
+        half = 1 << (7 - bit)
+        lo = prefix << (8 - bit)
+        return v[lo:lo + half].sum(), v[lo + half:lo + 2 * half].sum()
+
+    def weighted(c, bit, prefix):
+        own = log_kt(*node(kept[len(c)][c], bit, prefix))
+        if len(c) == depth:
+            return own
+        return np.logaddexp(math.log(.5) + own, math.log(.5) + below(c, bit, prefix))
+
+    def rest(c, bit, prefix):
+        v = kept[len(c)][c].copy()
+        if len(c) < depth:
+            for d in kept[len(c) + 1]:
+                if d[:-1] == c:
+                    v = v - kept[len(c) + 1][d]
+        return node(v, bit, prefix)
+
+    def below(c, bit, prefix):
+        return log_kt(*rest(c, bit, prefix)) + sum(weighted(d, bit, prefix) for d in kept[len(c) + 1] if d[:-1] == c)
+
+    def predict(c, at, bit, prefix):
+        z, o = node(kept[len(at)][at], bit, prefix)
+        own = (o + .5) / (z + o + 1)
+        if len(at) == depth:
+            return own
+        stop = math.exp(math.log(.5) + log_kt(z, o) - weighted(at, bit, prefix))
+        deeper = c[:len(at) + 1]
+        if deeper in kept[len(deeper)]:
+            return stop * own + (1 - stop) * predict(c, deeper, bit, prefix)
+        z, o = rest(at, bit, prefix)
+        return stop * own + (1 - stop) * (o + .5) / (z + o + 1)
+
+    for c in [(97, 98), (99, 97), (98, 98), (120, 121), (97, 120)]:
+        row = tree.rows(np.array([code(c)], np.uint64))[0]
+        assert abs((10.0 ** tree.table[row].astype(float)).sum() - 1) < 1e-5
+        for x in (97, 98, 99, 120):
+            want = 0.0
+            for bit in range(8):
+                p = predict(c, (), bit, x >> (8 - bit))
+                want += math.log10(p if x >> (7 - bit) & 1 else 1 - p)
+            assert tree.table[row][x] == pytest.approx(want, abs=1e-4)
+
+
+def test_held_out_text_is_predicted_well(spark):
+    rows = random_rows(7, 300)
+    out = L.score_documents(docs(spark, rows)).where("held_out").collect()
+    bits = -sum(r["score"] for r in out) * math.log2(10) / sum(r["n_bytes"] for r in out)
+    assert bits < 3.2   # a byte of this language has a good deal less than 8 bits
