@@ -237,6 +237,21 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where(~maybe).union(docs.where(maybe).join(ids, "doc_id", "left_anti").select(docs.columns))
 
 
+def most_frequent(counts: DataFrame, at_most: int) -> pa.Table:
+    """The rows of ``counts`` (..., n) with the largest n, whole ranges of n at a
+    time and at most ``at_most`` of them. A histogram of n picks the range, so
+    that nothing is sorted and only rows that are returned reach the driver."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    histogram = counts.where("n > 0").groupBy(level.alias("level")).count().collect()
+    cut, total = None, 0
+    for row in sorted(histogram, key=lambda r: -r["level"]):
+        total += row["count"]
+        if total > at_most:
+            break
+        cut = row["level"]
+    return counts.where(F.lit(False) if cut is None else (F.col("n") > 0) & (level >= cut)).toArrow()
+
+
 # --- connected components ---------------------------------------------------
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:

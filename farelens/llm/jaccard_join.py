@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farelens.llm.common import (Words, arrow_map, bit_sketch, blocks, components, in_sketch, longs, mix, mixed_id,
-                                 stage_table, texts)
+                                 most_frequent, stage_table, texts)
 
 HOT_SHARE = 1 / 2000      # of the documents; only moves a token in the orders
 HOT_TOKENS = 1 << 18      # the most frequent ones that are moved (a bound of the broadcast)
@@ -101,8 +101,8 @@ def _documents(docs: DataFrame, width: int) -> DataFrame:
 
 def _hot_tokens(rows: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted tokens, magnitude) of at most HOT_TOKENS frequent tokens."""
-    got = (rows.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4, HOT_SHARE * n_docs / 2))
-           .orderBy(F.col("n").desc(), "token").limit(HOT_TOKENS).toArrow())
+    got = most_frequent(rows.groupBy("token").agg(F.sum("n").alias("n"))
+                        .where(F.col("n") >= max(4, HOT_SHARE * n_docs / 2)), HOT_TOKENS)
     token = got["token"].to_numpy().astype(np.int64).view(np.uint64)
     magnitude = np.minimum(np.log2(np.maximum(got["n"].to_numpy(), 1)).astype(np.uint64) + np.uint64(1), np.uint64(63))
     order = np.argsort(token)

@@ -16,8 +16,8 @@ out of a context have together forms one more child, its rest. Scoring looks up
 the longest context in the tree for each byte of each text.
 
 The base score is an add-one unigram score of words and one end per text, from
-the exact counts of all training words. The DICTIONARY most frequent words are
-looked up in the task, the others meet their counts in a join.
+the exact counts of all training words. The most frequent words, DICTIONARY at
+most, are looked up in the task, the others meet their counts in a join.
 
 Defined results: a null text is empty, and an empty text is its end alone
 (n_tokens 1, score 0); repeated rows are counted and scored each; rows without
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farelens.llm.common import LOWER, Block, Words, arrow_map, blocks, longs, stage_table, texts
+from farelens.llm.common import LOWER, Block, Words, arrow_map, blocks, longs, most_frequent, stage_table, texts
 
 DEPTH = 5
 SHARE = 2.0 ** -16
@@ -98,7 +98,11 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - math.log(math.pi)
+    out = np.zeros(zeros.shape)
+    seen = zeros + ones > 0   # most nodes of a context have no byte at all
+    z, o = zeros[seen], ones[seen]
+    out[seen] = _log_gamma(z + 0.5) + _log_gamma(o + 0.5) - _log_gamma(z + o + 1) - math.log(math.pi)
+    return out
 
 
 def _bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,57 +116,74 @@ def _bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(zeros, axis=1), np.concatenate(ones, axis=1)
 
 
+CHUNK = 1024  # contexts whose 255 nodes are worked on at a time
+
+
 class ContextTree:
     """contexts[d]: sorted contexts of depth d; place[d]: their first row in
     ``table`` [rows, 256], the log10 probability of each byte behind them."""
 
-    def __init__(self, contexts: list[np.ndarray], counts: list[np.ndarray]):
-        """contexts[d] sorted, counts[d] [len, 256]; every context's parent is there."""
+    def __init__(self, contexts: list[np.ndarray], counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """contexts[d] sorted, every context's parent is there; counts[d]: (row
+        of the context, byte, times seen), in order of the rows. Counts stay
+        sparse; only CHUNK contexts at a time are laid out."""
         depth = len(contexts) - 1
         parents = [np.searchsorted(contexts[d - 1], contexts[d] & np.uint64((1 << 8 * (d - 1)) - 1)) if d else None
                    for d in range(depth + 1)]
-        zeros, ones, kt, weight = [], [], [], []
-        for c in counts:
-            z, o = _bit_counts(c)
-            zeros.append(z)
-            ones.append(o)
-            kt.append(_log_kt(z, o))
-        # what the children left out have
-        rest = []
+        rest = []   # what the children left out have: the counts less those of the children
         for d in range(depth + 1):
-            z, o = zeros[d].copy(), ones[d].copy()
+            row, byte, n = counts[d]
             if d < depth:
-                np.subtract.at(z, parents[d + 1], zeros[d + 1])
-                np.subtract.at(o, parents[d + 1], ones[d + 1])
-            rest.append((z, o))
-        below = None  # log weighted probability of depth d + 1
+                below = counts[d + 1]
+                row, byte, n = (np.concatenate(x) for x in ((row, parents[d + 1][below[0]]), (byte, below[1]), (n, -below[2])))
+                order = np.argsort(row, kind="stable")
+                row, byte, n = row[order], byte[order], n[order]
+            rest.append((row, byte, n))
+
+        def nodes(sparse, lo: int, hi: int):
+            row, byte, n = sparse
+            a, b = np.searchsorted(row, [lo, hi])
+            dense = np.zeros((hi - lo, 256))
+            np.add.at(dense, (row[a:b] - lo, byte[a:b]), n[a:b])
+            return _bit_counts(dense)
+
+        def share(z, o):
+            return (o + 0.5) / (z + o + 1)
+
+        def chunks(d):
+            return [(lo, min(lo + CHUNK, len(contexts[d]))) for lo in range(0, len(contexts[d]), CHUNK)]
+
         half = math.log(0.5)
+        weight: list = [None] * (depth + 1)
+        children = None   # by context of this depth: log weighted probability of its kept children
         for d in range(depth, -1, -1):
-            if d == depth:
-                weighted = kt[d]
-                weight.append(np.ones_like(kt[d]))
-            else:
-                children = _log_kt(*rest[d])
-                np.add.at(children, parents[d + 1], below)
-                weighted = np.logaddexp(half + kt[d], half + children)
-                weight.append(np.exp(half + kt[d] - weighted))
-            below = weighted
-        weight.reverse()
-
-        def ones_share(z, o):
-            return (o + 0.5) / (z + o + 1)
+            above = np.zeros((len(contexts[d - 1]), 255)) if d else None
+            weight[d] = np.ones((len(contexts[d]), 255), np.float32)
+            for lo, hi in chunks(d):
+                own = _log_kt(*nodes(counts[d], lo, hi))
+                weighted = own
+                if d < depth:
+                    weighted = np.logaddexp(half + own, half + _log_kt(*nodes(rest[d], lo, hi)) + children[lo:hi])
+                    weight[d][lo:hi] = np.exp(half + own - weighted)
+                if d:
+                    np.add.at(above, parents[d][lo:hi], weighted)
+            children = above
         tables = []
         mixed = left = None
         for d in range(depth + 1):
-            p = ones_share(zeros[d], ones[d])
-            m, r = (0.0, 1.0) if d == 0 else (mixed[parents[d]], left[parents[d]])
-            mixed = m + r * weight[d] * p
-            left = r * (1 - weight[d])
-            final = mixed + left * ones_share(*rest[d])
-            tables.append(self._bytes(final))
+            m, r = np.zeros((len(contexts[d]), 255)), np.ones((len(contexts[d]), 255))
+            if d:
+                m, r = mixed[parents[d]], left[parents[d]]
+            table = np.zeros((len(contexts[d]), 256), np.float32)
+            for lo, hi in chunks(d):
+                m[lo:hi] += r[lo:hi] * weight[d][lo:hi] * share(*nodes(counts[d], lo, hi))
+                r[lo:hi] *= 1 - weight[d][lo:hi]
+                table[lo:hi] = self._bytes(m[lo:hi] + r[lo:hi] * share(*nodes(rest[d], lo, hi)))
+            mixed, left = m, r
+            tables.append(table)
         self.contexts = contexts
         self.place = np.cumsum([0] + [len(c) for c in contexts])
-        self.table = np.concatenate(tables).astype(np.float32)
+        self.table = np.concatenate(tables)
 
     @staticmethod
     def _bytes(p: np.ndarray) -> np.ndarray:
@@ -211,10 +232,9 @@ def build_tree(counts: DataFrame) -> ContextTree:
         known, place = np.unique(context[at].astype(np.int64).view(np.uint64), return_inverse=True)
         if k == 0 and not len(known):
             known = np.zeros(1, np.uint64)
-        table = np.zeros((len(known), 256))
-        table[place, byte[at]] = n[at]
+        order = np.argsort(place, kind="stable")
         contexts.append(known)
-        tables.append(table)
+        tables.append((place[order], byte[at][order].astype(np.int64), n[at][order].astype(np.float64)))
     return ContextTree(contexts, tables)
 
 
@@ -229,7 +249,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     all_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_texts = counts.where(F.col("kind") == TEXT).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_train, n_distinct = all_words + n_texts, distinct + (n_texts > 0)
-    top = words.orderBy(F.col("n").desc(), "word").limit(DICTIONARY).toArrow()
+    top = most_frequent(words, DICTIONARY)
     order = np.argsort(top["word"].to_numpy().astype(np.int64).view(np.uint64))
     known = top["word"].to_numpy().astype(np.int64).view(np.uint64)[order]
     log_known = np.log10(top["n"].to_numpy().astype(np.float64) + 1)[order]

@@ -75,4 +75,49 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_decontamination, op2_suffix_dedup, op3_jaccard_join, op4_license_scan, op5_url_filter, op6_language_model, op7_quality, op8_fingerprints, op9_source_mix, op10_token_counts,
 )}
 
-ORACLE: dict[str, str] = {}
+# A-Z in lower case, other letters as they are.
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE: dict[str, str] = {
+    # every 100-byte window, numbered within its equals; taken from pieces of 500 starts, as a
+    # substring costs its distance from the start
+    "op2_suffix_dedup": """
+        WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x,
+                          octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        piece AS (SELECT doc_id, n, k, substring(x, 1000 * k + 1, 1198) AS y FROM h, unnest(range(0, n // 500 + 1)) AS t(k)
+                  WHERE n >= 100),
+        w AS (SELECT doc_id, 500 * k + j AS p,
+                     row_number() OVER (PARTITION BY substring(y, 2 * j + 1, 200) ORDER BY doc_id, 500 * k + j) AS nth
+              FROM piece, unnest(range(0, least(500, n - 99 - 500 * k))) AS t(j)),
+        d AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new
+              FROM w WHERE nth > 1),
+        g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM d),
+        spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, run),
+        gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM spans),
+        cut AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS runs, max(b) AS last,
+                       string_agg(substring(x, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS pieces
+                FROM gaps JOIN h USING (doc_id) GROUP BY doc_id)
+        SELECT h.doc_id, CAST(h.n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+               CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(pieces, '') || substring(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM h LEFT JOIN cut USING (doc_id)""",
+    # all pairs that share a shingle, and the closure of the links
+    "op3_jaccard_join": f"""
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws
+                             FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ')
+                              ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END AS g
+              FROM t, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS u(i) WHERE len(ws) > 0),
+        c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+              GROUP BY ALL),
+        l AS (SELECT x, y, m = cx.n AND m = cy.n AS same FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y
+              WHERE 100 * m >= 90 * (cx.n + cy.n - m)),
+        two AS (SELECT x, y, same FROM l UNION ALL SELECT y, x, same FROM l),
+        r AS (SELECT doc_id, doc_id AS z FROM documents UNION SELECT r.doc_id, two.y FROM r JOIN two ON two.x = r.z),
+        k AS (SELECT doc_id, min(z) AS component_id FROM r GROUP BY doc_id),
+        e AS (SELECT x AS doc_id, count(*) AS copies FROM two WHERE same GROUP BY x)
+        SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, k.component_id,
+               CAST(coalesce(e.copies, 0) + 1 AS BIGINT) AS n_copies
+        FROM documents d JOIN k USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN e USING (doc_id)""",
+}

@@ -65,7 +65,8 @@ def test_tree_is_context_tree_weighting():
         return sum(b << 8 * k for k, b in enumerate(c))
     order = [sorted(k, key=code) for k in kept]
     tree = L.ContextTree([np.array([code(c) for c in o], np.uint64) for o in order],
-                         [np.array([k[c] for c in o]) for k, o in zip(kept, order)])
+                         [tuple(np.array(x) for x in zip(*[(i, int(b), k[c][b]) for i, c in enumerate(o) for b in np.flatnonzero(k[c])]))
+                          for k, o in zip(kept, order)])
 
     def node(v, bit, prefix):   # zeros and ones at the node after ``bit`` bits with value ``prefix``
         half = 1 << (7 - bit)
