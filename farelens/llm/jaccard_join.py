@@ -176,13 +176,14 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, hot, m
         def lists(xs):
             ends = np.concatenate([[0], np.cumsum([len(x) for x in xs])])
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), longs(np.concatenate(xs)))
-        yield pa.RecordBatch.from_arrays([ids, lists(pre[0]), lists(pre[1]), lists(rows)],
-                                         ["doc_id", "p2", "p3", "tokens"])
+        fp = np.array([_fingerprint(t) if len(t) else 0 for t in rows], np.uint64)
+        yield pa.RecordBatch.from_arrays([ids, longs(fp), lists(pre[0]), lists(pre[1]), lists(rows)],
+                                         ["doc_id", "fp", "p2", "p3", "tokens"])
     found = arrow_map(docs.withColumn("k", mixed_id()), run,
-                      "doc_id long, p2 array<long>, p3 array<long>, tokens array<long>")
-    # a document id that repeats with other texts has several rows; any of the node's own set will do
-    return (found.join(nodes.withColumnRenamed("rep", "doc_id"), "doc_id")
-            .select("fp", "p2", "p3", "tokens"))
+                      "doc_id long, fp long, p2 array<long>, p3 array<long>, tokens array<long>")
+    # a document id may repeat with other texts, or the same text: one row per node
+    return (found.join(nodes.withColumnRenamed("rep", "doc_id"), ["doc_id", "fp"])
+            .select("fp", "p2", "p3", "tokens").dropDuplicates(["fp"]))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, percent: int, hot, magnitude) -> DataFrame:

@@ -54,6 +54,13 @@ def test_chains_of_near_copies(spark):
     assert got(docs(spark, rows), width=3, percent=90) == plain(rows, 3, 90)
 
 
+def test_one_id_with_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (1, a), (2, a + " x"), (3, b + " y"), (4, "c d e f")]
+    out = sorted((r["doc_id"], r["component_id"]) for r in jaccard_components(docs(spark, rows), width=3, percent=90).collect())
+    assert out == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_edges(spark):
     assert got(docs(spark, edge_rows(), clash=True), width=3, percent=90) == plain(edge_rows(), 3, 90)
     assert jaccard_components(empty(spark)).count() == 0
