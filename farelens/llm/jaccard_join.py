@@ -13,8 +13,9 @@ prefix tokens under two more orders before they are verified:
    similarity hardly meet. Groups of a single node are dropped: a bitmap of
    fixed size tells the tasks which groups may have more. Places in the prefixes
    that leave too little in common don't meet either.
-3. In each group one pivot, the node with the earliest place, is paired with the
-   others: as many pairs as rows. Verified links give components.
+3. In each group the node with the earliest place is the pivot. Every node is
+   compared with one pivot, the one it shares the most groups with: a pair per
+   node at most. Verified links give components.
 4. Pairs that are still in different components meet within their groups; a
    vector of token counts by hash class bounds their difference from below and
    drops what can't link. Links found here join components further.
@@ -161,29 +162,29 @@ def _group_rows(docs: DataFrame, sketch: np.ndarray, *how) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, hot, magnitude) -> DataFrame:
-    """(fp, n, p2, p3, tokens) for ``nodes`` (fp, rep): the set of each and its
-    prefixes under orders 2 and 3, from the text of its first document."""
+    """(fp, p2, p3, tokens): the sets of ``nodes`` (fp, rep) and their prefixes
+    under orders 2 and 3 (half of each hash: equal tokens stay equal), from the
+    texts of their first documents. Some sets of other nodes come along, and a
+    node may have several equal rows."""
     sketch = bit_sketch(nodes.select(mixed_id("rep").alias("k")), "k")
 
     def run(batch: pa.RecordBatch):
-        maybe = in_sketch(sketch, batch.column("k").to_numpy())
-        batch = batch.filter(pa.array(maybe))
+        batch = batch.filter(pa.array(in_sketch(sketch, batch.column("k").to_numpy())))
         if not batch.num_rows:
             return
-        ids, rows = batch.column("doc_id"), [t for _, t in _sets(batch, width)]
-        pre = [[_ordered(t, k, hot, magnitude, _prefix_length(len(t), percent)) for t in rows] for k in (1, 2)]
+        rows = {_fingerprint(t): t for _, t in _sets(batch, width) if len(t)}
+        if not rows:
+            return
+        sets = list(rows.values())
 
-        def lists(xs):
+        def lists(xs, values):
             ends = np.concatenate([[0], np.cumsum([len(x) for x in xs])])
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), longs(np.concatenate(xs)))
-        fp = np.array([_fingerprint(t) if len(t) else 0 for t in rows], np.uint64)
-        yield pa.RecordBatch.from_arrays([ids, longs(fp), lists(pre[0]), lists(pre[1]), lists(rows)],
-                                         ["doc_id", "fp", "p2", "p3", "tokens"])
-    found = arrow_map(docs.withColumn("k", mixed_id()), run,
-                      "doc_id long, fp long, p2 array<long>, p3 array<long>, tokens array<long>")
-    # a document id may repeat with other texts, or the same text: one row per node
-    return (found.join(nodes.withColumnRenamed("rep", "doc_id"), ["doc_id", "fp"])
-            .select("fp", "p2", "p3", "tokens").dropDuplicates(["fp"]))
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values(np.concatenate(xs)))
+        pre = [lists([_ordered(t, k, hot, magnitude, _prefix_length(len(t), percent)) for t in sets],
+                     lambda x: pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32))) for k in (1, 2)]
+        yield pa.RecordBatch.from_arrays([longs(np.array(list(rows), np.uint64)), *pre, lists(sets, longs)],
+                                         ["fp", "p2", "p3", "tokens"])
+    return arrow_map(docs.withColumn("k", mixed_id()), run, "fp long, p2 array<int>, p3 array<int>, tokens array<long>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, percent: int, hot, magnitude) -> DataFrame:
@@ -220,19 +221,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     how = (width, percent, hot, magnitude)
     several = _group_sizes(docs, *how).groupBy("grp").agg(F.sum("n").alias("n")).where("n > 1")
     sketch = bit_sketch(several.select("grp"), "grp", GROUP_BITS)
-    # equal sets of different batches are one member
-    grouped = stage_table(spark, _group_rows(docs, sketch, *how).distinct(), "groups")
+    # a set that several batches have is several equal rows
+    grouped = stage_table(spark, _group_rows(docs, sketch, *how), "groups")
 
     def may_link(a, b):
         n = F.col(f"{a}n") + F.col(f"{b}n")
         return ((100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n"))
                 & ((100 + percent) * (F.col(f"{a}place") + F.col(f"{b}place")) <= (100 - percent) * n))
 
+    # Pivots. Nodes with long prefixes look at an eighth of their groups, which are
+    # plenty for copies to meet; what this leaves out is found below.
     key = ["grp"]
-    pivots = (grouped.groupBy(*key).agg(F.min(F.struct("place", "n", "fp")).alias("p"), F.count("*").alias("members"))
-              .where("members > 1").select(*key, F.col("p.fp").alias("p_fp"), F.col("p.n").alias("p_n"),
-                                           F.col("p.place").alias("p_place")))
-    stars = (grouped.join(pivots, key).where((F.col("fp") != F.col("p_fp")) & may_link("", "p_"))
+    some = grouped.where((F.pmod(F.col("grp"), F.lit(8)) == 0) | (F.col("n") < 100))
+    pivots = (some.groupBy(*key).agg(F.min(F.struct("place", "n", "fp")).alias("p"), F.max("fp").alias("hi"), F.min("fp").alias("lo"))
+              .where("lo <> hi").select(*key, F.col("p.fp").alias("p_fp"), F.col("p.n").alias("p_n"),
+                                        F.col("p.place").alias("p_place")))
+    # of its pivots a node is compared with the one that it shares the most groups with
+    stars = (some.join(pivots, key).where((F.col("fp") != F.col("p_fp")) & may_link("", "p_"))
+             .groupBy("fp", "p_fp").agg(F.count("*").alias("shared"))
+             .groupBy("fp").agg(F.max_by("p_fp", F.struct("shared", "p_fp")).alias("p_fp"))
              .select(F.least("fp", "p_fp").alias("a"), F.greatest("fp", "p_fp").alias("b")).distinct())
 
     def bounded(pairs):
@@ -251,11 +258,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     links = stage_table(spark, _verified(docs, stars, reps, width, percent, hot, magnitude), "verified")
     labels = stage_table(spark, components(spark, links), "labels")
 
-    # what is left: groups of three or more with several components
+    # what is left: groups with several components
     labelled = grouped.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn(
         "label", F.coalesce("label", "fp"))
-    open_groups = (labelled.groupBy(*key).agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-                   .where("m > 2 and lo <> hi").select(*key))
+    open_groups = (labelled.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+                   .where("lo <> hi").select(*key))
     left = stage_table(spark, labelled.join(open_groups, key).join(sized.select("fp", "counts"), "fp"), "open")
 
     def named(x):
