@@ -164,6 +164,13 @@ def longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
+def pieces(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch, without copying, for work whose arrays are
+    many times the size of the texts."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per application."""
     app = spark.sparkContext.applicationId

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farelens.llm.common import (Words, arrow_map, bit_sketch, blocks, components, in_sketch, longs, mix, mixed_id,
-                                 most_frequent, stage_table, texts)
+                                 most_frequent, pieces, stage_table, texts)
 
 HOT_SHARE = 1 / 2000      # of the documents; only moves a token in the orders
 HOT_TOKENS = 1 << 18      # the most frequent ones that are moved (a bound of the broadcast)
@@ -142,22 +142,24 @@ def _grouped_prefixes(batch: pa.RecordBatch, width: int, percent: int, hot, magn
 def _group_sizes(docs: DataFrame, *how) -> DataFrame:
     """(grp, n): how many sets of a batch are in a group, a row per batch."""
     def run(batch: pa.RecordBatch):
-        rows = _grouped_prefixes(batch, *how)
-        if rows:
-            group, n = np.unique(rows[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([longs(group), longs(n)], ["grp", "n"])
+        for piece in pieces(batch):
+            rows = _grouped_prefixes(piece, *how)
+            if rows:
+                group, n = np.unique(rows[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([longs(group), longs(n)], ["grp", "n"])
     return arrow_map(docs, run, "grp long, n long")
 
 
 def _group_rows(docs: DataFrame, sketch: np.ndarray, *how) -> DataFrame:
     """(grp, fp, n, place) of the groups that may have several sets."""
     def run(batch: pa.RecordBatch):
-        rows = _grouped_prefixes(batch, *how)
-        if rows:
-            keep = in_sketch(sketch, rows[0])
-            group, fp, n, place = (x[keep] for x in rows)
-            yield pa.RecordBatch.from_arrays([longs(group), longs(fp), pa.array(n.astype(np.int32)),
-                                              pa.array(place.astype(np.int32))], ["grp", "fp", "n", "place"])
+        for piece in pieces(batch):
+            rows = _grouped_prefixes(piece, *how)
+            if rows:
+                keep = in_sketch(sketch, rows[0])
+                group, fp, n, place = (x[keep] for x in rows)
+                yield pa.RecordBatch.from_arrays([longs(group), longs(fp), pa.array(n.astype(np.int32)),
+                                                  pa.array(place.astype(np.int32))], ["grp", "fp", "n", "place"])
     return arrow_map(docs, run, "grp long, fp long, n int, place int")
 
 
@@ -170,8 +172,10 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, hot, m
 
     def run(batch: pa.RecordBatch):
         batch = batch.filter(pa.array(in_sketch(sketch, batch.column("k").to_numpy())))
-        if not batch.num_rows:
-            return
+        for piece in pieces(batch, 500):
+            yield from some(piece)
+
+    def some(batch: pa.RecordBatch):
         rows = {_fingerprint(t): t for _, t in _sets(batch, width) if len(t)}
         if not rows:
             return

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farelens.llm.common import Block, Rolling, Words, arrow_map, blocks, longs, mix, texts
+from farelens.llm.common import Block, Rolling, Words, arrow_map, blocks, longs, mix, pieces, texts
 
 TRAIN_DOCS = 6000
 TRAIN_LINES = 48
@@ -232,9 +232,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     chain = train(docs, labels, train_docs)
 
     def run(batch: pa.RecordBatch):
-        text = batch.column("text").fill_null("")
-        score = np.concatenate([_scores(chain, b)[1] for b in blocks(text)])
-        yield batch.filter(pa.array(score >= threshold))
+        for piece in pieces(batch):
+            score = np.concatenate([_scores(chain, b)[1] for b in blocks(piece.column("text").fill_null(""))])
+            yield piece.filter(pa.array(score >= threshold))
     return arrow_map(docs, run, docs.schema)
 
 
