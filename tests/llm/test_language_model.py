@@ -118,3 +118,36 @@ def test_held_out_text_is_predicted_well(spark):
     out = L.score_documents(docs(spark, rows)).where("held_out").collect()
     bits = -sum(r["score"] for r in out) * math.log2(10) / sum(r["n_bytes"] for r in out)
     assert bits < 3.2   # a byte of this language has a good deal less than 8 bits
+
+
+@pytest.mark.parametrize("grams", [1 << 21, 50])
+def test_every_context_is_in_the_tree(spark, monkeypatch, grams):
+    monkeypatch.setattr(L, "GRAMS", grams)   # with 50 strings, most probabilities come by the join
+    # over 2 ** 16 training bytes, so that contexts seen once are no share of any fixed size
+    rows = random_rows(11, 500) + [(1, None), (2, ""), (3, "Zq zzq")]
+    counts = [collections.defaultdict(lambda: collections.Counter()) for _ in range(L.DEPTH + 1)]
+
+    def code(c):
+        return sum(b << 8 * k for k, b in enumerate(c))
+
+    def strings(t):
+        b = lowered(t).encode()
+        return [(tuple(b[p - k] if p >= k else 0 for k in range(1, L.DEPTH + 1)), x) for p, x in enumerate(b)]
+    n_train = 0
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for c, x in strings(t):
+                n_train += 1
+                for d in range(L.DEPTH + 1):
+                    counts[d][code(c[:d])][x] += 1
+    assert n_train > 1 << 17
+    order = [sorted(c) for c in counts]
+    tree = L.ContextTree([np.array(o, np.uint64) for o in order],
+                         [tuple(np.array(v) for v in zip(*[(i, x, n) for i, c in enumerate(o) for x, n in counts[d][c].items()]))
+                          for d, o in enumerate(order)])
+    got = {r["doc_id"]: r["score"] for r in L.score_documents(docs(spark, rows, clash=True)).collect()}
+    for i, t in rows:
+        s = strings(t)
+        at = tree.rows(np.array([code(c) for c, _ in s], np.uint64))
+        want = float(tree.table[at, [x for _, x in s]].astype(float).sum()) if s else 0.0
+        assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-4), i
