@@ -9,8 +9,7 @@ conditional likelihood, with forward-backward sums. A document's score is the
 mean of its lines' marginal probabilities of "good", weighted by length.
 
 The fit uses at most ``train_docs`` labelled documents, those of the smallest
-seeded hash, and of each the first TRAIN_LINES lines; scoring reads every line
-of every document. Text is the only input of a score.
+seeded hash, with all their lines; scoring reads every line of every document. Text is the only input of a score.
 
 Defined results: a null or empty text is one empty line; lines are cut at
 "\\n"; several labels of one document count by their mean; repeated rows are
@@ -27,7 +26,6 @@ from pyspark.sql import functions as F
 from farelens.llm.common import Block, Rolling, Words, arrow_map, blocks, longs, mix, pieces, texts
 
 TRAIN_DOCS = 6000
-TRAIN_LINES = 48
 THRESHOLD = 0.3
 SEED = 11
 
@@ -199,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> C
         for b in blocks(batch.column("text")):
             x, _, first = line_features(b)
             x = with_neighbours(x, first)
-            rows = [x[first[i]:min(first[i + 1], first[i] + TRAIN_LINES)] for i in range(len(b.rows))]
+            rows = [x[first[i]:first[i + 1]] for i in range(len(b.rows))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(label[b.rows.start:b.rows.stop].astype(np.int32)),
                  pa.array([r.astype(np.float32).tobytes() for r in rows], pa.binary())], ["label", "x"])

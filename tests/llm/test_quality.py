@@ -75,3 +75,16 @@ def test_edges(spark):
     assert Q.score_quality(empty(spark), labels).count() == 0
     none = labels.where("doc_id is null")
     assert [r["score"] for r in Q.score_quality(docs(spark, rows[:5]), none).collect()] == pytest.approx([0.5] * 5)
+
+
+def test_fit_reads_all_lines_of_a_document(spark, monkeypatch):
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5 != 0][:4]
+    rows = [(i, "\n".join(f"line {k} of it" if k < 60 else "*** ### ***" for k in range(n)))
+            for i, n in zip(ids, (1, 48, 49, 405))]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda x, first, label: seen.append((x, first)))
+    Q.train(docs(spark, rows), labels)
+    x, first = seen[0]
+    assert sorted(np.diff(first)) == [1, 48, 49, 405] and len(x) == 503
+    assert (x[:, 0] > 0.5).sum() == 345   # the lines of symbols, all far down
