@@ -32,7 +32,7 @@ IN_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 INTRO = r"(?:licen[cs]ed under|released under|distributed under|available under|subject to|under|terms of)(?: the)?(?: terms of)?(?: the)?"
-V = r"(?: license)?(?: version| v)? ?"
+V = r"(?: license)?(?: version| ?v)? ?"  # also glued: gplv2
 
 # Families: label, keyword, name forms (regex over words), versions (suffix of the label, regex).
 FAMILIES = [
@@ -44,7 +44,7 @@ FAMILIES = [
      [("1.0", "1(?: 0)?"), ("2.0", "2(?: 0)?"), ("3.0", "3(?: 0)?")]),
     ("lgpl", "lesser general", [r"gnu lesser general public license", r"lesser general public license"],
      [("2.1", "2 1"), ("3.0", "3(?: 0)?")]),
-    ("lgpl", "lgpl", [r"gnu lgpl", r"lgpl"], [("2.0", "2 0"), ("2.1", "2 1"), ("3.0", "3(?: 0)?")]),
+    ("lgpl", "lgpl", [r"gnu lgpl", r"lgpl"], [("2.0", "2(?: 0)?"), ("2.1", "2 1"), ("3.0", "3(?: 0)?")]),
     ("agpl", "affero", [r"gnu affero general public license", r"affero general public license"],
      [("1.0", "1(?: 0)?"), ("3.0", "3(?: 0)?")]),
     ("agpl", "agpl", [r"gnu agpl", r"agpl"], [("3.0", "3(?: 0)?")]),
@@ -72,7 +72,8 @@ FAMILIES = [
     ("bsd", "bsd", [r"bsd license", r"bsd style license"], []),
     ("bsd", "berkeley", [r"berkeley software distribution license"], []),
     ("bsd-2-clause", "bsd", [r"(?:2|two) clause bsd(?: license)?", r"bsd (?:2|two) clause(?: license)?",
-                             r"simplified bsd license", r"freebsd license"], []),
+                             r"simplified bsd license"], []),
+    ("bsd-2-clause", "freebsd", [r"freebsd license"], []),
     ("bsd-3-clause", "bsd", [r"(?:3|three) clause bsd(?: license)?", r"bsd (?:3|three) clause(?: license)?",
                              r"new bsd license", r"modified bsd license"], []),
     ("isc", "isc license", [r"isc license"], []),

@@ -64,3 +64,45 @@ def test_edges(spark):
     assert len(out) == len([i for i, _ in edge_rows() if i is not None])
     assert all(r["n_base"] == 0 and r["first_word"] is None and r["labels"] == "" for r in out)
     assert scan_licenses(empty(spark)).count() == 0
+
+
+def sample(tree, full: bool) -> str:
+    """A text of the regex: its first branches without or with what is optional."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            kind, value = arg[0]
+            out += chr(value if str(kind) == "LITERAL" else value[0])
+        elif op == "MAX_REPEAT":
+            out += sample(arg[2], full) * (max(1, arg[0]) if full else arg[0])
+        elif op == "SUBPATTERN":
+            out += sample(arg[3], full)
+        elif op == "BRANCH":
+            out += sample(arg[1][-1 if full else 0], full)
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op   # the blanks around
+    return out
+
+
+def test_every_rule_fires_alone(spark):
+    table = rules()
+    texts = [sample(re._parser.parse(r["pattern"]), full) for r in table for full in (False, True)]
+    got = by_id(scan_licenses(docs(spark, list(enumerate(texts)))))
+    silent = [t for i, t in enumerate(texts) if got[i]["n_detections"] == 0 or got[i]["score"] == 0]
+    assert silent == []
+    other = [(r["label"], t) for i, t in enumerate(texts) for r in [table[i // 2]]
+             if r["label"] not in got[i]["labels"].split(",")
+             # a rule of higher priority or earlier in the table may hold the same text
+             and not any(x["label"] in got[i]["labels"].split(",") and re.search(x["pattern"], f" {t} ") for x in table)]
+    assert other == []
+
+
+def test_short_forms(spark):
+    texts = {"FreeBSD License": "bsd-2-clause", "GPLv2": "gpl-2.0", "GPLv3": "gpl-3.0", "LGPLv2.1": "lgpl-2.1",
+             "LGPLv2": "lgpl-2.0", "AGPLv3": "agpl-3.0", "GPL v2": "gpl-2.0", "GPLv3 or later": "gpl-3.0+",
+             "gplvx gplv agplv23": ""}
+    got = by_id(scan_licenses(docs(spark, list(enumerate(texts)))))
+    assert [got[i]["labels"] for i in range(len(texts))] == list(texts.values())
