@@ -16,7 +16,7 @@ literals, INTO or TABLE; keywords match on word boundaries (so a column named
 updated_at passes); every name after FROM or JOIN is exactly an allowed table
 (no qualified names); a parenthesis after FROM or JOIN opens a SELECT; no comma
 separates tables in any FROM clause, at any depth; parentheses are balanced and
-nested at most eight deep. So a statement that reads another table passes
+nested at most sixteen deep. So a statement that reads another table passes
 ``strict`` only if it passes the name rule of ``compat`` too; what ``strict``
 accepts and ``compat`` does not are forbidden words in literals or as parts of
 longer names, and the FROM of the functions named above.
@@ -93,7 +93,7 @@ def _is_word_char(c: Column) -> Column:
 # what ends a FROM clause on its own level
 _AFTER_FROM = "where|group|having|order|limit|union|intersect|except|window|offset|fetch"
 _FROM_COMMA = rf"\bfrom\b(?:(?!\b(?:{_AFTER_FROM})\b)[^,()]|\(\))*,"
-_DEPTH = 8
+_DEPTH = 16
 
 
 def _table_comma(e: Column) -> Column:
@@ -101,8 +101,7 @@ def _table_comma(e: Column) -> Column:
     emptied level by level, so that each FROM clause is once free of nested
     text. Text that still has filled or unpaired parentheses counts as bad."""
     found, level = e.rlike(_FROM_COMMA), e
-    for _ in range(_DEPTH):
-        level = F.regexp_replace(level, r"\([^()]+\)", "()")
+    for _ in range(_DEPTH):   # one level each, so that no clause is emptied before it was looked at
         level = F.regexp_replace(level, r"\((?:\(\)|[^()])+\)", "()")
         found = found | level.rlike(_FROM_COMMA)
     rest = F.replace(level, F.lit("()"), F.lit(""))

@@ -92,3 +92,26 @@ def test_staged_forms_agree(spark):
     qd = spark.createDataFrame([(q,) for q, _, _ in QUESTIONS], "question string")
     got = [(r["metric_first"], r["metric_longest"]) for r in match_questions(qd).collect()]
     assert got == [(f, lg) for _, f, lg in QUESTIONS]
+
+
+# strict verdicts on commas between tables, two and more levels deep
+NESTED = [
+    ("SELECT * FROM (SELECT * FROM (SELECT a FROM flights) t, users) x", False),
+    ("SELECT * FROM (SELECT * FROM (SELECT * FROM (SELECT a FROM flights) t, users) x) y", False),
+    ("SELECT * FROM (SELECT * FROM (SELECT * FROM (SELECT a FROM flights) t) x, users) y", False),
+    ("SELECT a FROM flights WHERE b IN (SELECT c FROM (SELECT c FROM flights) t, users)", False),
+    ("SELECT a FROM flights WHERE b IN (SELECT c FROM flights WHERE d IN (SELECT e FROM (SELECT e FROM flights) t, users))", False),
+    ("SELECT * FROM (SELECT a, b FROM (SELECT a, MAX(b) AS b FROM flights GROUP BY a, c) t) x", True),
+    ("SELECT a FROM flights WHERE b IN (SELECT c FROM flights WHERE d IN (SELECT MAX(e) FROM flights) ORDER BY c, d)", True),
+]
+
+
+@pytest.mark.parametrize("depth,strict", [(15, True), (17, False)])
+def test_nesting_depth(spark, depth, strict):
+    sql = "SELECT * FROM flights WHERE a = " + "(" * depth + "1" + ")" * depth
+    assert spark.createDataFrame([(sql,)], "sql string").select(screen("sql", "strict")).first()[0] is strict
+
+
+def test_table_commas_at_every_depth(spark):
+    df = spark.createDataFrame([(s,) for s, _ in NESTED], "sql string")
+    assert [r[0] for r in df.select(screen("sql", "strict")).collect()] == [s for _, s in NESTED]
