@@ -21,7 +21,8 @@ neighbours, so that the triangle inequality bounds scores.
 A bound that equals the k-th score is not cut, as ties go to the smaller vec_id.
 Bounds are computed in doubles and widened by a margin; scores are exact integers.
 
-Fixed sizes (``Sizes``): the driver holds the sample and the pivots, a task two blocks.
+Fixed sizes (``Sizes``): the driver holds the sample and the pivots, a task two blocks at
+a time.
 The directory and the query blocks meet in pieces, by the number of the piece.
 
 Defined results: a vector that is null or has a null or non-finite component
@@ -60,6 +61,7 @@ class Sizes:
     queries: int = 1024       # queries in a query block
     ring: int = 256           # vectors in an annulus
     piece: int = 1024         # blocks in a piece of the directory
+    together: int = 16        # blocks that a query block meets one after the other
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -115,50 +117,52 @@ def upper_bounds(dist: np.ndarray, norm2: np.ndarray, top: float, pivot: np.ndar
     return (norm2[:, None] + top - gap * gap) / 2 + 1e-9 * (norm2[:, None] + top) + 1
 
 
-class Pair:
-    """One query block against one block, annulus by annulus. ``floor``: scores
+class Search:
+    """One query block against blocks, annulus by annulus. ``floor``: scores
     below it are of no use to the query (its k-th score so far)."""
 
-    def __init__(self, k: int, queries: dict, block: dict, pivots: np.ndarray, top: float, floor: np.ndarray,
-                 ring: int):
-        self.k, self.floor, self.q, self.v = k, floor.copy(), queries, block
+    def __init__(self, k: int, queries: dict, pivots: np.ndarray, top: float, floor: np.ndarray, ring: int):
+        self.k, self.q, self.top, self.floor, self.ring = k, queries, top, floor.copy(), ring
         n = len(floor)
-        self.best_score = np.full((n, k), -LONG)
-        self.best_at = np.full((n, k), -1)
+        self.norm2 = (queries["vec"] ** 2).sum(1)
+        self.dist = _distances(queries["vec"], np.zeros(n), pivots)
+        self.score, self.id, self.found = np.zeros((n, k), np.int64), np.zeros((n, k), np.int64), np.zeros((n, k), bool)
+
+    def meet(self, block: dict) -> None:
         rings = []
-        for lo in range(0, len(block["id"]), ring):
-            own = block["pivot"][lo:lo + ring]
+        for lo in range(0, len(block["id"]), self.ring):
+            own = block["pivot"][lo:lo + self.ring]
             cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
             rings += [(lo + a, lo + b) for a, b in zip(cuts[:-1], cuts[1:])]
         at = np.array(rings)
-        bound = upper_bounds(_distances(queries["vec"], np.zeros(n), pivots), (queries["vec"] ** 2).sum(1), top,
-                             block["pivot"][at[:, 0]], block["dist"][at[:, 0]], block["dist"][at[:, 1] - 1])
+        bound = upper_bounds(self.dist, self.norm2, self.top, block["pivot"][at[:, 0]],
+                             block["dist"][at[:, 0]], block["dist"][at[:, 1] - 1])
         for r in np.argsort(-bound.max(0), kind="stable"):
             use = np.flatnonzero(~(bound[:, r] < self.floor))
             if len(use):
-                self.expand(*rings[r], use)
+                self.expand(block, *rings[r], use)
 
-    def expand(self, lo: int, hi: int, use: np.ndarray) -> None:
-        s = scores(self.q["vec"][use], self.v["vec"][lo:hi])
-        enough = (self.q["row"][use][:, None] != self.v["row"][lo:hi]) & (s >= self.floor[use][:, None])
+    def expand(self, block: dict, lo: int, hi: int, use: np.ndarray) -> None:
+        s = scores(self.q["vec"][use], block["vec"][lo:hi])
+        enough = (self.q["row"][use][:, None] != block["row"][lo:hi]) & (s >= self.floor[use][:, None])
         some = enough.any(1)
         use, s, enough = use[some], s[some], enough[some]
         if not len(use):
             return
-        score = np.concatenate([self.best_score[use], np.where(enough, s, -LONG)], axis=1)
-        at = np.concatenate([self.best_at[use], np.where(enough, np.arange(lo, hi), -1)], axis=1)
-        order = np.lexsort((self.v["id"][at], ~score, at < 0), axis=1)[:, :self.k]   # ~: the order of -score, in range
-        self.best_score[use] = np.take_along_axis(score, order, 1)
-        self.best_at[use] = np.take_along_axis(at, order, 1)
-        full = use[self.best_at[use, -1] >= 0]
-        self.floor[full] = np.maximum(self.floor[full], self.best_score[full, -1])
+        score = np.concatenate([self.score[use], s], axis=1)
+        ids = np.concatenate([self.id[use], np.broadcast_to(block["id"][lo:hi], s.shape)], axis=1)
+        found = np.concatenate([self.found[use], enough], axis=1)
+        order = np.lexsort((ids, ~score, ~found), axis=1)[:, :self.k]   # ~: the order of -score, in range
+        self.score[use], self.id[use], self.found[use] = (np.take_along_axis(x, order, 1) for x in (score, ids, found))
+        full = use[self.found[use, -1]]
+        self.floor[full] = np.maximum(self.floor[full], self.score[full, -1])
 
     def rows(self, first: int) -> pa.RecordBatch:
         """(place, query_id, vec_id, score); ``first``: the block's first place."""
-        i, j = np.nonzero(self.best_at >= 0)
+        i, j = np.nonzero(self.found)
         return pa.RecordBatch.from_arrays(
-            [longs(first + i), longs(self.q["id"][i]), longs(self.v["id"][self.best_at[i, j]]),
-             longs(self.best_score[i, j])], ["place", "query_id", "vec_id", "score"])
+            [longs(first + i), longs(self.q["id"][i]), longs(self.id[i, j]), longs(self.score[i, j])],
+            ["place", "query_id", "vec_id", "score"])
 
 
 _BLOCK_ROW = "row binary, id binary, pivot binary, dist binary, vec binary"
@@ -265,14 +269,29 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
         met = queries.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(max(pieces - 1, 0))))).join(directory, "piece")
         return arrow_map(met, _each_row(choose), "qblock long, block long")
 
+    groups = -(-n_rows // (sizes.block * sizes.together)) or 1
+
     def searched(queries: DataFrame, chosen: DataFrame) -> DataFrame:
-        def search(row: dict):
-            q = _unpacked(row, "q_")
-            pair = Pair(k, q, _unpacked(row), pivots, top, _floors(row, len(q["id"]), sizes.queries), sizes.ring)
-            yield pair.rows(row["qblock"] * sizes.queries)
-        named = queries.select("qblock", "floors", *[F.col(c).alias(f"q_{c}") for c in ("row", "id", "pivot", "dist", "vec")])
-        return arrow_map(chosen.join(blocks, "block").join(named, "qblock"), _each_row(search),
-                         "place long, query_id long, vec_id long, score long")
+        """(place, query_id, vec_id, score): the best of each query block and
+        group of blocks, whose pairs a merge join puts one behind the other."""
+        def search(batches):
+            at, state = None, None
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    if row["qblock"] != at:
+                        if state:
+                            yield state.rows(at * sizes.queries)
+                        at, q = row["qblock"], _unpacked(row, "q_")
+                        state = Search(k, q, pivots, top, _floors(row, len(q["id"]), sizes.queries), sizes.ring)
+                    state.meet(_unpacked(row))
+            if state:
+                yield state.rows(at * sizes.queries)
+        named = queries.select("qblock", "floors", *[F.col(c).alias(f"q_{c}") for c in ("row", "id", "pivot", "dist", "vec")],
+                               F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+        met = (chosen.withColumn("group", (F.col("block") % groups).cast("int")).join(blocks, "block")
+               .join(named.hint("merge"), ["qblock", "group"]))
+        return met.mapInArrow(search, "place long, query_id long, vec_id long, score long")
 
     by_score = Window.partitionBy("place").orderBy(F.desc("score"), "vec_id")
 

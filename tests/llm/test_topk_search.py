@@ -37,7 +37,7 @@ def check(spark, rows, k=20, sizes=None):
     return got
 
 
-SMALL = S.Sizes(sample=40, pivots=6, block=16, queries=8, ring=4, piece=3)
+SMALL = S.Sizes(sample=40, pivots=6, block=16, queries=8, ring=4, piece=3, together=2)
 
 
 def test_random_clustered_and_common_vectors(spark):
@@ -93,9 +93,11 @@ def test_bounds_hold_and_cut(monkeypatch):
     plain = S.scores
     monkeypatch.setattr(S, "scores", lambda q, v: seen.append(len(q) * len(v)) or plain(q, v))
     floor = np.sort(x[at] @ x.T, axis=1)[:, -6]
-    pair = S.Pair(5, queries, block, pivots, top, floor.astype(float), 25)
+    search = S.Search(5, queries, pivots, top, floor.astype(float), 25)
+    for lo in range(0, 800, 200):
+        search.meet({c: x[lo:lo + 200] for c, x in block.items()})
     assert sum(seen) < 0.6 * 20 * 800
-    got = pa.Table.from_batches([pair.rows(0)]).to_pylist()
+    got = pa.Table.from_batches([search.rows(0)]).to_pylist()
     for n, i in enumerate(at):
         want = sorted((-(x[i] @ x[j]), j) for j in range(800) if j != i)[:5]
         assert [(-r["score"], r["vec_id"]) for r in got if r["place"] == n] == want
