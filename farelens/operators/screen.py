@@ -8,18 +8,21 @@ the engine never executes untrusted SQL. Two rule sets:
 must start with "select"; must not contain any forbidden word or ';' as a
 substring; every identifier right after "from"/"join" must be allowed.
 
-``strict``: reads the statement's shape. String literals are blanked first
-(keywords inside quotes do not count) and the FROM inside EXTRACT / TRIM /
-SUBSTRING / OVERLAY(...) is ignored; on what is left the name rule of
-``compat`` must hold, and besides: no comments, identifier quotes, unterminated
-literals, INTO or TABLE; keywords match on word boundaries (so a column named
-updated_at passes); every name after FROM or JOIN is exactly an allowed table
-(no qualified names); a parenthesis after FROM or JOIN opens a SELECT; no comma
-separates tables in any FROM clause, at any depth; parentheses are balanced and
-nested at most sixteen deep. So a statement that reads another table passes
-``strict`` only if it passes the name rule of ``compat`` too; what ``strict``
-accepts and ``compat`` does not are forbidden words in literals or as parts of
-longer names, and the FROM of the functions named above.
+``strict``: reads the statement's shape with a lexer: one regex cuts the text into
+the few tokens that matter, and one fold over them keeps a state: inside a string
+literal or not, whether a FROM list is open on the current level of parentheses, and
+the levels around it as a packed stack. It rejects comments, identifier quotes,
+unterminated literals, backslashes outside of literals, INTO, TABLE and the forbidden
+words (whole words, outside of literals); every name after FROM or JOIN has to be
+exactly an allowed table (no qualified names); a parenthesis after FROM or JOIN opens
+a SELECT; no comma separates tables in any FROM clause, at any depth; parentheses are
+balanced. The FROM inside EXTRACT / TRIM / SUBSTRING / OVERLAY(...) is an argument.
+On what is left the name rule of ``compat`` holds too, so a statement that reads
+another table passes ``strict`` only if it passes that rule; what ``strict`` accepts
+and ``compat`` does not are forbidden words in literals or as parts of longer names,
+and the FROM of the functions named above. Both take statements of any length and
+depth: the time grows with the length, and no regex repeats a group, which is what
+Java's engine does by recursion.
 """
 
 from __future__ import annotations
@@ -68,68 +71,91 @@ def _compat_rules(s: Column, allowed: list[str]) -> Column:
     return F.coalesce(s.startswith("select") & no_forbidden & _names_ok(s, allowed), F.lit(False))
 
 
-def _if_contains(s: Column, needle: str, then: Column, otherwise: Column) -> Column:
-    # a plain substring test is far cheaper than a regex: run the regex only
-    # on rows where it can change the answer
-    return F.when(s.contains(F.lit(needle)), then).otherwise(otherwise)
-
-
-def _blank_literals(s: Column) -> Column:
-    # blank string literal bodies: 'it''s' and 'a\'b' both become ''
-    return _if_contains(s, "'", F.regexp_replace(s, r"'(?:[^'\\]|\\.|'')*'", "''"), s)
-
-
-def _drop_function_from(b: Column) -> Column:
-    # FROM inside EXTRACT(.. FROM ..), TRIM(.. FROM ..), SUBSTRING(.. FROM ..)
-    return _if_contains(b, "(", F.regexp_replace(
-        b, r"\b(extract|trim|substring|overlay)\s*\([^()]*\)", "$1()"), b)
-
-
 def _is_word_char(c: Column) -> Column:
     # [a-z0-9_] on one (lower-cased) character, without a regex
     return ((c >= "a") & (c <= "z")) | ((c >= "0") & (c <= "9")) | (c == "_")
 
 
-# what ends a FROM clause on its own level
-_AFTER_FROM = "where|group|having|order|limit|union|intersect|except|window|offset|fetch"
-_FROM_COMMA = rf"\bfrom\b(?:(?!\b(?:{_AFTER_FROM})\b)[^,()]|\(\))*,"
-_DEPTH = 16
-
-
-def _table_comma(e: Column) -> Column:
-    """A comma between tables, at any depth: the innermost parentheses are
-    emptied level by level, so that each FROM clause is once free of nested
-    text. Text that still has filled or unpaired parentheses counts as bad."""
-    found, level = e.rlike(_FROM_COMMA), e
-    for _ in range(_DEPTH):   # one level each, so that no clause is emptied before it was looked at
-        level = F.regexp_replace(level, r"\((?:\(\)|[^()])+\)", "()")
-        found = found | level.rlike(_FROM_COMMA)
-    rest = F.replace(level, F.lit("()"), F.lit(""))
-    return found | rest.contains("(") | rest.contains(")")
-
-
-def _strict_rules(b: Column, e: Column, allowed: list[str]) -> Column:
-    """Strict verdict on blanked text ``b`` and its function-stripped body ``e``."""
-    words = FORBIDDEN + ["into", "table"]
-    # Plain substring tests first; generated AND/OR short-circuit, so the
-    # word-boundary regex only runs on rows that contain a forbidden word.
-    any_word = F.lit(False)
-    for w in words:
-        any_word = any_word | b.contains(F.lit(w))
-    marks = F.lit(False)
-    for m in [";", "--", "/*", "*/", "#", "`", '"']:  # ';', comments, quoted identifiers
-        marks = marks | b.contains(F.lit(m))
-    bad = (
-        ~(b.startswith("select") & ~_is_word_char(F.substring(b, 7, 1)))
-        | marks
-        | (any_word & b.rlike(rf"\b(?:{'|'.join(words)})\b"))
-        | ((F.length(b) - F.length(F.replace(b, F.lit("'"), F.lit("")))) % 2 == 1)  # unterminated literal
-    )
-    parens = e.contains("(") | e.contains(")")
-    opens = e.contains("(") & e.rlike(rf"(?:from|join){PY_SPACE}*\((?!{PY_SPACE}*select\b)")
-    comma = F.when(parens, _table_comma(e)).otherwise(e.contains(",") & e.rlike(_FROM_COMMA))
-    names = F.regexp_extract_all(e, F.lit(rf"\b(?:from|join){PY_SPACE}+([^\s(),]+)"), F.lit(1))
-    return F.coalesce(~bad & ~opens & ~comma & _names_ok(e, allowed) & _names_allowed(names, allowed), F.lit(False))
+# What ends a FROM clause on its own level, and the functions whose
+# arguments may be separated by FROM.
+AFTER_FROM = ["where", "group", "having", "order", "limit", "union", "intersect", "except", "window", "offset", "fetch"]
+FROM_FUNCTIONS = ["extract", "trim", "substring", "overlay"]
+
+_SPACES = PY_SPACE[1:-1]
+
+
+_WORD = "[a-z0-9_]"
+
+
+# The tokens. All runs are possessive and none is a repeated group; no token holds
+# a quote or a backslash, but for these two themselves, so that a literal's end
+# is always a token.
+_AT_WORD = "|".join([
+    # FROM or JOIN with the name behind it, and a dot behind that
+    rf"(?:from|join)(?!{_WORD}){PY_SPACE}*+[^{_SPACES}(),;'\"`#\\]*+(?:{PY_SPACE}*+\.)?+",
+    rf"(?:{'|'.join(FROM_FUNCTIONS)}){PY_SPACE}*+\({PY_SPACE}*+(?:select(?!{_WORD}))?+",
+    rf"(?:{'|'.join(AFTER_FROM + FORBIDDEN + ['into', 'table'])})(?!{_WORD})",
+])
+_TOKEN = "|".join([
+    rf"(?<!{_WORD})(?=[a-z])(?:{_AT_WORD})",
+    # the letters of FROM or JOIN at the end of a longer word: the name rule of compat
+    rf"{_WORD}(?:from|join)(?:{PY_SPACE}++{_NAME}|(?={PY_SPACE}*+\())",
+    rf"\({PY_SPACE}*+(?:select(?!{_WORD}))?+", r"[),;#`\"']", r"\\(?s:.)?+", r"--", r"/\*", r"\*/",
+])
+
+# Modes of the lexer; FROM_OPEN and ARGUMENTS are bits of a level.
+_PLAIN, _LITERAL, _TABLE, _BAD = range(4)
+_FROM_OPEN, _ARGUMENTS = 1, 2
+_LEVELS = 31   # of two bits each in a long
+
+
+def _lexer_step(allowed: list[str]):
+    def step(s: Column, t: Column) -> Column:
+        def to(mode=None, level=None, top=None, n=None, rest=None) -> Column:
+            new = {"mode": mode, "level": level, "top": top, "n": n, "rest": rest}
+            return F.struct(*[(s[k] if v is None else F.lit(v) if isinstance(v, int) else v).alias(k) for k, v in new.items()])
+        bad = to(mode=_BAD)
+        packed = F.shiftleft(s["top"], 2).bitwiseOR(s["level"].cast("long"))
+        function = ~t.startswith("(") & ~t.endswith("select")
+        inside = F.when(function, _ARGUMENTS).otherwise(0)
+        push = (F.when(s["n"] < _LEVELS, to(_PLAIN, inside, packed, s["n"] + 1))
+                .otherwise(to(_PLAIN, inside, s["level"].cast("long"), 1, F.concat(s["rest"], F.array(s["top"])))))
+        top = F.element_at(s["rest"], -1)
+        pop = (F.when(s["n"] > 0, to(level=s["top"].bitwiseAND(3).cast("int"), top=F.shiftrightunsigned(s["top"], 2), n=s["n"] - 1))
+               .when(F.size(s["rest"]) > 0, to(level=top.bitwiseAND(3).cast("int"), top=F.shiftrightunsigned(top, 2),
+                                               n=_LEVELS - 1, rest=F.slice(s["rest"], 1, F.size(s["rest"]) - 1)))
+               .otherwise(bad))
+        keyword = t.startswith("from") | t.startswith("join")
+        open_ = F.when(t.startswith("from"), s["level"].bitwiseOR(_FROM_OPEN)).otherwise(s["level"])
+        name = py_strip(F.substr(t, F.lit(5)))
+        table = (F.when(t.startswith("from") & (s["level"].bitwiseAND(_ARGUMENTS) != 0), s)
+                 .when(name == "", to(_TABLE, open_)).when(name.isin(allowed), to(_PLAIN, open_)).otherwise(bad))
+        longer = F.substring(t, 2, 4)
+        other_name = py_strip(F.substr(t, F.lit(6)))
+        return (F.when(s["mode"] == _BAD, s)
+                .when(s["mode"] == _LITERAL, F.when(t == "'", to(_PLAIN)).otherwise(s))
+                .when((s["mode"] == _TABLE) & ~(t.startswith("(") & t.endswith("select")), bad)
+                .when(t == "'", to(_LITERAL))
+                .when(keyword, table)
+                .when(t == ",", F.when(s["level"].bitwiseAND(_FROM_OPEN) != 0, bad).otherwise(s))
+                .when(t.startswith("\\"), bad)
+                .when(t.contains("("), push)
+                .when(t == ")", pop)
+                .when(t.isin(AFTER_FROM), to(level=s["level"].bitwiseAND(_ARGUMENTS)))
+                .when(longer.isin("from", "join"), F.when(other_name == "", to(_TABLE)).when(other_name.isin(allowed), s).otherwise(bad))
+                .otherwise(bad))
+    return step
+
+
+def _strict_rules(s: Column, allowed: list[str]) -> Column:
+    """Strict verdict on prepared text ``s``."""
+    start = F.struct(F.lit(_PLAIN).alias("mode"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("top"),
+                     F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("rest"))
+    shape_ok = F.aggregate(
+        F.regexp_extract_all(s, F.lit(_TOKEN), F.lit(0)), start, _lexer_step(allowed),
+        lambda end: end["mode"].isin(_PLAIN, _TABLE) & (end["n"] == 0) & (F.size(end["rest"]) == 0))
+    selects = s.startswith("select") & ~_is_word_char(F.substring(s, 7, 1))
+    return F.coalesce(F.when(selects, shape_ok), F.lit(False))
 
 
 def screen_compat(sql: Column, allowed: list[str] = ALLOWED_TABLES) -> Column:
@@ -137,8 +163,7 @@ def screen_compat(sql: Column, allowed: list[str] = ALLOWED_TABLES) -> Column:
 
 
 def screen_strict(sql: Column, allowed: list[str] = ALLOWED_TABLES) -> Column:
-    b = _blank_literals(_prepare(sql))
-    return _strict_rules(b, _drop_function_from(b), allowed)
+    return _strict_rules(_prepare(sql), allowed)
 
 
 def screen(sql: Column | str, mode: str = "compat", allowed: list[str] = ALLOWED_TABLES) -> Column:
@@ -157,16 +182,12 @@ def screen(sql: Column | str, mode: str = "compat", allowed: list[str] = ALLOWED
 def screen_log(df: DataFrame, col: str = "sql_text", allowed: list[str] = ALLOWED_TABLES) -> DataFrame:
     """Add ``safe_compat`` and ``safe_strict`` to a log of statements.
 
-    The prepared, literal-blanked and function-stripped texts each get their
-    own projection, so every regex runs once per row rather than once per
-    rule that reads it.
+    The prepared text gets its own projection, so it is made once per row.
     """
     keep = [F.col(c) for c in df.columns]
     staged = df.select(*keep, _prepare(F.col(col)).alias("_s"))
-    staged = staged.select("*", _blank_literals(F.col("_s")).alias("_b"))
-    staged = staged.select("*", _drop_function_from(F.col("_b")).alias("_e"))
     return staged.select(
         *keep,
         _compat_rules(F.col("_s"), allowed).alias("safe_compat"),
-        _strict_rules(F.col("_b"), F.col("_e"), allowed).alias("safe_strict"),
+        _strict_rules(F.col("_s"), allowed).alias("safe_strict"),
     )

@@ -51,14 +51,16 @@ def test_any_text_parses_to_something(spark, values):
 # --- screening: invariants over hand-judged statements ----------------------
 
 JUDGED = [(t.format(src="X", dst="Y", airline="A", price=7), c, s) for t, c, s in SQL_VERDICTS]
+# white space before a final ";" stays in the text, and so does a ";" before that
+# white space: statements that end in ";" or white space take no further ends
+OPEN_ENDED = [x for x in JUDGED if x[0] == x[0].rstrip().rstrip(";")]
 
 
 @settings(max_examples=15, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(JUDGED), st.sampled_from(["", ";", " ;;", "\n"]), st.booleans(),
+@given(st.lists(st.tuples(st.sampled_from(OPEN_ENDED), st.sampled_from(["", ";", " ;;", "\n"]), st.booleans(),
                           st.sampled_from(["", "  ", "\t"])), min_size=1, max_size=40))
 def test_screen_ignores_case_and_ends(spark, picks):
     sql = [lead + (t.swapcase() if swap else t) + tail for (t, _, _), tail, swap, lead in picks]
-    # white space before a final ";" stays in the text: only statements that end otherwise are compared
     df = spark.createDataFrame([(x,) for x in sql], "sql string")
     got = [tuple(r) for r in df.select(screen("sql", "compat"), screen("sql", "strict")).collect()]
     assert got == [(c, s) for (_, c, s), *_ in picks]

@@ -106,12 +106,64 @@ NESTED = [
 ]
 
 
-@pytest.mark.parametrize("depth,strict", [(15, True), (17, False)])
+@pytest.mark.parametrize("depth,strict", [(15, True), (17, True), (1000, True)])
 def test_nesting_depth(spark, depth, strict):
     sql = "SELECT * FROM flights WHERE a = " + "(" * depth + "1" + ")" * depth
     assert spark.createDataFrame([(sql,)], "sql string").select(screen("sql", "strict")).first()[0] is strict
 
 
+# statements of a megabyte, and of very many levels: both verdicts, in a time that grows with the length
+MEGA = 1_000_000
+LONG = [
+    ("SELECT * FROM flights WHERE a = '" + "x" * MEGA + "'", True, True),
+    ("SELECT * FROM flights WHERE a = '" + "'',(" * (MEGA // 4) + "'", True, True),
+    ("SELECT * FROM flights WHERE a = '" + r"\'" * (MEGA // 2) + "'", True, True),
+    ("SELECT * FROM flights WHERE a = '" + "x" * MEGA, True, False),
+    ("SELECT * FROM " + "x" * MEGA, False, False),
+    ("SELECT * FROM " + " " * MEGA + "flights", True, True),
+    ("SELECT * FROM flights " + "a b " * (MEGA // 4), True, True),
+    ("SELECT * FROM flights " + "a b " * (MEGA // 4) + ", users", True, False),
+    ("SELECT (" + "1+" * (MEGA // 2) + "1) FROM flights", True, True),
+    ("SELECT a FROM flights WHERE a = " + "(" * 1000 + "1" + ")" * 1000, True, True),
+    ("SELECT a FROM flights WHERE a = " + "(" * 100_000 + "1" + ")" * 100_000, True, True),
+    ("SELECT a FROM flights WHERE a = " + "(" * 1000 + "1" + ")" * 999, True, False),
+    ("SELECT a FROM flights WHERE a = " + "(" * 62 + "1" + ")" * 63, True, False),
+    ("SELECT a FROM flights WHERE a IN " + "(SELECT b FROM flights WHERE a IN " * 1000 + "(1, 2)" + ")" * 1000, True, True),
+    ("SELECT a FROM flights WHERE a IN " + "(SELECT b FROM flights WHERE a IN " * 1000 + "(SELECT c FROM flights, users)" + ")" * 1000, True, False),
+    ("SELECT * FROM " + "(SELECT * FROM " * 1000 + "flights" + ") t" * 999 + ") u, users", True, False),
+    ("SELECT * FROM " + "(SELECT * FROM " * 1000 + "flights" + ") t" * 500 + ", users" + ") t" * 500, True, False),
+]
+
+
+def test_long_and_deep_statements(spark):
+    from farelens.operators.screen import screen_log
+    df = spark.createDataFrame([(s,) for s, _, _ in LONG], "sql_text string")
+    got = [(r["safe_compat"], r["safe_strict"]) for r in screen_log(df).select("safe_compat", "safe_strict").collect()]
+    assert got == [(c, s) for _, c, s in LONG]
+
+
+# what the lexer has to tell apart
+LEXER = [
+    ("SELECT valid_from, b FROM flights", True), ("SELECT valid_from x FROM flights", False),
+    ("SELECT a FROM flights .users", False), ("SELECT a FROM flights.users", False), ("SELECT a FROM users . flights", False),
+    ("SELECT EXTRACT(YEAR FROM (a)) FROM flights", True), ("SELECT TRIM(BOTH 'x' FROM LOWER(a)), b FROM flights", True),
+    ("SELECT TRIM(BOTH 'x' FROM (SELECT a FROM users)) FROM flights", False),
+    ("SELECT TRIM(SELECT a FROM users) FROM flights", False), ("SELECT TRIM((SELECT a FROM flights, users)) FROM flights", False),
+    ("SELECT a FROM flights WHERE b = 'x' AND c = 'from users, ('", True), ("SELECT a FROM flights WHERE b = 'it\\'s', users", True),
+    ("SELECT a FROM flights WHERE b = 'it\\', users", False), ("SELECT a FROM flights f, users WHERE b = 1", False),
+    ("SELECT a FROM 'users'", False), ("SELECT a FROM flights UNION SELECT b, c FROM flights", True),
+    ("SELECT a FROM flights LEFT JOIN flights g ON f(a, b) = 1 WHERE c IN (1, 2)", True), ("SELECT a FROM flights \\' , users", False),
+    ("SELECT a FROM flights WHERE (b)) OR ((c)", False), ("SELECT a FROM flights WHERE b) OR (c", False), ("SELECT a FROM\nflights\tWHERE b", True),
+    ("SELECT a, dropped, created_at FROM flights", True), ("SELECT a FROM flights WHERE drop", False),
+]
+
+
+def test_lexer(spark):
+    df = spark.createDataFrame([(s,) for s, _ in LEXER], "sql string")
+    got = [r[0] for r in df.select(screen("sql", "strict")).collect()]
+    assert [(s, g) for (s, _), g in zip(LEXER, got)] == LEXER
+
+
 def test_table_commas_at_every_depth(spark):
     df = spark.createDataFrame([(s,) for s, _ in NESTED], "sql string")
     assert [r[0] for r in df.select(screen("sql", "strict")).collect()] == [s for _, s in NESTED]
