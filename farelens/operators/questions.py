@@ -59,18 +59,18 @@ def match_question(question: str, mode: str = "first") -> str | None:
     return None
 
 
-def governed_rows(flights: DataFrame) -> DataFrame:
+def governed_rows(flights: DataFrame, results: dict[str, DataFrame] | None = None) -> DataFrame:
     """(metric_key, sort_value, record): every row of all nine governed results,
     as JSON records. ``sort_value`` is the number that orders a result, largest
     first where the result runs downwards (ascending results carry it negated),
     null for single values; ties run by record. All results come from one scan
-    (:func:`metric_results`); nothing is gathered, so a result may have any
-    number of rows."""
+    (:func:`metric_results`) unless ``results`` gives them; nothing is gathered, so a
+    result may have any number of rows."""
     # the column that orders a table result, and its direction
     order = {"busiest_route": ("flights", 1), "busiest_airport": ("flights", 1),
              "avg_price_by_airline": ("avg_price", 1), "cheapest_flight_by_route": ("cheapest_price", -1)}
     out = None
-    for key, df in metric_results(flights).items():
+    for key, df in (results or metric_results(flights)).items():
         col, sign = order.get(key, (None, 1))
         value = (F.col(col).cast("double") * sign) if col else F.lit(None).cast("double")
         part = df.select(F.lit(key).alias("metric_key"), value.alias("sort_value"),

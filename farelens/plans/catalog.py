@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from farelens.functions.parsing import stops_num, with_parsed
 from farelens.operators import metrics as M
+from farelens.operators import metrics_sql as MS
 from farelens.operators import outliers as O
 from farelens.operators import profile as P
 from farelens.operators import search as Q
@@ -85,6 +86,21 @@ def _search_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _date_text(Q.route_rows_sql(spark, SEARCH_SOURCE, SEARCH_DESTINATION, "flights_catalog"))
 
 
+def _governed_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine governed results through their SQL table functions."""
+    fl = register_view(flights_table(spark, sf_dir), "flights_catalog")
+    MS.register_metrics(spark, "flights_catalog")
+    return governed_rows(fl, {key: MS.run_metric_sql(spark, key, "flights_catalog") for key in MS.METRIC_SQL})
+
+
+def _slice_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean price by airline of one route, asked for in SQL with parameters."""
+    register_view(flights_table(spark, sf_dir), "flights_catalog")
+    MS.register_metrics(spark, "flights_catalog")
+    return MS.run_metric_sql(spark, "avg_price_by_airline", "flights_catalog",
+                             from_city=SEARCH_SOURCE, to_city=SEARCH_DESTINATION)
+
+
 def _screen(fl: DataFrame) -> DataFrame:
     return screen_log(sql_log(fl), "sql_text")
 
@@ -161,6 +177,8 @@ QUERIES: dict[str, Query] = {
     "question_metric_match": _questions,
     "question_answers": _answers,
     "governed_rows": _on_flights(governed_rows),
+    "governed_rows_sql": _governed_sql,
+    "metric_slice_sql": _slice_sql,
     "query_log_screen": _on_flights(_screen),
     "result_sample_json": _on_flights(lambda fl: sample_json(M.run_metric(fl, "avg_price_by_airline"))),
     "result_chart_kind": _on_flights(_chart_kinds),

@@ -287,6 +287,9 @@ ORACLE: dict[str, str] = {
         SELECT m.origin, m.question, m.metric_first, a.row_count, a.sample
         FROM matched m LEFT JOIN answers a ON m.metric_first = a.metric_key""",
     "governed_rows": f""", rows AS ({_RESULT_ROWS}) SELECT metric_key, sort_value, record FROM rows""",
+    "governed_rows_sql": f""", rows AS ({_RESULT_ROWS}) SELECT metric_key, sort_value, record FROM rows""",
+    "metric_slice_sql": """SELECT airline, ROUND(AVG(Price), 0) AS avg_price FROM flights
+        WHERE Source = 'NATION_5' AND destination = 'NATION_13' GROUP BY airline""",
     "query_log_screen": f"""SELECT {_fill_sql(SQL_TEMPLATES)} AS sql_text, {_verdict_sql(1)} AS safe_compat,
                {_verdict_sql(2)} AS safe_strict FROM flights""",
     "result_sample_json": """, r AS (SELECT airline, ROUND(AVG(Price), 0) AS avg_price FROM flights
