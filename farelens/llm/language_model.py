@@ -39,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelens.llm.common import LOWER, Block, Words, arrow_map, blocks, longs, mix, most_frequent, stage_table, texts
+from farelens.llm.common import LOWER, Block, Words, arrow_map, blocks, longs, mix, most_frequent, pieces, stage_table, texts
 
 DEPTH = 5
 GRAMS = 1 << 21
 DICTIONARY = 1 << 18
+PIECE_ROWS = 2000             # of a batch that are counted together
 WORD, GRAM, TEXT = 0, 1, 2   # kinds of counted things
 
 
@@ -77,8 +78,13 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 def corpus_counts(rows: DataFrame) -> DataFrame:
     """(kind, key, n): words by hash, byte strings, and texts, with their number
-    in the training rows. Byte strings of the held-out rows are there too."""
+    in the training rows. Byte strings of the held-out rows are there too. A task
+    sums up parts of a batch, so that its arrays stay some times 5 MB."""
     def run(batch: pa.RecordBatch):
+        for piece in pieces(batch, PIECE_ROWS):
+            yield from count(piece)
+
+    def count(batch: pa.RecordBatch):
         found = {WORD: ([], []), GRAM: ([], [])}
         train = batch.column("train").to_numpy(zero_copy_only=False)
         for b in blocks(batch.column("text")):
@@ -102,132 +108,8 @@ def corpus_counts(rows: DataFrame) -> DataFrame:
                       run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """log Gamma for x >= 0.5: Stirling's series behind a shift of eight."""
-    shift = np.zeros_like(x)
-    for k in range(8):
-        shift += np.log(x + k)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5) - shift
-
-
-def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    out = np.zeros(zeros.shape)
-    seen = zeros + ones > 0   # most nodes of a context have no byte at all
-    z, o = zeros[seen], ones[seen]
-    out[seen] = _log_gamma(z + 0.5) + _log_gamma(o + 0.5) - _log_gamma(z + o + 1) - math.log(math.pi)
-    return out
-
-
-def _bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte counts [contexts, 256] -> zeros and ones at the 255 nodes of the bit
-    tree (node 1 first, the highest bit)."""
-    zeros, ones = [], []
-    for k in range(8):
-        halves = counts.reshape(len(counts), 1 << k, 2, 1 << (7 - k)).sum(axis=3)
-        zeros.append(halves[:, :, 0])
-        ones.append(halves[:, :, 1])
-    return np.concatenate(zeros, axis=1), np.concatenate(ones, axis=1)
-
-
-CHUNK = 1024  # contexts whose 255 nodes are worked on at a time
-
-
-class ContextTree:
-    """The same tree in one process, for small tables: ``gram_scores`` is held
-    against it. contexts[d]: sorted contexts of depth d; place[d]: their first row in
-    ``table`` [rows, 256], the log10 probability of each byte behind them."""
-
-    def __init__(self, contexts: list[np.ndarray], counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """contexts[d] sorted, every context's parent is there; counts[d]: (row
-        of the context, byte, times seen), in order of the rows. Counts stay
-        sparse; only CHUNK contexts at a time are laid out."""
-        depth = len(contexts) - 1
-        parents = [np.searchsorted(contexts[d - 1], contexts[d] & np.uint64((1 << 8 * (d - 1)) - 1)) if d else None
-                   for d in range(depth + 1)]
-        rest = []   # what the children left out have: the counts less those of the children
-        for d in range(depth + 1):
-            row, byte, n = counts[d]
-            if d < depth:
-                below = counts[d + 1]
-                row, byte, n = (np.concatenate(x) for x in ((row, parents[d + 1][below[0]]), (byte, below[1]), (n, -below[2])))
-                order = np.argsort(row, kind="stable")
-                row, byte, n = row[order], byte[order], n[order]
-            rest.append((row, byte, n))
-
-        def nodes(sparse, lo: int, hi: int):
-            row, byte, n = sparse
-            a, b = np.searchsorted(row, [lo, hi])
-            dense = np.zeros((hi - lo, 256))
-            np.add.at(dense, (row[a:b] - lo, byte[a:b]), n[a:b])
-            return _bit_counts(dense)
-
-        def share(z, o):
-            return (o + 0.5) / (z + o + 1)
-
-        def chunks(d):
-            return [(lo, min(lo + CHUNK, len(contexts[d]))) for lo in range(0, len(contexts[d]), CHUNK)]
-
-        half = math.log(0.5)
-        weight: list = [None] * (depth + 1)
-        children = None   # by context of this depth: log weighted probability of its kept children
-        for d in range(depth, -1, -1):
-            above = np.zeros((len(contexts[d - 1]), 255)) if d else None
-            weight[d] = np.ones((len(contexts[d]), 255), np.float32)
-            for lo, hi in chunks(d):
-                own = _log_kt(*nodes(counts[d], lo, hi))
-                weighted = own
-                if d < depth:
-                    weighted = np.logaddexp(half + own, half + _log_kt(*nodes(rest[d], lo, hi)) + children[lo:hi])
-                    weight[d][lo:hi] = np.exp(half + own - weighted)
-                if d:
-                    np.add.at(above, parents[d][lo:hi], weighted)
-            children = above
-        tables = []
-        mixed = left = None
-        for d in range(depth + 1):
-            m, r = np.zeros((len(contexts[d]), 255)), np.ones((len(contexts[d]), 255))
-            if d:
-                m, r = mixed[parents[d]], left[parents[d]]
-            table = np.zeros((len(contexts[d]), 256), np.float32)
-            for lo, hi in chunks(d):
-                m[lo:hi] += r[lo:hi] * weight[d][lo:hi] * share(*nodes(counts[d], lo, hi))
-                r[lo:hi] *= 1 - weight[d][lo:hi]
-                table[lo:hi] = self._bytes(m[lo:hi] + r[lo:hi] * share(*nodes(rest[d], lo, hi)))
-            mixed, left = m, r
-            tables.append(table)
-        self.contexts = contexts
-        self.place = np.cumsum([0] + [len(c) for c in contexts])
-        self.table = np.concatenate(tables)
-
-    @staticmethod
-    def _bytes(p: np.ndarray) -> np.ndarray:
-        """P(one) at the 255 nodes -> log10 probability of the 256 bytes."""
-        out, node = np.zeros((len(p), 1)), 0
-        for k in range(8):
-            q = np.clip(p[:, node:node + (1 << k)], 1e-12, 1 - 1e-12)
-            node += 1 << k
-            out = np.stack([out + np.log10(1 - q), out + np.log10(q)], axis=2).reshape(len(p), 2 << k)
-        return out
-
-    def rows(self, context: np.ndarray) -> np.ndarray:
-        """The table row of the longest known context of each place."""
-        row = np.zeros(len(context), np.int64)
-        open_ = np.arange(len(context))
-        for d in range(len(self.contexts) - 1, 0, -1):
-            known = self.contexts[d]
-            if not len(known):
-                continue
-            c = context[open_] & np.uint64((1 << 8 * d) - 1)
-            at = np.minimum(np.searchsorted(known, c), len(known) - 1)
-            hit = known[at] == c
-            row[open_[hit]] = self.place[d] + at[hit]
-            open_ = open_[~hit]
-        return row
-
-
 def _kt(z: Column, o: Column) -> Column:
-    """``_log_kt`` as an expression."""
+    """log of the Krichevsky-Trofimov probability of z zeros and o ones."""
     def log_gamma(x):
         shift = x
         for k in range(1, 8):
@@ -275,6 +157,10 @@ def gram_scores(grams: DataFrame) -> DataFrame:
         .groupBy("context").agg(F.collect_list("x").alias("x")))
 
     def run(batch: pa.RecordBatch):
+        for piece in pieces(batch, PIECE_ROWS):
+            yield from last_bits(piece)
+
+    def last_bits(batch: pa.RecordBatch):
         lists = batch.column("x")
         x = lists.flatten()
         node, z, o, p = (x.field(c).to_numpy(zero_copy_only=False) for c in ("node", "z", "o", "p"))
@@ -308,7 +194,7 @@ class Lookup:
         size = 16
         while size < 2 * len(keys):
             size *= 2
-        self.keys, self.values = np.full(size, self.EMPTY), np.zeros(size, np.float32)
+        self.keys, self.values = np.full(size, self.EMPTY), np.zeros(size, np.float64)
         open_ = np.arange(len(keys))
         for j in range(self.PROBES):
             slot = self._slot(keys[open_], j)
@@ -325,7 +211,7 @@ class Lookup:
         """(is the key there, its value or 0)."""
         slot = self._slot(keys, 0)
         hit = self.keys[slot] == keys
-        out = np.where(hit, self.values[slot], np.float32(0))
+        out = np.where(hit, self.values[slot], 0.0)
         open_ = np.flatnonzero(~hit)
         for j in range(1, self.PROBES):
             slot = self._slot(keys[open_], j)
@@ -402,6 +288,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         rows.withColumn("uid", F.monotonically_increasing_id()), run,
         "uid long, doc_id long, n_words long, n_known long, logs double, score double, n_bytes long, "
         "kind int, key long, times long"), "scored")
+    lookup.unpersist()        # the table is written: the workers need not hold them any longer
+    dictionary.unpersist()
     more = (scored.where(F.col("kind") == WORD).join(words.withColumnRenamed("word", "key"), "key")
             .select("uid", F.col("times").alias("known"), (F.col("times") * F.log10(F.col("n") + 1)).alias("logs"),
                     F.lit(0.0).alias("score"))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from context_tree import ContextTree
 from llm_data import docs, edge_rows, empty, lowered, random_rows
 
 from farelens.llm import language_model as L
@@ -64,7 +65,7 @@ def test_tree_is_context_tree_weighting():
     def code(c):
         return sum(b << 8 * k for k, b in enumerate(c))
     order = [sorted(k, key=code) for k in kept]
-    tree = L.ContextTree([np.array([code(c) for c in o], np.uint64) for o in order],
+    tree = ContextTree([np.array([code(c) for c in o], np.uint64) for o in order],
                          [tuple(np.array(x) for x in zip(*[(i, int(b), k[c][b]) for i, c in enumerate(o) for b in np.flatnonzero(k[c])]))
                           for k, o in zip(kept, order)])
 
@@ -142,7 +143,7 @@ def test_every_context_is_in_the_tree(spark, monkeypatch, grams):
                     counts[d][code(c[:d])][x] += 1
     assert n_train > 1 << 17
     order = [sorted(c) for c in counts]
-    tree = L.ContextTree([np.array(o, np.uint64) for o in order],
+    tree = ContextTree([np.array(o, np.uint64) for o in order],
                          [tuple(np.array(v) for v in zip(*[(i, x, n) for i, c in enumerate(o) for x, n in counts[d][c].items()]))
                           for d, o in enumerate(order)])
     got = {r["doc_id"]: r["score"] for r in L.score_documents(docs(spark, rows, clash=True)).collect()}
