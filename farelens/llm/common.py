@@ -43,7 +43,18 @@ def stage_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared scratch folder and return the written table."""
     path = f"{scratch_root(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing is going to read again. A frame that was
+    derived from one and is not written itself can't be read after this."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,16 +290,18 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: link the larger neighbours to the smallest of all
-        edges = stage_table(spark, both.where("b > a").join(low, "a")
+        large = stage_table(spark, both.where("b > a").join(low, "a")
                             .select(F.col("b").alias("a"), F.col("m").alias("b"))
                             .where("a <> b").distinct(), "links")
+        drop_staged(edges)
         # small star: link the smaller neighbours and the node itself to the smallest
-        down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         edges = stage_table(spark, down.join(low, "a")
                             .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
                                     F.col("m").alias("b"))
                             .where("a <> b").distinct(), "links")
+        drop_staged(large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
                           F.count_distinct("a")).first()
         if tuple(state) == last:

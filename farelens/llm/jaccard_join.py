@@ -16,17 +16,25 @@ prefix tokens under two more orders before they are verified:
 3. In each group the node with the earliest place is the pivot. Every node is
    compared with one pivot, the one it shares the most groups with: a pair per
    node at most. Verified links give components.
-4. Pairs that are still in different components meet within their groups; a
-   vector of token counts by hash class bounds their difference from below and
-   drops what can't link. Links found here join components further.
+4. Groups that still hold several components are open. If many pairs of nodes would
+   meet in them (a passage that many documents share), the tokens of the larger
+   open groups go behind all others, and the nodes of open groups choose their
+   prefixes anew: a pair has to share a prefix token under the order before and
+   under this one. This is repeated, ORDERS times at most.
+5. In what is open then, the nodes that are not of a group's largest component meet
+   all others, in parts of PART nodes; a vector of token counts by hash class bounds
+   the difference of a pair from below and drops what can't link. Links found here
+   join components further.
 
 So a large group of copies costs a row each, not all pairs, and yet no link
 between different components is lost. Verification intersects whole sets of
-64-bit shingle hashes.
+64-bit shingle hashes. Staged tables go as soon as no later step reads them.
 
 Defined results: null or empty texts and texts of white space have no shingles
 and link with nothing; fewer words than ``width`` are one shingle; repeated
-rows are reported each; rows without a doc_id are left out.
+rows are reported each; rows without a doc_id are left out; an empty table gives no
+rows; very long texts are read whole, a block of texts at a time; columns other than
+doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,12 +44,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farelens.llm.common import (Words, arrow_map, bit_sketch, blocks, components, in_sketch, longs, mix, mixed_id,
-                                 most_frequent, pieces, stage_table, texts)
+from farelens.llm.common import (Words, arrow_map, bit_sketch, blocks, components, drop_staged, in_sketch, longs, maybe_in,
+                                 mix, mixed_id, most_frequent, pieces, stage_table, texts)
 
 HOT_SHARE = 1 / 2000      # of the documents; only moves a token in the orders
 HOT_TOKENS = 1 << 18      # the most frequent ones that are moved (a bound of the broadcast)
 GROUP_BITS = 1 << 26
+ORDERS = 3                # times that open groups are made anew at most
+PAIRS = 4                 # pairs per document that may meet without a new order
+LARGE = 8                 # nodes of an open group whose token goes behind the others
+PART = 512                # nodes of an open group that others meet in one task
+HOT_COPIES = 200          # sets that more than 1 / HOT_COPIES of the documents have are joined in parts
 CLASSES = 32              # hash classes of the count vector
 SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
@@ -59,12 +72,16 @@ def _fingerprint(tokens: np.ndarray) -> np.uint64:
         return mix(np.array([np.add.reduce(mix(tokens)) + np.uint64(len(tokens))], np.uint64))[0]
 
 
-def _ordered(tokens: np.ndarray, k: int, hot: np.ndarray, magnitude: np.ndarray, length: int) -> np.ndarray:
-    """The first ``length`` tokens under order k."""
+def _ordered(tokens: np.ndarray, k: int, hot: np.ndarray, magnitude: np.ndarray, length: int,
+             late: np.ndarray | None = None) -> np.ndarray:
+    """The first ``length`` tokens under order k; tokens that are ``late`` go
+    behind those that are not frequent."""
     key = mix(tokens ^ np.uint64(SALTS[k])) >> np.uint64(6)
+    level = np.zeros(len(tokens), np.uint64) if late is None else late.astype(np.uint64)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-        key |= np.where(hot[at] == tokens, magnitude[at], np.uint64(0)) << np.uint64(58)
+        level = np.maximum(level, np.where(hot[at] == tokens, magnitude[at], np.uint64(0)))
+    key |= level << np.uint64(58)
     return tokens[np.argsort(key, kind="stable")[:length]]
 
 
@@ -110,9 +127,10 @@ def _hot_tokens(rows: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], magnitude[order]
 
 
-def _grouped_prefixes(batch: pa.RecordBatch, width: int, percent: int, hot, magnitude):
+def _grouped_prefixes(batch: pa.RecordBatch, width: int, percent: int, hot, magnitude, late=None):
     """(group, fp, n, place) arrays of order 1, one group per prefix token and
-    size class; equal sets of a batch once. Sets so small that only equal ones
+    size class; equal sets of a batch once. ``late``: a bitmap of groups whose
+    tokens go behind the others of that size class. Sets so small that only equal ones
     reach the similarity have no rows.
 
     A class is two steps of the similarity wide (a little more, for rounding).
@@ -129,11 +147,16 @@ def _grouped_prefixes(batch: pa.RecordBatch, width: int, percent: int, hot, magn
         if fp in done:
             continue
         done.add(fp)
-        p = _ordered(t, 0, hot, magnitude, _prefix_length(n, percent))
-        place = np.arange(len(p))
+        length = _prefix_length(n, percent)
+        p = None
         size = float(np.log(n)) / step
         for c in [int(size)] + [int(size) + 1] * (size - int(size) >= 0.5 - 1e-9):
-            out.append((mix(p ^ mix(np.array([c + 1], np.uint64))), np.full(len(p), fp, np.uint64), np.full(len(p), n), place))
+            salt = mix(np.array([c + 1], np.uint64))
+            if late is not None:
+                p = _ordered(t, 0, hot, magnitude, length, in_sketch(late, mix(t ^ salt)))
+            elif p is None:
+                p = _ordered(t, 0, hot, magnitude, length)
+            out.append((mix(p ^ salt), np.full(len(p), fp, np.uint64), np.full(len(p), n), np.arange(len(p))))
     if not out:
         return None
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -150,13 +173,14 @@ def _group_sizes(docs: DataFrame, *how) -> DataFrame:
     return arrow_map(docs, run, "grp long, n long")
 
 
-def _group_rows(docs: DataFrame, sketch: np.ndarray, *how) -> DataFrame:
-    """(grp, fp, n, place) of the groups that may have several sets."""
+def _group_rows(docs: DataFrame, sketch: np.ndarray | None, *how) -> DataFrame:
+    """(grp, fp, n, place) of the groups that may have several sets; without a
+    sketch, of all."""
     def run(batch: pa.RecordBatch):
         for piece in pieces(batch):
             rows = _grouped_prefixes(piece, *how)
             if rows:
-                keep = in_sketch(sketch, rows[0])
+                keep = slice(None) if sketch is None else in_sketch(sketch, rows[0])
                 group, fp, n, place = (x[keep] for x in rows)
                 yield pa.RecordBatch.from_arrays([longs(group), longs(fp), pa.array(n.astype(np.int32)),
                                                   pa.array(place.astype(np.int32))], ["grp", "fp", "n", "place"])
@@ -205,8 +229,33 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, pe
             .where(F.arrays_overlap("a_p2", "b_p2") & F.arrays_overlap("a_p3", "b_p3")).select("a", "b").distinct())
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     both = F.size("a_tokens") + F.size("b_tokens")
-    return (near.join(side("b", "tokens"), "b").join(side("a", "tokens"), "a")
-            .where((100 + percent) * common >= percent * both).select("a", "b"))
+    links = stage_table(spark, near.join(side("b", "tokens"), "b").join(side("a", "tokens"), "a")
+                        .where((100 + percent) * common >= percent * both).select("a", "b"), "verified")
+    drop_staged(nodes, sets)
+    return links
+
+
+def _open_rows(grouped: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of groups that hold several components: grp, fp, n, place, label,
+    and of the group n_nodes, major (its largest component) and pairs (of nodes
+    of different components)."""
+    labelled = grouped.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn(
+        "label", F.coalesce("label", "fp")).distinct()
+    open_groups = (labelled.groupBy("grp", "label").agg(F.count("*").alias("m"))
+                   .groupBy("grp").agg(F.sum("m").alias("n_nodes"), F.max_by("label", F.struct("m", "label")).alias("major"),
+                                       F.count("*").alias("n_labels"), F.sum(F.col("m") * F.col("m")).alias("same"))
+                   .where("n_labels > 1")
+                   .select("grp", "n_nodes", "major", F.expr("(n_nodes * n_nodes - same) div 2").alias("pairs")))
+    return labelled.join(open_groups, "grp")
+
+
+def _by_copies(rows: DataFrame, hot: DataFrame, spread: str | None) -> DataFrame:
+    """``rows`` with ``part``: sets that very many documents have are dealt out
+    over several parts, by the column ``spread``, or are in each of them."""
+    rows = rows.join(F.broadcast(hot), "fp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = (F.pmod(F.xxhash64(spread), F.col("parts")).cast("int") if spread
+            else F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumn("part", part).drop("parts")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -220,7 +269,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     n_docs = per_doc.count()
     hot, magnitude = _hot_tokens(rows.where("token is not null"), n_docs)
     reps = stage_table(spark, per_doc.where("n > 0").groupBy("fp").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("counts").alias("counts")), "reps")
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("n").alias("n"),
+        F.any_value("counts").alias("counts")), "reps")
 
     how = (width, percent, hot, magnitude)
     several = _group_sizes(docs, *how).groupBy("grp").agg(F.sum("n").alias("n")).where("n > 1")
@@ -252,37 +302,56 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
                             F.lit(0), lambda s, x: s + x)
         return (100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
 
-    sized = reps.select("fp", "counts").join(per_doc.where("n > 0").groupBy("fp").agg(F.any_value("n").alias("n")), "fp")
-    sized = stage_table(spark, sized, "sized")
-
     def of(x):
-        return sized.select(F.col("fp").alias(x), F.col("counts").alias(f"{x}_counts"), F.col("n").alias(f"{x}_n"))
+        return reps.select(F.col("fp").alias(x), F.col("counts").alias(f"{x}_counts"), F.col("n").alias(f"{x}_n"))
     stars = stars.join(of("a"), "a").join(of("b"), "b")
     stars = stage_table(spark, stars.where(bounded(stars)).select("a", "b"), "stars")
-    links = stage_table(spark, _verified(docs, stars, reps, width, percent, hot, magnitude), "verified")
+    links = _verified(docs, stars, reps, width, percent, hot, magnitude)
     labels = stage_table(spark, components(spark, links), "labels")
+    drop_staged(links)
 
     # what is left: groups with several components
-    labelled = grouped.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn(
-        "label", F.coalesce("label", "fp"))
-    open_groups = (labelled.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-                   .where("lo <> hi").select(*key))
-    left = stage_table(spark, labelled.join(open_groups, key).join(sized.select("fp", "counts"), "fp"), "open")
-
-    def named(x):
-        return left.select(*key, *[F.col(c).alias(f"{x}_{c}") for c in ("fp", "n", "place", "label", "counts")])
-    met = named("a").join(named("b"), key).where((F.col("a_fp") < F.col("b_fp")) & (F.col("a_label") != F.col("b_label"))
-                                                & may_link("a_", "b_"))
-    met = stage_table(spark, met.where(bounded(met)).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct()
-                      .join(stars, ["a", "b"], "left_anti"), "met")
-    more = stage_table(spark, _verified(docs, met, reps, width, percent, hot, magnitude), "verified")
-    joined = components(spark, more.union(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    left = stage_table(spark, _open_rows(grouped, labels), "open")
+    drop_staged(grouped)
+    late = None
+    for _ in range(ORDERS):
+        groups = left.select("grp", "n_nodes", "pairs").distinct()
+        if (groups.agg(F.sum("pairs")).first()[0] or 0) <= PAIRS * n_docs:
+            break
+        large = bit_sketch(groups.where(F.col("n_nodes") >= LARGE).select("grp"), "grp", GROUP_BITS)
+        late = large if late is None else late | large
+        open_docs = bit_sketch(left.select("fp").distinct().join(reps.select("fp", "rep"), "fp")
+                               .select(mixed_id("rep").alias("k")), "k")
+        again = stage_table(spark, _group_rows(docs.where(maybe_in(open_docs, mixed_id())), None, *how, late)
+                            .join(left.select("fp").distinct(), "fp", "left_semi").select("grp", "fp", "n", "place"), "groups")
+        before, left = left, stage_table(spark, _open_rows(again, labels), "open")
+        drop_staged(before, again)
+
+    left_parts = F.ceil(F.col("n_nodes") / PART).cast("int")
+    minor = (left.where("label <> major").withColumn("part", F.explode(F.sequence(F.lit(0), left_parts - 1)))
+             .select("grp", "part", *[F.col(c).alias(f"a_{c}") for c in ("fp", "n", "place", "label")]))
+    other = (left.withColumn("part", F.pmod("fp", left_parts).cast("int"))
+             .select("grp", "part", "major", *[F.col(c).alias(f"b_{c}") for c in ("fp", "n", "place", "label")]))
+    met = (minor.join(other, ["grp", "part"])
+           .where((F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("major")) | (F.col("a_fp") < F.col("b_fp")))
+                  & may_link("a_", "b_"))
+           .select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
+           .join(stars, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b"))
+    met = stage_table(spark, met.where(bounded(met)).select("a", "b"), "met")
+    drop_staged(left, stars)
+    more = _verified(docs, met, reps, width, percent, hot, magnitude)
+    joined = stage_table(spark, components(spark, more.union(labels.where("node <> label").select(
+        F.col("node").alias("a"), F.col("label").alias("b")))), "labels")
+    drop_staged(met, more, labels)
 
     of_node = (joined.withColumnRenamed("node", "fp").join(reps.select("fp", "rep"), "fp"))
     smallest = of_node.groupBy("label").agg(F.min("rep").alias("component"))
     node = (reps.select("fp", "rep", "copies").join(of_node.select("fp", "label").join(smallest, "label"), "fp", "left")
             .select("fp", "copies", F.coalesce("component", "rep").alias("component")))
-    return (per_doc.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("fp")).alias("fp"))
-            .join(node, "fp", "left")
+    # less than HOT_COPIES sets
+    hot_sets = (reps.where(F.col("copies") * HOT_COPIES > n_docs)
+                .select("fp", F.ceil(F.col("copies") * HOT_COPIES / n_docs).cast("int").alias("parts")))
+    each = per_doc.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("fp")).alias("fp"))
+    return (_by_copies(each, hot_sets, "doc_id").join(_by_copies(node, hot_sets, None), ["fp", "part"], "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
                     F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies")))

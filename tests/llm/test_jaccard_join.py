@@ -64,3 +64,29 @@ def test_one_id_with_several_texts(spark):
 def test_edges(spark):
     assert got(docs(spark, edge_rows(), clash=True), width=3, percent=90) == plain(edge_rows(), 3, 90)
     assert jaccard_components(empty(spark)).count() == 0
+
+
+def test_passages_that_many_documents_share(spark, monkeypatch):
+    """Open groups get new orders, in parts, and lose no link."""
+    import random
+
+    from farelens.llm import jaccard_join as J
+    rng = random.Random(8)
+    passages = [" ".join(f"p{k}x{i}" for i in range(30)) for k in range(4)]
+    rows = []
+    for i in range(160):
+        own = " ".join(f"d{i}x{rng.randrange(10 ** 6)}" for _ in range(rng.randint(20, 60)))
+        rows.append((i, f"{own} {passages[i % 4]}" if i % 3 else f"{passages[i % 4]} {own}"))
+    for i in range(60):
+        words = rows[rng.randrange(160)][1].split()
+        words[rng.randrange(len(words))] = f"edit{i}"
+        rows.append((1000 + i, " ".join(words)))
+    want = {p: plain(rows, 3, p) for p in (60, 90)}
+    asked = []
+    for pairs, part in ((0, 3), (10 ** 6, 512)):
+        monkeypatch.setattr(J, "PAIRS", pairs)
+        monkeypatch.setattr(J, "PART", part)
+        monkeypatch.setattr(J, "_open_rows", lambda *a, f=J._open_rows: asked.append(pairs) or f(*a))
+        for percent in want:
+            assert got(docs(spark, rows), width=3, percent=percent) == want[percent]
+    assert asked.count(0) > 4
