@@ -17,8 +17,8 @@ prefix tokens under two more orders before they are verified:
    compared with one pivot, the one it shares the most groups with: a pair per
    node at most. Verified links give components.
 4. Groups that still hold several components are open. If many pairs of nodes would
-   meet in them (a passage that many documents share), the tokens of the larger
-   open groups go behind all others, and the nodes of open groups choose their
+   meet in them (a passage that many documents share), the tokens of the open
+   groups go behind all others, and the nodes of open groups choose their
    prefixes anew: a pair has to share a prefix token under the order before and
    under this one. This is repeated, ORDERS times at most.
 5. In what is open then, the nodes that are not of a group's largest component meet
@@ -51,8 +51,7 @@ HOT_SHARE = 1 / 2000      # of the documents; only moves a token in the orders
 HOT_TOKENS = 1 << 18      # the most frequent ones that are moved (a bound of the broadcast)
 GROUP_BITS = 1 << 26
 ORDERS = 3                # times that open groups are made anew at most
-PAIRS = 4                 # pairs per document that may meet without a new order
-LARGE = 8                 # nodes of an open group whose token goes behind the others
+PAIRS = 200               # pairs per document that may meet without a new order
 PART = 512                # nodes of an open group that others meet in one task
 HOT_COPIES = 200          # sets that more than 1 / HOT_COPIES of the documents have are joined in parts
 CLASSES = 32              # hash classes of the count vector
@@ -90,9 +89,13 @@ def _prefix_length(n: int, percent: int) -> int:
 
 
 def _documents(docs: DataFrame, width: int) -> DataFrame:
-    """One row per document (token null): n, fp, counts; and one per batch and
-    token that is frequent in the batch (doc_id null): token, n."""
+    """One row per document (token null): n, fp, counts; and one per part of
+    a batch and token that is frequent in it (doc_id null): token, n."""
     def run(batch: pa.RecordBatch):
+        for piece in pieces(batch):
+            yield from some(piece)
+
+    def some(batch: pa.RecordBatch):
         ids = batch.column("doc_id")
         n, fp, counts, seen = [], [], [], []
         for _, t in _sets(batch, width):
@@ -165,7 +168,7 @@ def _grouped_prefixes(batch: pa.RecordBatch, width: int, percent: int, hot, magn
 def _group_sizes(docs: DataFrame, *how) -> DataFrame:
     """(grp, n): how many sets of a batch are in a group, a row per batch."""
     def run(batch: pa.RecordBatch):
-        for piece in pieces(batch):
+        for piece in pieces(batch, 1000):
             rows = _grouped_prefixes(piece, *how)
             if rows:
                 group, n = np.unique(rows[0], return_counts=True)
@@ -177,7 +180,7 @@ def _group_rows(docs: DataFrame, sketch: np.ndarray | None, *how) -> DataFrame:
     """(grp, fp, n, place) of the groups that may have several sets; without a
     sketch, of all."""
     def run(batch: pa.RecordBatch):
-        for piece in pieces(batch):
+        for piece in pieces(batch, 1000):
             rows = _grouped_prefixes(piece, *how)
             if rows:
                 keep = slice(None) if sketch is None else in_sketch(sketch, rows[0])
@@ -318,7 +321,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         groups = left.select("grp", "n_nodes", "pairs").distinct()
         if (groups.agg(F.sum("pairs")).first()[0] or 0) <= PAIRS * n_docs:
             break
-        large = bit_sketch(groups.where(F.col("n_nodes") >= LARGE).select("grp"), "grp", GROUP_BITS)
+        large = bit_sketch(groups.select("grp"), "grp", GROUP_BITS)
         late = large if late is None else late | large
         open_docs = bit_sketch(left.select("fp").distinct().join(reps.select("fp", "rep"), "fp")
                                .select(mixed_id("rep").alias("k")), "k")
@@ -328,16 +331,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         drop_staged(before, again)
 
     left_parts = F.ceil(F.col("n_nodes") / PART).cast("int")
-    minor = (left.where("label <> major").withColumn("part", F.explode(F.sequence(F.lit(0), left_parts - 1)))
-             .select("grp", "part", *[F.col(c).alias(f"a_{c}") for c in ("fp", "n", "place", "label")]))
-    other = (left.withColumn("part", F.pmod("fp", left_parts).cast("int"))
-             .select("grp", "part", "major", *[F.col(c).alias(f"b_{c}") for c in ("fp", "n", "place", "label")]))
+    sized = left.join(reps.select("fp", "counts"), "fp")
+    minor = (sized.where("label <> major").withColumn("part", F.explode(F.sequence(F.lit(0), left_parts - 1)))
+             .select("grp", "part", *[F.col(c).alias(f"a_{c}") for c in ("fp", "n", "place", "label", "counts")]))
+    other = (sized.withColumn("part", F.pmod("fp", left_parts).cast("int"))
+             .select("grp", "part", "major", *[F.col(c).alias(f"b_{c}") for c in ("fp", "n", "place", "label", "counts")]))
     met = (minor.join(other, ["grp", "part"])
            .where((F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("major")) | (F.col("a_fp") < F.col("b_fp")))
-                  & may_link("a_", "b_"))
-           .select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
-           .join(stars, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b"))
-    met = stage_table(spark, met.where(bounded(met)).select("a", "b"), "met")
+                  & may_link("a_", "b_")))
+    # written before the anti-join, which the planner would else put before the bound
+    near = stage_table(spark, met.where(bounded(met)).select(
+        F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct(), "near")
+    met = stage_table(spark, near.join(stars, ["a", "b"], "left_anti"), "met")
+    drop_staged(near)
     drop_staged(left, stars)
     more = _verified(docs, met, reps, width, percent, hot, magnitude)
     joined = stage_table(spark, components(spark, more.union(labels.where("node <> label").select(
