@@ -44,3 +44,19 @@ def test_repeated_ids_leave_one_row(spark):
     df = docs(spark, rows + rows[:5])
     out = corpus_pipeline.near_duplicates(spark, df, SF).collect()
     assert len(out) == len({r["doc_id"] for r in out})
+
+
+def test_columns_of_the_mix_in_the_documents(spark):
+    import corpus_pipeline as P
+    from llm_data import docs
+    rows = [(i, "some words " * (i + 1)) for i in range(8)]
+    got = P.source_mix(spark, docs(spark, rows, clash=True), "")
+    assert got.columns == [*P.COLUMNS, "size", "source_size", "target", "taken"] and got.count() > 0
+
+
+def test_rows_that_repeat_an_id(spark):
+    import corpus_pipeline as P
+    from llm_data import docs
+    rows = [(1, "b"), (1, "a"), (1, "c"), (2, "x"), (3, None), (3, "y"), (None, "n"), (None, "n")]
+    got = sorted(((r["doc_id"], r["text"]) for r in P.one_row_per_id(docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, "a"), (2, "x"), (3, None), (None, "n"), (None, "n")], key=str)
