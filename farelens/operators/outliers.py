@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from farelens.functions.parsing import with_parsed
 from farelens.functions.text import RUPEE, half_even_text
-from farelens.plans.strategy import bounded_broadcast
+from farelens.plans.strategy import bounded_broadcast, within_bytes
 from farelens.session import scratch_root
 
 # Detector defaults, severity labels and display colours.
@@ -79,21 +79,45 @@ def attachable_stats(stats: DataFrame, broadcast_max_bytes: int | None = STATS_B
     plan a shuffle join and move every row across the network. Instead the
     stats are computed once and checkpointed to the shared checkpoint folder
     (cutting their lineage), their bytes are summed, and they are broadcast
-    only when that sum is under ``broadcast_max_bytes``; beyond it the join
-    stays a sort-merge join, where AQE splits hot groups. ``None`` leaves the
-    choice to the planner (for small, one-off inputs).
+    only when that sum is under ``broadcast_max_bytes``; beyond it
+    :func:`group_zscores` deals hot groups out over several tasks
+    (:func:`spread_join`). ``None`` leaves the choice to the planner (for small,
+    one-off inputs).
     """
     if broadcast_max_bytes is None:
         return stats
     scratch_root(stats.sparkSession)          # make sure a checkpoint folder is set
-    return bounded_broadcast(stats.checkpoint(eager=True), broadcast_max_bytes)
+    return stats.checkpoint(eager=True)
+
+
+def spread_join(rows: DataFrame, stats: DataFrame, by: str, total: int, tasks: int) -> DataFrame:
+    """``rows`` joined with their group's ``stats`` where a group may hold a large
+    share of all rows. Groups with more than total / tasks rows, of which there
+    are less than ``tasks``, are dealt out over several parts; their stats row is in
+    each part. The sizes are those that the stats hold, so nothing is counted again."""
+    share = max(1, -(-total // tasks))
+    hot = (stats.where(F.col("route_size") > share)
+           .select(by, F.ceil(F.col("route_size") / share).cast("int").alias("_parts")))
+    hot = bounded_broadcast(hot)
+    one = F.coalesce("_parts", F.lit(1))
+    dealt = (rows.join(hot, by, "left")
+             .withColumn("_part", F.pmod(F.monotonically_increasing_id(), one).cast("int")).drop("_parts"))
+    each = (stats.join(hot, by, "left")
+            .withColumn("_part", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts"))
+    return dealt.join(each, [by, "_part"]).drop("_part")
 
 
 def group_zscores(df: DataFrame, by: str = GROUP, measures: dict[str, str] = MEASURES,
                   broadcast_max_bytes: int | None = STATS_BROADCAST_BYTES) -> DataFrame:
     """Attach group stats and a z-score per measure to every row."""
     stats = attachable_stats(group_stats(df, by, measures), broadcast_max_bytes)
-    out = df.where(F.col(by).isNotNull()).join(stats, by)
+    rows = df.where(F.col(by).isNotNull())
+    if broadcast_max_bytes is None or within_bytes(stats, broadcast_max_bytes):
+        out = rows.join(stats if broadcast_max_bytes is None else F.broadcast(stats), by)
+    else:
+        total = stats.agg(F.sum("route_size")).first()[0] or 0
+        # four parts a task, so that they even out
+        out = spread_join(rows, stats, by, total, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for col, short in measures.items():
         out = out.withColumn(f"{short}_z", _safe_z(F.col(col), F.col(f"{short}_mean"), F.col(f"{short}_std")))
     for col, short in measures.items():

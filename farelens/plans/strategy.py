@@ -26,12 +26,16 @@ def row_bytes(df: DataFrame) -> Column:
     return out.cast("bigint")
 
 
-def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``broadcast(df)`` if the rows of ``df`` take at most ``max_bytes``, else ``df``.
+def within_bytes(df: DataFrame, max_bytes: int) -> bool:
+    """Whether the rows of ``df`` take at most ``max_bytes``.
 
     One aggregate of partial sums, run while the plan is built and only on
     inputs that are cheap to read: a lookup table or a checkpointed aggregate.
     No row leaves its task.
     """
-    size = df.agg(F.sum(row_bytes(df))).first()[0] or 0
-    return F.broadcast(df) if size <= max_bytes else df
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= max_bytes
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` if the rows of ``df`` take at most ``max_bytes``, else ``df``."""
+    return F.broadcast(df) if within_bytes(df, max_bytes) else df
