@@ -13,8 +13,11 @@ covered to COVERAGE or more contaminates the document.
 
 Defined results: a null or empty text, and an item of fewer than MIN_TILE
 words, match nothing; items that repeat an id with other texts are items of
-their own; rows that repeat a document are each reported; rows without an id
-are left out; with an empty benchmark every document is clean.
+their own; an item without an id counts like others and is reported with a null
+item_id; rows that repeat a document are each reported; documents without an id
+are left out; with an empty benchmark every document is clean; very long texts
+are read whole; columns other than the ids and texts are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -119,8 +122,9 @@ def _items(benchmark: DataFrame, least: int) -> DataFrame:
                      _lists([tokens[k] for k in keep]),
                      _lists([np.unique(shingle_hashes(tokens[k], least)) for k in keep])],
                     ["item", "item_id", "tokens", "seeds"])
-    rows = texts(benchmark, "item_id").select(F.xxhash64("doc_id", "text").alias("item"),
-                                              F.col("doc_id").alias("item_id"), "text").dropDuplicates(["item"])
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"),
+                            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").dropDuplicates(["item"])
     return arrow_map(rows, run, "item long, item_id long, tokens array<long>, seeds array<long>")
 
 

@@ -77,3 +77,14 @@ def test_edges(spark):
     assert D.contamination(empty(spark), bench).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r["contaminated"] for r in D.contamination(docs(spark, edge_rows()), none).collect())
+
+
+def test_an_item_without_an_id(spark):
+    from llm_data import docs
+
+    from farelens.llm.decontamination import contamination
+    text = "seven words that stand in this item"
+    items = spark.createDataFrame([(None, text), (5, "other words which are in no document at all")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in contamination(docs(spark, [(1, text), (2, "clean words " * 9)]), items).collect()}
+    assert got[1]["contaminated"] and got[1]["coverage"] == 1 and got[1]["item_id"] is None and got[1]["n_items"] == 1
+    assert not got[2]["contaminated"]
