@@ -94,10 +94,13 @@ def spread_join(rows: DataFrame, stats: DataFrame, by: str, total: int, tasks: i
     """``rows`` joined with their group's ``stats`` where a group may hold a large
     share of all rows. Groups with more than total / tasks rows, of which there
     are less than ``tasks``, are dealt out over several parts; their stats row is in
-    each part. The sizes are those that the stats hold, so nothing is counted again."""
+    each part. The sizes are those that the stats hold, so nothing is counted again;
+    without such groups it is a plain join."""
     share = max(1, -(-total // tasks))
     hot = (stats.where(F.col("route_size") > share)
            .select(by, F.ceil(F.col("route_size") / share).cast("int").alias("_parts")))
+    if not hot.limit(1).count():
+        return rows.join(stats, by)
     hot = bounded_broadcast(hot)
     one = F.coalesce("_parts", F.lit(1))
     dealt = (rows.join(hot, by, "left")
