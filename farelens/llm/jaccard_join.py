@@ -9,17 +9,22 @@ prefix tokens under two more orders before they are verified:
 1. Order 1 puts rare tokens first: tokens that are frequent in some batch go
    last, by magnitude, then by hash. Orders 2 and 3 use other hashes. Any order
    gives right results, so that the estimate of the frequencies is not critical.
-2. A prefix token and a size class make a group; sizes that can't reach the
-   similarity hardly meet. Groups of a single node are dropped: a bitmap of
-   fixed size tells the tasks which groups may have more. Places in the prefixes
-   that leave too little in common don't meet either.
+2. Two tokens that follow each other under order 1 and a size class make a group.
+   Between the first common tokens of two sets there are more gaps than the sets
+   may have differences, so some two of them are neighbours in both, within twice
+   the usual prefix; unrelated sets, however long, hardly share neighbours by
+   chance. (Below a similarity of 0.75 single tokens make the groups.) Sizes that
+   can't reach the similarity hardly meet. Groups of a single node are dropped: a
+   bitmap of fixed size tells the tasks which groups may have more. Places in the
+   prefixes that leave too little in common don't meet either.
 3. In each group the node with the earliest place is the pivot. Every node is
    compared with one pivot, the one it shares the most groups with: a pair per
    node at most. Verified links give components.
-4. Groups that still hold several components are open. If many pairs of nodes would
+4. Groups that still hold several components are open. Of open groups with the same
+   nodes only the one that is first in the order stays. If many pairs of nodes would
    meet in them (a passage that many documents share), the tokens of the open
    groups go behind all others, and the nodes of open groups choose their
-   prefixes anew: a pair has to share a prefix token under the order before and
+   prefixes anew: a pair has to share prefix tokens under the order before and
    under this one. This is repeated, ORDERS times at most.
 5. In what is open then, the nodes that are not of a group's largest component meet
    all others, in parts of PART nodes; a vector of token counts by hash class bounds
@@ -88,6 +93,19 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _in_pairs(percent: int) -> bool:
+    """Whether sets that may link and differ have two common tokens more than
+    differences, so that neighbours can make the groups."""
+    return percent >= 75
+
+
+def _starts(n: int, percent: int) -> int:
+    """Places of order 1 that make groups. Before the first common neighbours of A
+    and B there are at most d differences and so at most d common tokens, and the
+    sum of d and of those in A is at most 2 * (1 - similarity) * |A|."""
+    return min(2 * (100 - percent) * n // 100 + 1, n - 1) if _in_pairs(percent) else _prefix_length(n, percent)
+
+
 def _documents(docs: DataFrame, width: int) -> DataFrame:
     """One row per document (token null): n, fp, counts; and one per part of
     a batch and token that is frequent in it (doc_id null): token, n."""
@@ -131,9 +149,10 @@ def _hot_tokens(rows: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grouped_prefixes(batch: pa.RecordBatch, width: int, percent: int, hot, magnitude, late=None):
-    """(group, fp, n, place) arrays of order 1, one group per prefix token and
-    size class; equal sets of a batch once. ``late``: a bitmap of groups whose
-    tokens go behind the others of that size class. Sets so small that only equal ones
+    """(group, fp, n, place, first, last) arrays of order 1, one group per two
+    neighbours (or single token) of the prefix and size class, and the hashes of its
+    tokens in that class; equal sets of a batch once. ``late``: a bitmap of such hashes
+    whose tokens go behind the others. Sets so small that only equal ones
     reach the similarity have no rows.
 
     A class is two steps of the similarity wide (a little more, for rounding).
@@ -150,7 +169,8 @@ def _grouped_prefixes(batch: pa.RecordBatch, width: int, percent: int, hot, magn
         if fp in done:
             continue
         done.add(fp)
-        length = _prefix_length(n, percent)
+        starts = _starts(n, percent)
+        length = starts + _in_pairs(percent)
         p = None
         size = float(np.log(n)) / step
         for c in [int(size)] + [int(size) + 1] * (size - int(size) >= 0.5 - 1e-9):
@@ -159,7 +179,10 @@ def _grouped_prefixes(batch: pa.RecordBatch, width: int, percent: int, hot, magn
                 p = _ordered(t, 0, hot, magnitude, length, in_sketch(late, mix(t ^ salt)))
             elif p is None:
                 p = _ordered(t, 0, hot, magnitude, length)
-            out.append((mix(p ^ salt), np.full(len(p), fp, np.uint64), np.full(len(p), n), np.arange(len(p))))
+            token = mix(p ^ salt)
+            first, last = token[:starts], token[length - starts:]
+            group = mix(first * np.uint64(0xD6E8FEB86659FD93) + last) if _in_pairs(percent) else first
+            out.append((group, np.full(starts, fp, np.uint64), np.full(starts, n), np.arange(starts), first, last))
     if not out:
         return None
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -184,12 +207,23 @@ def _group_rows(docs: DataFrame, sketch: np.ndarray | None, *how) -> DataFrame:
             rows = _grouped_prefixes(piece, *how)
             if rows:
                 keep = slice(None) if sketch is None else in_sketch(sketch, rows[0])
-                group, fp, n, place = (x[keep] for x in rows)
+                group, fp, n, place = (x[keep] for x in rows[:4])
                 yield pa.RecordBatch.from_arrays([longs(group), longs(fp), pa.array(n.astype(np.int32)),
                                                   pa.array(place.astype(np.int32))], ["grp", "fp", "n", "place"])
     return arrow_map(docs, run, "grp long, fp long, n int, place int")
 
 
+def _group_tokens(docs: DataFrame, sketch: np.ndarray, *how) -> DataFrame:
+    """(k): the hashes of the tokens of the groups that are in the sketch."""
+    def run(batch: pa.RecordBatch):
+        for piece in pieces(batch, 1000):
+            rows = _grouped_prefixes(piece, *how)
+            if rows:
+                keep = in_sketch(sketch, rows[0])
+                yield pa.RecordBatch.from_arrays([longs(np.unique(np.concatenate([rows[4][keep], rows[5][keep]])))], ["k"])
+    return arrow_map(docs, run, "k long")
+
+
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, hot, magnitude) -> DataFrame:
     """(fp, p2, p3, tokens): the sets of ``nodes`` (fp, rep) and their prefixes
     under orders 2 and 3 (half of each hash: equal tokens stay equal), from the
@@ -241,14 +275,22 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, pe
 def _open_rows(grouped: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of groups that hold several components: grp, fp, n, place, label,
     and of the group n_nodes, major (its largest component) and pairs (of nodes
-    of different components)."""
+    of different components). Of groups with the same nodes only the first in the
+    order is left, where every node has its smallest place of them all; same nodes
+    are told by two 64-bit sums of their hashes."""
     labelled = grouped.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn(
         "label", F.coalesce("label", "fp")).distinct()
-    open_groups = (labelled.groupBy("grp", "label").agg(F.count("*").alias("m"))
+    open_groups = (labelled.groupBy("grp", "label").agg(
+                       F.count("*").alias("m"), F.sum("place").alias("places"),
+                       F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"))
                    .groupBy("grp").agg(F.sum("m").alias("n_nodes"), F.max_by("label", F.struct("m", "label")).alias("major"),
-                                       F.count("*").alias("n_labels"), F.sum(F.col("m") * F.col("m")).alias("same"))
+                                       F.count("*").alias("n_labels"), F.sum(F.col("m") * F.col("m")).alias("same"),
+                                       F.sum("places").alias("places"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
                    .where("n_labels > 1")
-                   .select("grp", "n_nodes", "major", F.expr("(n_nodes * n_nodes - same) div 2").alias("pairs")))
+                   .groupBy("x", "y", "n_nodes").agg(
+                       F.min(F.struct("places", "grp", "major", F.expr("(n_nodes * n_nodes - same) div 2").alias("pairs")))
+                       .alias("g"))
+                   .select("g.grp", "n_nodes", "g.major", "g.pairs"))
     return labelled.join(open_groups, "grp")
 
 
@@ -283,8 +325,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     def may_link(a, b):
         n = F.col(f"{a}n") + F.col(f"{b}n")
+        # before the first common token there are differences only, before the first
+        # common neighbours also a token of both sets per difference
+        times = 3 if _in_pairs(percent) else 1
         return ((100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n"))
-                & ((100 + percent) * (F.col(f"{a}place") + F.col(f"{b}place")) <= (100 - percent) * n))
+                & ((100 + percent) * (F.col(f"{a}place") + F.col(f"{b}place")) <= times * (100 - percent) * n))
 
     # Pivots. Nodes with long prefixes look at an eighth of their groups, which are
     # plenty for copies to meet; what this leaves out is found below.
@@ -322,10 +367,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         if (groups.agg(F.sum("pairs")).first()[0] or 0) <= PAIRS * n_docs:
             break
         large = bit_sketch(groups.select("grp"), "grp", GROUP_BITS)
-        late = large if late is None else late | large
         open_docs = bit_sketch(left.select("fp").distinct().join(reps.select("fp", "rep"), "fp")
                                .select(mixed_id("rep").alias("k")), "k")
-        again = stage_table(spark, _group_rows(docs.where(maybe_in(open_docs, mixed_id())), None, *how, late)
+        of_open = docs.where(maybe_in(open_docs, mixed_id()))
+        shared = bit_sketch(_group_tokens(of_open, large, *how, late), "k", GROUP_BITS)
+        late = shared if late is None else late | shared
+        again = stage_table(spark, _group_rows(of_open, None, *how, late)
                             .join(left.select("fp").distinct(), "fp", "left_semi").select("grp", "fp", "n", "place"), "groups")
         before, left = left, stage_table(spark, _open_rows(again, labels), "open")
         drop_staged(before, again)

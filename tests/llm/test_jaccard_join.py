@@ -90,3 +90,45 @@ def test_passages_that_many_documents_share(spark, monkeypatch):
         for percent in want:
             assert got(docs(spark, rows), width=3, percent=percent) == want[percent]
     assert asked.count(0) > 4
+
+
+@pytest.mark.parametrize("percent", [75, 80, 90, 97])
+def test_least_similar_sets_share_neighbours(percent):
+    """Sets as different as they may be, with the differences in the first gaps of
+    the order: the prefixes still hold common neighbours at allowed places."""
+    from farelens.llm import jaccard_join as J
+    for n in range(2, 150):
+        for m in range(n, 2 * n):
+            common = -(-percent * (n + m) // (100 + percent))
+            if common > n or n == m == common:
+                continue
+            extra = [0] * (n - common) + [1] * (m - common)
+            for order in (extra, extra[::-1], [x for k in range(len(extra)) for x in extra[k::len(extra) // 2 + 1]][:len(extra)]):
+                a, b, k = [], [], 0
+                for c in range(common):
+                    a.append(c)
+                    b.append(c)
+                    if k < len(order):
+                        (b if order[k] else a).append(("own", k))
+                        k += 1
+                at = {x: i for i, x in enumerate(zip(b, b[1:]))}
+                assert any(p in at and i < J._starts(len(a), percent) and at[p] < J._starts(len(b), percent)
+                           and (100 + percent) * (i + at[p]) <= 3 * (100 - percent) * (len(a) + len(b))
+                           for i, p in enumerate(zip(a, a[1:]))), (n, m)
+
+
+@pytest.mark.parametrize("percent", [75, 90])
+def test_pairs_at_the_threshold(spark, percent):
+    """Pairs of texts of own words just at, above and below the similarity."""
+    import random
+    rng = random.Random(percent)
+    rows = []
+    for i in range(150):
+        n = rng.randint(3, 120)
+        words = [f"v{i}x{k}" for k in range(n)]
+        union = 100 * n // percent + rng.choice((-1, 0, 0, 1))
+        put = max(0, union - n)
+        other = words + [f"u{i}x{k}" for k in range(put)]
+        drop = rng.randint(0, put)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other[drop // 2:]))]
+    assert got(docs(spark, rows), width=1, percent=percent) == plain(rows, 1, percent)
