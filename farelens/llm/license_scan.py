@@ -155,26 +155,77 @@ def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" ")))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+SPAN = "array<struct<s:int,e:int>>"
+HELD = "array<struct<s:int,ne:int,np:int,r:int,l:string,c:double>>"
+
+
+def _places(lengths: Column) -> Column:
+    """(s, e) of every detection, from the lengths (b, f) of the text before each
+    and of the detection itself. A fold that appends copies its array, so it runs
+    over blocks of about the root of n lengths, and over the blocks."""
+    size = F.ceil(F.sqrt(F.size(lengths))).cast("int")
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / size).cast("int")),
+        lambda j: F.slice(lengths, j * size + 1, size))
+    begun = F.aggregate(
+        blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,z:array<struct<b:int,f:int>>>>").alias("out")),
+        lambda a, z: F.struct(
+            F.aggregate(z, a["at"], lambda n, x: n + x["b"] + x["f"]).alias("at"),
+            F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), z.alias("z")))).alias("out")),
+        lambda a: a["out"])
+    return F.flatten(F.transform(begun, lambda block: F.aggregate(
+        block["z"], F.struct(block["at"].alias("at"), F.array().cast(SPAN).alias("out")),
+        lambda a, z: F.struct((a["at"] + z["b"] + z["f"]).alias("at"),
+                              F.when(z["f"] > 0, F.concat(a["out"], F.array(F.struct(
+                                  (a["at"] + z["b"]).alias("s"), (a["at"] + z["b"] + z["f"]).alias("e")))))
+                              .otherwise(a["out"]).alias("out")),
+        lambda a: a["out"])))
+
+
 def _spans(norm: Column, r: Column) -> Column:
-    """The rule's detections in the normalised text, as (start, end, ...)."""
+    """The rule's detections in the normalised text, as (start, -end, -priority,
+    rule, label, confidence): what may hold another one sorts before it."""
     found = F.regexp_extract_all(norm, r["pattern"], F.lit(0))
     between = F.split(norm, r["pattern"])
     # a detection starts behind all earlier pieces and detections
     lengths = F.transform(F.arrays_zip(between.alias("b"), found.alias("f")),
                           lambda z: F.struct(F.length(z["b"]).alias("b"),
                                              F.coalesce(F.length(z["f"]), F.lit(0)).alias("f")))
-    start = F.aggregate(
-        lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out")),
-        lambda a, z: F.struct((a["at"] + z["b"] + z["f"]).alias("at"),
-                              F.when(z["f"] > 0, F.concat(a["out"], F.array(F.struct(
-                                  (a["at"] + z["b"]).alias("s"), (a["at"] + z["b"] + z["f"]).alias("e")))))
-                              .otherwise(a["out"]).alias("out")),
-        lambda a: a["out"])
-    return F.transform(start, lambda x: F.struct(
-        x["s"].alias("s"), x["e"].alias("e"), r["priority"].alias("p"), r["rule"].alias("r"),
+    return F.transform(_let(lengths, _places), lambda x: F.struct(
+        x["s"].alias("s"), (-x["e"]).alias("ne"), (-r["priority"]).alias("np"), r["rule"].alias("r"),
         r["label"].alias("l"), r["confidence"].alias("c")))
 
 
+def _unsuppressed(spans: Column) -> Column:
+    """(n, out): how many detections no other one suppresses, and their distinct
+    (label, confidence). A detection is suppressed by one that holds its interval
+    and has a higher priority, or the same and is longer, or as long and of an
+    earlier rule. That order is transitive, so one sweep by start, longest first,
+    needs only the unsuppressed ones that have not ended yet: at most one a rule,
+    however many detections the text has."""
+    def step(a, x):
+        def decide(held):
+            """The state, given whether x is suppressed."""
+            live = F.filter(a["live"], lambda y: -y["ne"] > x["s"])
+            return F.struct(
+                F.when(held, live).otherwise(F.concat(live, F.array(F.struct(x["s"], x["ne"], x["np"], x["r"])))).alias("live"),
+                F.when(held, a["out"]).otherwise(
+                    F.array_union(a["out"], F.array(F.struct(x["l"].alias("l"), x["c"].alias("c"))))).alias("out"),
+                (a["n"] + F.when(held, 0).otherwise(1)).alias("n"))
+        wider = lambda y: (y["ne"] + y["s"]) < (x["ne"] + x["s"])
+        return _let(F.exists(a["live"], lambda y: (y["ne"] <= x["ne"]) & (
+            (y["np"] < x["np"]) | ((y["np"] == x["np"]) & (wider(y) | (y["s"] == x["s"]) & (y["ne"] == x["ne"]) & (y["r"] < x["r"]))))),
+            decide)
+    start = F.struct(F.array().cast("array<struct<s:int,ne:int,np:int,r:int>>").alias("live"),
+                     F.array().cast("array<struct<l:string,c:double>>").alias("out"), F.lit(0).alias("n"))
+    return F.aggregate(F.sort_array(spans), start, step, lambda a: F.struct(a["n"].alias("n"), a["out"].alias("out")))
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score, n_detections."""
@@ -195,16 +246,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     held = F.filter(literal, lambda r: F.col("norm").contains(r["keyword"]))
     spans = F.flatten(F.transform(held, lambda r: F.when(
         F.rlike(F.col("norm"), r["pattern"]), _spans(F.col("norm"), r)).otherwise(
-            F.array().cast("array<struct<s:int,e:int,p:int,r:int,l:string,c:double>>"))))
-    rows = rows.withColumn("spans", F.when(F.col("norm").isNotNull(), spans))
-
-    def inside(x, y):
-        """y suppresses x."""
-        wider = (y["e"] - y["s"]) > (x["e"] - x["s"])
-        return (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & (
-            (y["p"] > x["p"]) | ((y["p"] == x["p"]) & (wider | (y["r"] < x["r"]) & ~wider)))
-    kept = F.filter("spans", lambda x: ~F.exists(F.col("spans"), lambda y: inside(x, y)))
-    rows = rows.withColumn("kept", kept)
+            F.array().cast(HELD))))
+    rows = rows.withColumn("kept", F.when(F.col("norm").isNotNull(), _unsuppressed(spans)))
 
     places, first, last, names = [], [], [], []
     for phrase, label in BASE:
@@ -215,14 +258,13 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         last.append(F.when(n > 0, F.col("n_words") - (_spaces(F.element_at(parts, -1)) - 1) - len(phrase.split())))
         names.append(F.when(n > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")))
     base = F.array_sort(F.array_distinct(F.concat(*names)))
-    mined = F.coalesce(F.transform("kept", lambda x: x["l"]), F.array().cast("array<string>"))
-    doubt = F.aggregate(F.coalesce(F.array_distinct(F.transform("kept", lambda x: F.struct(x["l"].alias("l"), x["c"].alias("c")))),
-                                   F.array().cast("array<struct<l:string,c:double>>")),
-                        F.lit(1.0), lambda a, x: a * (1 - x["c"]))
+    found = F.coalesce(F.col("kept.out"), F.array().cast("array<struct<l:string,c:double>>"))
+    mined = F.transform(found, lambda x: x["l"])
+    doubt = F.aggregate(found, F.lit(1.0), lambda a, x: a * (1 - x["c"]))
     return rows.select(
         "doc_id", "n_words", sum(places[1:], places[0]).cast("long").alias("n_base"),
         F.least(*first).cast("long").alias("first_word"), F.greatest(*last).cast("long").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, mined))), ",").alias("labels"),
         F.round(1 - doubt, 6).alias("score"),
-        F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("n_detections"))
+        F.coalesce(F.col("kept.n"), F.lit(0)).cast("long").alias("n_detections"))

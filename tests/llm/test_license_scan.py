@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from llm_data import by_id, docs, edge_rows, empty, lowered
 
@@ -106,3 +107,47 @@ def test_short_forms(spark):
              "gplvx gplv agplv23": ""}
     got = by_id(scan_licenses(docs(spark, list(enumerate(texts)))))
     assert [got[i]["labels"] for i in range(len(texts))] == list(texts.values())
+
+
+def detected(text, table):
+    """(labels, score, detections) by a search for every rule and a comparison of all pairs."""
+    norm = " " + " ".join(WORDS.findall(lowered(text))) + " "
+    spans = [(m.start(), m.end(), r) for r in table for m in re.finditer(r["pattern"], norm)]
+
+    def inside(x, y):
+        key = lambda z: (z[2]["priority"], z[1] - z[0], -z[2]["rule"])
+        return y[0] <= x[0] and y[1] >= x[1] and key(y) > key(x)
+    kept = [x for x in spans if not any(inside(x, y) for y in spans)]
+    doubt = 1.0
+    for _, c in {(r["label"], r["confidence"]) for _, _, r in kept}:
+        doubt *= 1 - c
+    return {r["label"] for _, _, r in kept}, doubt, len(kept)
+
+
+def test_detections_equal_brute_force(spark):
+    table = rules()
+    rng = random.Random(4)
+    samples = [sample(re._parser.parse(r["pattern"]), full) for r in table for full in (False, True)]
+    glue = [" ", ", ", " or ", " and any later ", "\n", " licensed under the ", " version "]
+    rows = []
+    for i in range(120):
+        rows.append((i, "".join(x for s in rng.choices(samples, k=rng.randint(1, 12)) for x in (s, rng.choice(glue)))))
+    rows.append((500, ""))
+    got = by_id(scan_licenses(docs(spark, rows)))
+    for i, t in rows:
+        labels, doubt, n = detected(t, table)
+        r = got[i]
+        assert r["n_detections"] == n, t
+        assert set(filter(None, r["labels"].split(","))) == labels | set(filter(None, r["base_labels"].split(",")))
+        assert abs(r["score"] - (1 - doubt)) < 1e-6
+
+
+def test_thousands_of_mentions_in_one_text(spark):
+    n = 20_000
+    rows = [(1, "Licensed under the MIT License, GPLv3 or later and Apache License 2.0. " * n), (2, "GPLv3 " * n)]
+    began = time.monotonic()
+    got = by_id(scan_licenses(docs(spark, rows)))
+    one = by_id(scan_licenses(docs(spark, [(1, rows[0][1][:len(rows[0][1]) // n])])))[1]
+    assert got[1]["n_detections"] == n * one["n_detections"] and got[1]["labels"] == one["labels"]
+    assert got[1]["score"] == one["score"] and got[2]["n_detections"] == n
+    assert time.monotonic() - began < 90
