@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from farelens import schema as S
 from farelens.functions.parsing import duration_minutes
 from farelens.functions.text import RUPEE
+from farelens.sources.layout import bucket_column, rows_of_bucket
 
 # Result column names of the search page and the highlight colour.
 SEARCH_COLUMNS = [
@@ -35,19 +36,29 @@ def _route_filter(source: str, destination: str, ignore_case: bool = False) -> C
     return (src == F.lit(source)) & (dst == F.lit(destination))
 
 
+def _of_route(df: DataFrame, source: str, destination: str, ignore_case: bool) -> DataFrame:
+    """The route's rows; a table laid out by route opens its bucket's files only.
+    (Cities in other letters hash to other buckets, so ``ignore_case`` reads all.)"""
+    files = df if ignore_case else rows_of_bucket(df, source, destination)
+    return files.where(_route_filter(source, destination, ignore_case))
+
+
 def route_rows(df: DataFrame, source: str, destination: str, ignore_case: bool = False) -> DataFrame:
     """All flights from ``source`` to ``destination``, search-page columns.
     ``ignore_case=True`` matches city names case-insensitively (such filters
     are evaluated after the scan rather than pushed into it)."""
-    return (df.where(_route_filter(source, destination, ignore_case))
+    return (_of_route(df, source, destination, ignore_case)
             .select([F.col(c).alias(o) for c, o in SEARCH_COLUMNS]))
 
 
 def route_rows_sql(spark, source: str, destination: str, view: str = "flights") -> DataFrame:
     """The route search as SQL text over a registered view, with the cities
-    bound as named parameters (never pasted into the text)."""
+    bound as named parameters (never pasted into the text). A view laid out by
+    route is asked for the route's bucket as well."""
     cols = ", ".join(f"{c} AS {o}" for c, o in SEARCH_COLUMNS)
-    return spark.sql(f"SELECT {cols} FROM {view} WHERE Source = :src AND destination = :dst",
+    found = bucket_column(spark.table(view).columns)
+    bucket = f" AND {found[0]} = pmod(hash(:src, :dst), {found[1]})" if found else ""
+    return spark.sql(f"SELECT {cols} FROM {view} WHERE Source = :src AND destination = :dst{bucket}",
                      args={"src": source, "dst": destination})
 
 
@@ -101,7 +112,7 @@ def search_flights(df: DataFrame, source: str, destination: str, sort: str = "pr
 def search_summary(df: DataFrame, source: str, destination: str, ignore_case: bool = False) -> DataFrame:
     """Row count and cheapest price over the whole route (before any airline
     filter), plus the banner text."""
-    agg = (df.where(_route_filter(source, destination, ignore_case))
+    agg = (_of_route(df, source, destination, ignore_case)
            .agg(F.count(F.lit(1)).alias("flights_found"),
                 F.min(S.PRICE).alias("cheapest_price")))
     banner = F.when(

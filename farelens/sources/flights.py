@@ -23,10 +23,11 @@ from farelens.functions import parsing
 from farelens.functions.parsing import with_parsed
 from farelens.plans.strategy import bounded_broadcast
 from farelens.session import scratch_root
+from farelens.sources.layout import MAX_BUCKETS, bucket_column, bucket_name, with_bucket
 
 STAR_TABLES = ("lineitem", "orders", "customer", "supplier", "part", "nation")
 # bump when the derivation below changes, so stale materialisations are ignored
-DERIVATION_VERSION = "8"
+DERIVATION_VERSION = "9"
 # The reader options that make a JDBC read parallel.
 JDBC_PARALLEL = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
 PARSED = ("duration_minutes", "stops_num")
@@ -45,7 +46,8 @@ def load_flights(spark: SparkSession, path: str | None = None, fmt: str = "parqu
 
     A CSV value that does not fit the schema ends the read with an error
     (``mode`` FAILFAST): it is never turned into NULL. Parsed columns of an
-    ingested table (``duration_minutes``, ``stops_num``) are kept.
+    ingested table (``duration_minutes``, ``stops_num``) and its partition column
+    are kept.
     """
     options = {"header": "true", "mode": "FAILFAST"} | (options or {}) if fmt == "csv" else options or {}
     if fmt == "jdbc" and not single_task and not all(k in options for k in JDBC_PARALLEL):
@@ -54,7 +56,8 @@ def load_flights(spark: SparkSession, path: str | None = None, fmt: str = "parqu
     if fmt == "csv":
         reader = reader.schema(S.FLIGHTS)
     df = reader.load(path) if path is not None else reader.load()
-    kept = [F.col(c) for c in PARSED if c in df.columns]
+    bucket = bucket_column(df.columns)
+    kept = [F.col(c) for c in (*PARSED, *([bucket[0]] if bucket else [])) if c in df.columns]
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in S.FLIGHTS.fields] + kept)
 
 
@@ -168,7 +171,8 @@ _WRITE_LOCK = threading.Lock()
 
 
 def materialize(df: DataFrame, path: str, sort_within: list[str] | None = None,
-                partitions: int | None = None, if_exists: str = "error") -> DataFrame:
+                partitions: int | None = None, if_exists: str = "error",
+                cluster_by: str | None = None) -> DataFrame:
     """Write ``df`` as parquet at ``path`` and return a scan of it.
 
     The write cuts lineage: later plans start at a parquet scan with column
@@ -184,12 +188,17 @@ def materialize(df: DataFrame, path: str, sort_within: list[str] | None = None,
     makes deterministic for retries by sorting locally before it). The file
     count then follows the data size instead of the input's file layout,
     every later scan gets that many parallel splits, and no key or group of
-    identical rows can pile up in one file. (A range partition would also
-    cluster files by key, but it runs an extra sampling pass over its input,
-    and on an ingest that input is the whole derivation.) ``sort_within``
+    identical rows can pile up in one file. ``sort_within``
     then orders rows inside each file so row-group min/max statistics let
     equality filters skip most of every file.
 
+    ``cluster_by`` names a column that becomes the table's partition column
+    instead: rows are rebalanced by it, one shuffle of about ``partitions`` parts,
+    of which adaptive execution splits those that a hot value makes too large and
+    joins those that are small. (A range partition would cluster files as well, but
+    it runs an extra sampling pass over its input, and on an ingest that input is
+    the whole derivation.)
+
     The table is written to a private temporary folder next to ``path`` and
     renamed into place, so concurrent callers never see or clobber a partial
     table; a failed or lost job leaves only its own temporary folder behind
@@ -204,10 +213,18 @@ def materialize(df: DataFrame, path: str, sort_within: list[str] | None = None,
             raise FileExistsError(f"{path} already holds a table")
         if not there or if_exists == "replace":
             tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-            out = df.repartition(partitions) if partitions else df
-            if sort_within:
-                out = out.sortWithinPartitions(*sort_within)
-            out.write.mode("errorifexists").parquet(tmp)
+            if cluster_by:
+                out = df.hint("rebalance", *([partitions] if partitions else []), cluster_by)
+            else:
+                out = df.repartition(partitions) if partitions else df
+            # the writer of a partitioned table wants its rows in the order of the partitions
+            order = ([cluster_by] if cluster_by else []) + (sort_within or [])
+            if order:
+                out = out.sortWithinPartitions(*order)
+            writer = out.write.mode("errorifexists")
+            for c in sort_within or []:     # written for chunks that outgrow their dictionary
+                writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+            (writer.partitionBy(cluster_by) if cluster_by else writer).parquet(tmp)
             fs, target = _fs(spark, path)
             _, staged = _fs(spark, tmp)
             parent = target.getParent()
@@ -219,6 +236,8 @@ def materialize(df: DataFrame, path: str, sort_within: list[str] | None = None,
                 fs.delete(staged, True)
                 if if_exists != "reuse":    # another writer came first: its rows are not ours
                     raise FileExistsError(f"{path} was written by another job")
+            # an empty partitioned table has no file that would tell its schema
+            return spark.read.schema(df.schema).parquet(path)
     return spark.read.parquet(path)
 
 
@@ -251,7 +270,7 @@ def register_view(df: DataFrame, name: str = "flights") -> DataFrame:
     return df
 
 
-# Layout of a written fare table: files of about this size, sorted by route.
+# Layout of a written fare table: partitions by route, files of about this size, sorted by route.
 TARGET_FILE_BYTES = 256 * 1024 * 1024
 UNKNOWN_SIZE = 1 << 50          # 1 PiB: estimates at or above this are "unknown"
 
@@ -274,11 +293,12 @@ def file_count(spark: SparkSession, input_bytes: int, target_bytes: int = TARGET
 def ingest_flights(df: DataFrame, path: str, partitions: int | None = None,
                    if_exists: str = "error") -> DataFrame:
     """Ingest any fare table (e.g. from :func:`load_flights`): parse the text
-    columns once, write evenly sized parquet files sorted by route at ``path``
-    (shared storage) and return a scan of it. Later queries read numbers and
-    prune columns. A path that already holds a table raises, unless
+    columns once, write parquet files at ``path`` (shared storage), partitioned by a
+    hash of the route and sorted by it, and return a scan of it. Later queries read
+    numbers and prune columns; a route search opens the files of its bucket only
+    (:mod:`farelens.sources.layout`). A path that already holds a table raises, unless
     ``if_exists`` says otherwise (see :func:`materialize`).
-    ``partitions`` defaults to one file per 256 MB of input, taken from the
+    ``partitions`` (files, and buckets up to their bound) defaults to one per 256 MB of input, taken from the
     planner's size estimate (for a file scan: the listed file sizes, with no
     extra file-system calls)."""
     if partitions is None:
@@ -288,8 +308,9 @@ def ingest_flights(df: DataFrame, path: str, partitions: int | None = None,
         partitions = (file_count(df.sparkSession, size) if size < UNKNOWN_SIZE
                       else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = df.select([c for c in df.columns if c not in PARSED])
-    return materialize(with_parsed(base), path, sort_within=[S.SOURCE, S.DESTINATION],
-                       partitions=partitions, if_exists=if_exists)
+    buckets = min(partitions, MAX_BUCKETS)
+    return materialize(with_bucket(with_parsed(base), buckets), path, sort_within=[S.SOURCE, S.DESTINATION],
+                       partitions=partitions, if_exists=if_exists, cluster_by=bucket_name(buckets))
 
 
 def flights_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,8 @@ def test_loading_an_ingested_table_keeps_the_parsed_columns(spark, tmp_path):
     from farelens.sources import ingest_flights
     ingest_flights(spark.createDataFrame(_rows(), S.FLIGHTS), str(tmp_path / "t"))
     again = load_flights(spark, str(tmp_path / "t"))
-    assert again.columns == S.FLIGHT_COLUMNS + ["duration_minutes", "stops_num"]
+    assert again.columns[:-1] == S.FLIGHT_COLUMNS + ["duration_minutes", "stops_num"]
+    assert again.columns[-1].startswith("route_bucket_")
 
 
 def test_jdbc_reads_are_split(spark):
@@ -104,7 +105,8 @@ def test_star_derivation_shape(spark):
     raw = flights_from_star(spark, "/root/testdata/sf0.001")
     assert raw.columns == S.FLIGHT_COLUMNS
     stored = flights_table(spark, "/root/testdata/sf0.001")
-    assert stored.columns == S.FLIGHT_COLUMNS + ["duration_minutes", "stops_num"]
+    assert stored.columns[:-1] == S.FLIGHT_COLUMNS + ["duration_minutes", "stops_num"]
+    assert stored.columns[-1].startswith("route_bucket_")       # the partition column
     assert stored.count() == raw.count() == 6000
 
 
