@@ -111,9 +111,12 @@ def spread_join(rows: DataFrame, stats: DataFrame, by: str, total: int, tasks: i
 
 
 def group_zscores(df: DataFrame, by: str = GROUP, measures: dict[str, str] = MEASURES,
-                  broadcast_max_bytes: int | None = STATS_BROADCAST_BYTES) -> DataFrame:
-    """Attach group stats and a z-score per measure to every row."""
-    stats = attachable_stats(group_stats(df, by, measures), broadcast_max_bytes)
+                  broadcast_max_bytes: int | None = STATS_BROADCAST_BYTES,
+                  stats: DataFrame | None = None) -> DataFrame:
+    """Attach group stats and a z-score per measure to every row. ``stats`` are those
+    of ``df`` unless given, for instance from stored moments
+    (:mod:`farelens.operators.moments`); rows of a group without stats are left out."""
+    stats = attachable_stats(group_stats(df, by, measures) if stats is None else stats, broadcast_max_bytes)
     rows = df.where(F.col(by).isNotNull())
     if broadcast_max_bytes is None or within_bytes(stats, broadcast_max_bytes):
         out = rows.join(stats if broadcast_max_bytes is None else F.broadcast(stats), by)
@@ -154,9 +157,10 @@ def flag_outliers(df: DataFrame, threshold: float = Z_THRESHOLD,
 
 
 def detect(flights: DataFrame, threshold: float = Z_THRESHOLD, min_size: int = MIN_GROUP_SIZE,
-           broadcast_max_bytes: int | None = STATS_BROADCAST_BYTES) -> DataFrame:
+           broadcast_max_bytes: int | None = STATS_BROADCAST_BYTES,
+           stats: DataFrame | None = None) -> DataFrame:
     """All flagged rows of a fare table (unordered, not capped)."""
-    z = group_zscores(clean(outlier_input(flights)), broadcast_max_bytes=broadcast_max_bytes)
+    z = group_zscores(clean(outlier_input(flights)), broadcast_max_bytes=broadcast_max_bytes, stats=stats)
     return flag_outliers(z, threshold, min_size)
 
 

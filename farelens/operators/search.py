@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from farelens import schema as S
 from farelens.functions.parsing import duration_minutes
 from farelens.functions.text import RUPEE
+from farelens.plans.strategy import bounded_broadcast
 from farelens.sources.layout import bucket_column, rows_of_bucket
 
 # Result column names of the search page and the highlight colour.
@@ -90,6 +91,16 @@ def filter_airlines(rows: DataFrame, airlines: list[str] | None) -> DataFrame:
     return rows.where(cond)
 
 
+def filter_airlines_table(rows: DataFrame, listed: DataFrame, column: str = "airline") -> DataFrame:
+    """:func:`filter_airlines` with the list in a table: of any length, and no value is
+    written into the plan. A listed NULL keeps the rows without an airline; repeated
+    values count once; an empty list keeps nothing. The list is broadcast if its bytes
+    are under the bound; beyond it both sides are shuffled, and adaptive execution
+    splits an airline with a large share of the rows."""
+    names = listed.select(F.col(column).cast("string").alias("_listed")).distinct()
+    return rows.join(bounded_broadcast(names), F.col("Airline").eqNullSafe(F.col("_listed")), "left_semi")
+
+
 def mark_cheapest(rows: DataFrame, price: str = "Price") -> DataFrame:
     """Flag every row whose price equals the minimum of ``rows`` (ties all
     flagged) and add its highlight colour. The minimum is a scalar subquery,

@@ -14,9 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from farelens import schema as S
 from farelens.functions.parsing import stops_num, with_parsed
 from farelens.operators import metrics as M
 from farelens.operators import metrics_sql as MS
+from farelens.operators import moments as MO
 from farelens.operators import outliers as O
 from farelens.operators import profile as P
 from farelens.operators import search as Q
@@ -59,6 +61,21 @@ def _route_stats(fl: DataFrame) -> DataFrame:
     return st.select("Route", *[_r4(c) for c in st.columns if c.endswith(("_mean", "_std"))], "route_size")
 
 
+def _merged_stats(fl: DataFrame) -> DataFrame:
+    """Moments per route and year of travel, merged over the years."""
+    rows = MO.clean(fl.select(F.col(S.ROUTE).alias("Route"), S.PRICE, "duration_minutes", "stops_num",
+                              F.year(S.DATE).alias("year")))
+    st = MO.stats_of(MO.merge_moments(MO.group_moments(rows, batch="year"), batch="year"))
+    return st.select("Route", *[_r4(c) for c in st.columns if c.endswith(("_mean", "_std"))], "route_size")
+
+
+def _listed_airlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search rows of the airlines named by a table: the brands of large parts."""
+    listed = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size > 45").select("p_brand")
+    rows = Q.route_rows(flights_table(spark, sf_dir), SEARCH_SOURCE, SEARCH_DESTINATION)
+    return _date_text(Q.filter_airlines_table(rows, listed, "p_brand"))
+
+
 def _zscores(fl: DataFrame) -> DataFrame:
     z = O.group_zscores(O.clean(O.outlier_input(fl)))
     return z.select("Airline", "Route", "Price", "duration_minutes", "stops_num", "route_size",
@@ -151,6 +168,7 @@ QUERIES: dict[str, Query] = {
     "flight_search_sql": _search_sql,
     "flight_search_airlines": _on_flights(lambda fl: _date_text(Q.filter_airlines(
         Q.route_rows(fl, SEARCH_SOURCE, SEARCH_DESTINATION), SEARCH_AIRLINES))),
+    "flight_search_airline_table": _listed_airlines,
     "flight_search_cheapest": _on_flights(lambda fl: _date_text(Q.search_flights(
         fl, SEARCH_SOURCE, SEARCH_DESTINATION, "price", SEARCH_AIRLINES))),
     "search_summary": _on_flights(lambda fl: Q.search_summary(fl, SEARCH_SOURCE, SEARCH_DESTINATION)),
@@ -167,6 +185,7 @@ QUERIES: dict[str, Query] = {
     # outliers
     "outlier_clean": _on_flights(lambda fl: O.clean(O.outlier_input(fl))),
     "outlier_route_stats": _on_flights(_route_stats),
+    "outlier_merged_stats": _on_flights(_merged_stats),
     "outlier_zscores": _on_flights(_zscores),
     "outlier_flags": _on_flights(_flags),
     "outlier_report": _on_flights(lambda fl: O.report(O.detect(fl))),

@@ -221,6 +221,8 @@ ORACLE: dict[str, str] = {
     "flight_search_sql": f"SELECT {_SEARCH_COLS} FROM flights WHERE {_ROUTE_WHERE}",
     "flight_search_airlines": f"""SELECT {_SEARCH_COLS} FROM flights
         WHERE {_ROUTE_WHERE} AND airline IN ({_AIRLINES_IN})""",
+    "flight_search_airline_table": f"""SELECT {_SEARCH_COLS} FROM flights
+        WHERE {_ROUTE_WHERE} AND airline IN (SELECT p_brand FROM part WHERE p_size > 45)""",
     "flight_search_cheapest": f""", r AS (SELECT {_SEARCH_COLS} FROM flights
             WHERE {_ROUTE_WHERE} AND airline IN ({_AIRLINES_IN}))
         SELECT *, COALESCE(Price = (SELECT MIN(Price) FROM r), false) AS is_cheapest,
@@ -243,6 +245,9 @@ ORACLE: dict[str, str] = {
     "outlier_route_stats": OUTLIER_CTES + f"""
         SELECT Route, {_r4('price_mean')}, {_r4('price_std')}, {_r4('duration_mean')}, {_r4('duration_std')},
                {_r4('stops_mean')}, {_r4('stops_std')}, route_size FROM stats""",
+    "outlier_merged_stats": OUTLIER_CTES + f"""
+        SELECT Route, {_r4('price_mean')}, {_r4('price_std')}, {_r4('duration_mean')}, {_r4('duration_std')},
+               {_r4('stops_mean')}, {_r4('stops_std')}, route_size FROM stats""",
     "outlier_zscores": OUTLIER_CTES + f"""
         SELECT Airline, Route, Price, duration_minutes, stops_num, route_size,
                {_r4('price_z')}, {_r4('duration_z')}, {_r4('stops_z')} FROM z""",
