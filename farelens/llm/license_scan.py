@@ -16,7 +16,9 @@ never suppressed.
 
 Defined results: a null or empty text has 0 words and places, null first and
 last word, empty labels and score 0; repeated rows are scanned each; rows
-without a doc_id are left out. Only A-Z are folded to lower case.
+without a doc_id are left out. Very long texts and texts of many thousands of
+detections are scanned whole. An empty table gives an empty result; other columns
+than doc_id and text are ignored, whatever their names. Only A-Z are folded to lower case.
 """
 
 from __future__ import annotations
