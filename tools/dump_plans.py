@@ -18,6 +18,7 @@ from farelens.functions.parsing import PY_WHITESPACE, with_parsed  # noqa: E402
 from farelens.plans.catalog import QUERIES  # noqa: E402
 from farelens.session import build_session  # noqa: E402
 from farelens.sources.flights import flights_from_star  # noqa: E402
+from farelens.sources.layout import bucket_name, with_bucket  # noqa: E402
 
 
 def main() -> None:
@@ -30,9 +31,9 @@ def main() -> None:
              f"Every registered query over `{sf_dir}`, planned with automatic broadcast",
              "joins disabled (the at-scale shape; only size-checked broadcasts remain).",
              "Generated by `tools/dump_plans.py`.", ""]
-    ingest = (with_parsed(flights_from_star(spark, sf_dir))
-              .repartition(8).sortWithinPartitions(S.SOURCE, S.DESTINATION))
-    plans = [("ingest: fare table derivation, parse, even files sorted by route", ingest)]
+    ingest = (with_bucket(with_parsed(flights_from_star(spark, sf_dir)), 8).hint("rebalance", 8, bucket_name(8))
+              .sortWithinPartitions(bucket_name(8), S.SOURCE, S.DESTINATION))
+    plans = [("ingest: fare table derivation, parse, buckets of routes, files sorted by route", ingest)]
     plans += [(name, q(spark, sf_dir)) for name, q in QUERIES.items()]
     for name, df in plans:
         plan = df._jdf.queryExecution().executedPlan().treeString()
