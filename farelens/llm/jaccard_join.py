@@ -27,9 +27,11 @@ prefix tokens under two more orders before they are verified:
    prefixes anew: a pair has to share prefix tokens under the order before and
    under this one. This is repeated, ORDERS times at most.
 5. In what is open then, the nodes that are not of a group's largest component meet
-   all others, in parts of PART nodes; a vector of token counts by hash class bounds
-   the difference of a pair from below and drops what can't link. Links found here
-   join components further.
+   all others, in parts of PART nodes. Two sketches of a set bound the difference of a
+   pair from below, inside the join, and drop what can't link: the parities of the
+   token counts of BITS hash classes (sets that differ in d tokens differ in nearly d
+   of them, while d is small against BITS), and the counts of CLASSES coarser ones
+   for longer sets. Links found here join components further.
 
 So a large group of copies costs a row each, not all pairs, and yet no link
 between different components is lost. Verification intersects whole sets of
@@ -60,6 +62,7 @@ PAIRS = 200               # pairs per document that may meet without a new order
 PART = 512                # nodes of an open group that others meet in one task
 HOT_COPIES = 200          # sets that more than 1 / HOT_COPIES of the documents have are joined in parts
 CLASSES = 32              # hash classes of the count vector
+BITS = 1024               # hash classes of the parities
 SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
 
@@ -71,6 +74,12 @@ def _sets(batch: pa.RecordBatch, width: int):
             yield row, np.unique(words.shingles(k, width))
 
 
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """Whether the number of tokens is odd, by hash class, packed into longs."""
+    odd = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _fingerprint(tokens: np.ndarray) -> np.uint64:
     with np.errstate(over="ignore"):
         return mix(np.array([np.add.reduce(mix(tokens)) + np.uint64(len(tokens))], np.uint64))[0]
@@ -107,7 +116,7 @@ def _starts(n: int, percent: int) -> int:
 
 
 def _documents(docs: DataFrame, width: int) -> DataFrame:
-    """One row per document (token null): n, fp, counts; and one per part of
+    """One row per document (token null): n, fp, counts, parities; and one per part of
     a batch and token that is frequent in it (doc_id null): token, n."""
     def run(batch: pa.RecordBatch):
         for piece in pieces(batch):
@@ -115,27 +124,30 @@ def _documents(docs: DataFrame, width: int) -> DataFrame:
 
     def some(batch: pa.RecordBatch):
         ids = batch.column("doc_id")
-        n, fp, counts, seen = [], [], [], []
+        n, fp, counts, parities, seen = [], [], [], [], []
         for _, t in _sets(batch, width):
             n.append(len(t))
             fp.append(_fingerprint(t) if len(t) else 0)
             c = np.bincount((t >> np.uint64(59)).astype(np.int64), minlength=CLASSES)
             counts.append(np.minimum(c, 127).astype(np.int8))
+            parities.append(_parities(t))
             seen.append(t)
-        flat = pa.array(np.concatenate(counts))
+
+        def lists(xs, size):
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * size + 1, size), pa.int32()), pa.array(np.concatenate(xs)))
         none = pa.nulls
-        schema = ["doc_id", "token", "n", "fp", "counts"]
+        schema = ["doc_id", "token", "n", "fp", "counts", "parities"]
         yield pa.RecordBatch.from_arrays(
             [ids, none(len(n), pa.int64()), pa.array(n, pa.int64()), longs(np.array(fp, np.uint64)),
-             pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, CLASSES), pa.int32()), flat)], schema)
+             lists(counts, CLASSES), lists(parities, BITS // 64)], schema)
         token, count = np.unique(np.concatenate(seen), return_counts=True)
         often = count >= max(4, HOT_SHARE * len(n))
         if often.any():
             m = int(often.sum())
             yield pa.RecordBatch.from_arrays(
                 [none(m, pa.int64()), longs(token[often]), longs(count[often]), none(m, pa.int64()),
-                 none(m, pa.list_(pa.int8()))], schema)
-    return arrow_map(docs, run, "doc_id long, token long, n long, fp long, counts array<tinyint>")
+                 none(m, pa.list_(pa.int8())), none(m, pa.list_(pa.int64()))], schema)
+    return arrow_map(docs, run, "doc_id long, token long, n long, fp long, counts array<tinyint>, parities array<long>")
 
 
 def _hot_tokens(rows: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -315,7 +327,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     hot, magnitude = _hot_tokens(rows.where("token is not null"), n_docs)
     reps = stage_table(spark, per_doc.where("n > 0").groupBy("fp").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("n").alias("n"),
-        F.any_value("counts").alias("counts")), "reps")
+        F.any_value("counts").alias("counts"), F.any_value("parities").alias("parities")), "reps")
 
     how = (width, percent, hot, magnitude)
     several = _group_sizes(docs, *how).groupBy("grp").agg(F.sum("n").alias("n")).where("n > 1")
@@ -345,13 +357,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
              .select(F.least("fp", "p_fp").alias("a"), F.greatest("fp", "p_fp").alias("b")).distinct())
 
     def bounded(pairs):
-        """Pairs whose counts by hash class differ little enough."""
+        """Pairs whose parities and whose counts by hash class differ little enough."""
+        odd = sum((F.bit_count(F.col("a_parities")[i].bitwiseXOR(F.col("b_parities")[i])) for i in range(1, BITS // 64)),
+                  F.bit_count(F.col("a_parities")[0].bitwiseXOR(F.col("b_parities")[0])))
         apart = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.abs(x.cast("int") - y.cast("int"))),
                             F.lit(0), lambda s, x: s + x)
-        return (100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+        most = (100 - percent) * (F.col("a_n") + F.col("b_n"))
+        return ((100 + percent) * odd <= most) & ((100 + percent) * apart <= most)
 
     def of(x):
-        return reps.select(F.col("fp").alias(x), F.col("counts").alias(f"{x}_counts"), F.col("n").alias(f"{x}_n"))
+        return reps.select(F.col("fp").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("counts", "parities", "n")])
     stars = stars.join(of("a"), "a").join(of("b"), "b")
     stars = stage_table(spark, stars.where(bounded(stars)).select("a", "b"), "stars")
     links = _verified(docs, stars, reps, width, percent, hot, magnitude)
@@ -378,11 +393,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         drop_staged(before, again)
 
     left_parts = F.ceil(F.col("n_nodes") / PART).cast("int")
-    sized = left.join(reps.select("fp", "counts"), "fp")
+    sized = left.join(reps.select("fp", "counts", "parities"), "fp")
     minor = (sized.where("label <> major").withColumn("part", F.explode(F.sequence(F.lit(0), left_parts - 1)))
-             .select("grp", "part", *[F.col(c).alias(f"a_{c}") for c in ("fp", "n", "place", "label", "counts")]))
+             .select("grp", "part", *[F.col(c).alias(f"a_{c}") for c in ("fp", "n", "place", "label", "counts", "parities")]))
     other = (sized.withColumn("part", F.pmod("fp", left_parts).cast("int"))
-             .select("grp", "part", "major", *[F.col(c).alias(f"b_{c}") for c in ("fp", "n", "place", "label", "counts")]))
+             .select("grp", "part", "major", *[F.col(c).alias(f"b_{c}") for c in ("fp", "n", "place", "label", "counts", "parities")]))
     met = (minor.join(other, ["grp", "part"])
            .where((F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("major")) | (F.col("a_fp") < F.col("b_fp")))
                   & may_link("a_", "b_")))

@@ -132,3 +132,41 @@ def test_pairs_at_the_threshold(spark, percent):
         drop = rng.randint(0, put)
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other[drop // 2:]))]
     assert got(docs(spark, rows), width=1, percent=percent) == plain(rows, 1, percent)
+
+
+def test_pairs_that_differ_too_much_do_not_leave_the_join(spark, monkeypatch):
+    """Texts that share most words, and so many groups, but not enough of them: the
+    bounds drop their pairs before any set is compared."""
+    import random
+
+    from farelens.llm import jaccard_join as J
+    rng = random.Random(5)
+    words = [f"c{k}" for k in range(300)]
+    rows = []
+    for i in range(40):
+        own = set(rng.sample(range(300), 30))
+        rows.append((i, " ".join(f"o{i}x{k}" if k in own else w for k, w in enumerate(words))))
+    near = []
+    stage = J.stage_table
+
+    def staged(session, df, name):
+        out = stage(session, df, name)
+        if name == "near":
+            near.append(out.count())
+        return out
+    monkeypatch.setattr(J, "stage_table", staged)
+    assert got(docs(spark, rows), width=1, percent=90) == plain(rows, 1, 90) == [(i, 300, i) for i in range(40)]
+    assert near == [0]
+
+
+def test_parities_never_exceed_the_difference():
+    import numpy as np
+
+    from farelens.llm import jaccard_join as J
+    rng = np.random.default_rng(3)
+    for n, d in [(1, 0), (5, 3), (300, 40), (300, 200), (20_000, 3_000)]:
+        both = rng.integers(0, 1 << 63, n + d, dtype=np.uint64)
+        a, b = J._parities(both[:n]), J._parities(both[d:])
+        apart = int(np.unpackbits((a ^ b).view(np.uint8)).sum())
+        assert apart <= 2 * min(d, n) + abs(n - len(both[d:]))
+        assert (apart == 0) == (d == 0)
