@@ -14,6 +14,7 @@ import inspect
 import sys
 import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from farelens.sources.layout import MAX_BUCKETS, bucket_column, bucket_name, wit
 
 STAR_TABLES = ("lineitem", "orders", "customer", "supplier", "part", "nation")
 # bump when the derivation below changes, so stale materialisations are ignored
-DERIVATION_VERSION = "9"
+DERIVATION_VERSION = "10"
 # The reader options that make a JDBC read parallel.
 JDBC_PARALLEL = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
 PARSED = ("duration_minutes", "stops_num")
@@ -80,8 +81,10 @@ def _clock(hour: Column, minute: Column) -> Column:
                     F.lpad(minute.cast("string"), 2, "0"), F.lit(":00"))
 
 
-def flights_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derive the fare table from lineitem and its dimensions.
+def _star_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fare table is derived from, a row per fare: airline, date, cities and
+    price, and numbers that :func:`_fares` makes the other texts of. A row is narrow,
+    so that it can be shuffled and sorted before the texts are made.
 
     Join plan, written for inputs far larger than memory:
     - only the columns used are read (parquet column pruning);
@@ -89,9 +92,11 @@ def flights_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
       part on partkey. Each is a sort-merge join at scale, with AQE splitting
       skewed keys, and becomes a broadcast join only when AQE measures the
       smaller side under spark.sql.autoBroadcastJoinThreshold;
+    - what the derivation needs of a line is computed before the first shuffle,
+      so that the line's own columns don't travel;
     - nation keys (ints) travel through those shuffles and are resolved to
       names at the end against the 25-row nation table, broadcast behind a
-      row-count check, so no name string is shuffled.
+      row-count check, so no name string is shuffled by a join.
     """
     nation = bounded_broadcast(_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"]))
     order_nation = (
@@ -106,6 +111,24 @@ def flights_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_shipdate"])
 
+    k = (F.col("l_orderkey") * 7 + F.col("l_partkey")) % 97
+    qty = F.col("l_quantity")
+    line = F.col("l_linenumber")
+    mins = ((qty.cast("int") * 10 + (F.col("l_partkey") % 60).cast("int"))
+            * F.when(k.isin(0, 1), 4).otherwise(1))
+    stops = (
+        F.when((qty == 49) & (line == 1), F.lit(None).cast("int"))
+        .when(line <= 5, F.lit(0))
+        .when(line == 6, F.lit(1))
+        .when(line == 7, F.when(F.col("l_returnflag") == "R", F.lit(2)).otherwise(F.lit(1)))
+    )
+    price = (F.round(F.col("l_extendedprice") / 10).cast("int")
+             * F.when(k == 0, 4).otherwise(1))
+    li = li.select(
+        "l_orderkey", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").alias(S.DATE),
+        F.when((qty == 50) & (line == 7), F.lit(None).cast("int")).otherwise(mins).alias("_mins"),
+        stops.alias("_stops"), price.cast("int").alias(S.PRICE))
+
     src_nation = nation.select(F.col("n_nationkey").alias("_src_key"), F.col("n_name").alias(S.SOURCE))
     dst_nation = nation.select(F.col("n_nationkey").alias("_dst_key"), F.col("n_name").alias(S.DESTINATION))
     rows = (
@@ -118,44 +141,44 @@ def flights_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(src_nation, F.col("s_nationkey") == F.col("_src_key"))
         .join(dst_nation, F.col("c_nationkey") == F.col("_dst_key"))
     )
+    return rows.select(
+        F.col("p_brand").alias(S.AIRLINE), S.DATE, S.SOURCE, S.DESTINATION,
+        (F.col("l_suppkey") % 24).cast("int").alias("_hour"), (F.col("l_partkey") % 60).cast("int").alias("_minute"),
+        "_mins", "_stops", S.PRICE)
 
-    k = (F.col("l_orderkey") * 7 + F.col("l_partkey")) % 97
-    qty = F.col("l_quantity")
-    line = F.col("l_linenumber")
-    mins = ((qty.cast("int") * 10 + (F.col("l_partkey") % 60).cast("int"))
-            * F.when(k.isin(0, 1), 4).otherwise(1))
-    rows = rows.withColumn("_mins", mins).withColumn("_k", k)
+
+def _fares(rows: DataFrame) -> DataFrame:
+    """The fare table of :func:`_star_rows`, with its partition column if it has one."""
     m = F.col("_mins")
     h = F.floor(m / F.lit(60.0)).cast("int").cast("string")
     duration = (
-        F.when((qty == 50) & (line == 7), F.lit(None).cast("string"))
-        .when(m < 60, F.concat(m.cast("string"), F.lit("m")))
+        F.when(m < 60, F.concat(m.cast("string"), F.lit("m")))
         .when(m % 60 == 0, F.concat(h, F.lit("h")))
         .otherwise(F.concat(h, F.lit("h "), (m % 60).cast("string"), F.lit("m")))
     )
-    stops = (
-        F.when((qty == 49) & (line == 1), F.lit(None).cast("string"))
-        .when(line <= 5, F.lit("non-stop"))
-        .when(line == 6, F.lit("1 stop"))
-        .when(line == 7, F.when(F.col("l_returnflag") == "R", F.lit("2 stops"))
-              .otherwise(F.lit("1 stop")))
-    )
-    price = (F.round(F.col("l_extendedprice") / 10).cast("int")
-             * F.when(F.col("_k") == 0, 4).otherwise(1))
+    stops = (F.when(F.col("_stops") == 0, F.lit("non-stop")).when(F.col("_stops") == 1, F.lit("1 stop"))
+             .when(F.col("_stops") == 2, F.lit("2 stops")))
+    bucket = bucket_column(rows.columns)
     return rows.select(
-        F.col("p_brand").alias(S.AIRLINE),
-        F.col("l_shipdate").cast("date").alias(S.DATE),
-        F.col(S.SOURCE),
-        F.col(S.DESTINATION),
+        S.AIRLINE,
+        S.DATE,
+        S.SOURCE,
+        S.DESTINATION,
         F.concat(F.col(S.SOURCE), F.lit("-"), F.col(S.DESTINATION)).alias(S.ROUTE),
-        _clock(F.col("l_suppkey") % 24, F.col("l_partkey") % 60).alias(S.DEP_TIME),
-        _clock((F.col("l_suppkey") + 3) % 24, F.col("l_partkey") % 60).alias(S.ARRIVAL_TIME),
+        _clock(F.col("_hour"), F.col("_minute")).alias(S.DEP_TIME),
+        _clock((F.col("_hour") + 3) % 24, F.col("_minute")).alias(S.ARRIVAL_TIME),
         duration.alias(S.DURATION),
         stops.alias(S.STOPS),
-        price.cast("int").alias(S.PRICE),
+        S.PRICE,
+        *([bucket[0]] if bucket else []),
     )
 
 
+def flights_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derive the fare table from lineitem and its dimensions."""
+    return _fares(_star_rows(spark, sf_dir))
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -172,7 +195,8 @@ _WRITE_LOCK = threading.Lock()
 
 def materialize(df: DataFrame, path: str, sort_within: list[str] | None = None,
                 partitions: int | None = None, if_exists: str = "error",
-                cluster_by: str | None = None) -> DataFrame:
+                cluster_by: str | None = None,
+                finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Write ``df`` as parquet at ``path`` and return a scan of it.
 
     The write cuts lineage: later plans start at a parquet scan with column
@@ -199,6 +223,10 @@ def materialize(df: DataFrame, path: str, sort_within: list[str] | None = None,
     it runs an extra sampling pass over its input, and on an ingest that input is
     the whole derivation.)
 
+    ``finish`` is a projection that makes the written rows of those of ``df``, after
+    they were dealt out and sorted: columns that can be computed from the others
+    needn't be shuffled, sorted and spilled. It keeps ``cluster_by``.
+
     The table is written to a private temporary folder next to ``path`` and
     renamed into place, so concurrent callers never see or clobber a partial
     table; a failed or lost job leaves only its own temporary folder behind
@@ -221,6 +249,7 @@ def materialize(df: DataFrame, path: str, sort_within: list[str] | None = None,
             order = ([cluster_by] if cluster_by else []) + (sort_within or [])
             if order:
                 out = out.sortWithinPartitions(*order)
+            out = finish(out) if finish else out
             writer = out.write.mode("errorifexists")
             for c in sort_within or []:     # written for chunks that outgrow their dictionary
                 writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
@@ -237,7 +266,7 @@ def materialize(df: DataFrame, path: str, sort_within: list[str] | None = None,
                 if if_exists != "reuse":    # another writer came first: its rows are not ours
                     raise FileExistsError(f"{path} was written by another job")
             # an empty partitioned table has no file that would tell its schema
-            return spark.read.schema(df.schema).parquet(path)
+            return spark.read.schema(out.schema).parquet(path)
     return spark.read.parquet(path)
 
 
@@ -291,7 +320,8 @@ def file_count(spark: SparkSession, input_bytes: int, target_bytes: int = TARGET
 
 
 def ingest_flights(df: DataFrame, path: str, partitions: int | None = None,
-                   if_exists: str = "error") -> DataFrame:
+                   if_exists: str = "error",
+                   derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Ingest any fare table (e.g. from :func:`load_flights`): parse the text
     columns once, write parquet files at ``path`` (shared storage), partitioned by a
     hash of the route and sorted by it, and return a scan of it. Later queries read
@@ -300,7 +330,8 @@ def ingest_flights(df: DataFrame, path: str, partitions: int | None = None,
     ``if_exists`` says otherwise (see :func:`materialize`).
     ``partitions`` (files, and buckets up to their bound) defaults to one per 256 MB of input, taken from the
     planner's size estimate (for a file scan: the listed file sizes, with no
-    extra file-system calls)."""
+    extra file-system calls). ``derive`` makes the fare table of the rows of ``df``,
+    which hold the cities at least; it and the parse run behind the shuffle and the sort."""
     if partitions is None:
         size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         # an unknown size is reported as a huge default: then use the
@@ -309,8 +340,9 @@ def ingest_flights(df: DataFrame, path: str, partitions: int | None = None,
                       else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = df.select([c for c in df.columns if c not in PARSED])
     buckets = min(partitions, MAX_BUCKETS)
-    return materialize(with_bucket(with_parsed(base), buckets), path, sort_within=[S.SOURCE, S.DESTINATION],
-                       partitions=partitions, if_exists=if_exists, cluster_by=bucket_name(buckets))
+    return materialize(with_bucket(base, buckets), path, sort_within=[S.SOURCE, S.DESTINATION],
+                       partitions=partitions, if_exists=if_exists, cluster_by=bucket_name(buckets),
+                       finish=lambda rows: with_parsed(derive(rows) if derive else rows))
 
 
 def flights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,5 +361,5 @@ def flights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             _MEMO[key] = spark.read.parquet(path)
         else:
             size = _bytes_under(spark, [f"{sf_dir}/{t}.parquet" for t in STAR_TABLES])
-            _MEMO[key] = ingest_flights(flights_from_star(spark, sf_dir), path, file_count(spark, size), "reuse")
+            _MEMO[key] = ingest_flights(_star_rows(spark, sf_dir), path, file_count(spark, size), "reuse", _fares)
     return _MEMO[key]

@@ -81,3 +81,24 @@ def test_searches_equal_those_of_a_table_without_buckets(spark, tmp_path):
     assert bucket_column(again.columns) == ("route_bucket_3", 3) and again.count() == plain.count()
     empty = ingest_flights(plain.limit(0), str(tmp_path / "e"), partitions=3)
     assert empty.count() == 0
+
+
+def test_texts_are_made_behind_the_shuffle(spark, tmp_path, monkeypatch):
+    """What can be computed from a row is neither dealt out nor sorted with it."""
+    from farelens.sources import flights as fl
+    narrow = [S.AIRLINE, S.DATE, S.SOURCE, S.DESTINATION, S.PRICE]
+    full = _table(spark, 6, 5)
+
+    def derive(rows):
+        made = {c: F.lit(full.first()[c]) for c in (S.DEP_TIME, S.ARRIVAL_TIME, S.DURATION, S.STOPS)}
+        made[S.ROUTE] = F.concat(S.SOURCE, F.lit("-"), S.DESTINATION)
+        return rows.select(*[made[c].alias(c) if c in made else c for c in full.columns], bucket_column(rows.columns)[0])
+    parsed = []
+    monkeypatch.setattr(fl, "with_parsed", lambda rows, f=fl.with_parsed: parsed.append(rows) or f(rows))
+    late = ingest_flights(full.select(narrow), str(tmp_path / "a"), partitions=4, derive=derive)
+    early = ingest_flights(full, str(tmp_path / "b"), partitions=4)
+    assert late.columns == early.columns and late.schema == early.schema
+    assert sorted(late.collect(), key=str) == sorted(early.collect(), key=str)
+    for rows in parsed:
+        assert "RebalancePartitions" in rows._jdf.queryExecution().analyzed().toString()
+    assert len(parsed) == 2
