@@ -4,28 +4,25 @@ A document's set holds its distinct shingles of ``width`` words. Documents with
 equal sets are one node. If two sets reach the similarity, their first tokens
 (the prefix, about (1 - similarity) of the set) under any fixed order of all
 tokens have one in common. Candidates are made under one order and must share
-prefix tokens under two more orders before they are verified:
+prefix neighbours and prefix tokens under two more orders before they are verified:
 
-1. Order 1 puts rare tokens first: tokens that are frequent in some batch go
+1. Every order puts rare tokens first: tokens that are frequent in some batch go
    last, by magnitude, then by hash. Orders 2 and 3 use other hashes. Any order
    gives right results, so that the estimate of the frequencies is not critical.
-2. Two tokens that follow each other under order 1 and a size class make a group.
-   Between the first common tokens of two sets there are more gaps than the sets
-   may have differences, so some two of them are neighbours in both, within twice
-   the usual prefix; unrelated sets, however long, hardly share neighbours by
-   chance. (Below a similarity of 0.75 single tokens make the groups.) Sizes that
-   can't reach the similarity hardly meet. Groups of a single node are dropped: a
-   bitmap of fixed size tells the tasks which groups may have more. Places in the
-   prefixes that leave too little in common don't meet either.
+2. Order 1 is cut into runs at fixed places, in proportion to a size class. Each run
+   that two sets don't have in common holds a difference, so among as many runs as
+   there may be differences, and one more, is a common one: these first runs that a
+   set has are its prefix. Each makes a group, by its tokens and the size class. A run
+   holds several tokens; unrelated sets, however long, hardly share one by chance. Sizes
+   that can't reach the similarity hardly meet. Groups of a single node are dropped: a
+   bitmap of fixed size tells the tasks which groups may have more.
 3. In each group the node with the earliest place is the pivot. Every node is
    compared with one pivot, the one it shares the most groups with: a pair per
    node at most. Verified links give components.
 4. Groups that still hold several components are open. Of open groups with the same
-   nodes only the one that is first in the order stays. If many pairs of nodes would
-   meet in them (a passage that many documents share), the tokens of the open
-   groups go behind all others, and the nodes of open groups choose their
-   prefixes anew: a pair has to share prefix tokens under the order before and
-   under this one. This is repeated, ORDERS times at most.
+   nodes only one stays. If many pairs of nodes would meet in them, the nodes of open
+   groups choose their prefixes anew under another order: a pair has to share runs under
+   the order before and under this one. This is repeated, ORDERS times at most.
 5. In what is open then, the nodes that are not of a group's largest component meet
    all others, in parts of PART nodes. Two sketches of a set bound the difference of a
    pair from below, inside the join, and drop what can't link: the parities of the
@@ -85,16 +82,17 @@ def _fingerprint(tokens: np.ndarray) -> np.uint64:
         return mix(np.array([np.add.reduce(mix(tokens)) + np.uint64(len(tokens))], np.uint64))[0]
 
 
-def _ordered(tokens: np.ndarray, k: int, hot: np.ndarray, magnitude: np.ndarray, length: int,
-             late: np.ndarray | None = None) -> np.ndarray:
-    """The first ``length`` tokens under order k; tokens that are ``late`` go
-    behind those that are not frequent."""
-    key = mix(tokens ^ np.uint64(SALTS[k])) >> np.uint64(6)
-    level = np.zeros(len(tokens), np.uint64) if late is None else late.astype(np.uint64)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-        level = np.maximum(level, np.where(hot[at] == tokens, magnitude[at], np.uint64(0)))
-    key |= level << np.uint64(58)
+def _levels(tokens: np.ndarray, hot: np.ndarray, magnitude: np.ndarray) -> np.ndarray:
+    """0, or of frequent tokens the magnitude."""
+    if not len(hot):
+        return np.zeros(len(tokens), np.uint64)
+    at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+    return np.where(hot[at] == tokens, magnitude[at], np.uint64(0))
+
+
+def _ordered(tokens: np.ndarray, k: int, hot: np.ndarray, magnitude: np.ndarray, length: int) -> np.ndarray:
+    """The first ``length`` tokens under order k."""
+    key = mix(tokens ^ np.uint64(SALTS[k])) >> np.uint64(6) | _levels(tokens, hot, magnitude) << np.uint64(58)
     return tokens[np.argsort(key, kind="stable")[:length]]
 
 
@@ -109,12 +107,38 @@ def _in_pairs(percent: int) -> bool:
 
 
 def _starts(n: int, percent: int) -> int:
-    """Places of order 1 that make groups. Before the first common neighbours of A
-    and B there are at most d differences and so at most d common tokens, and the
-    sum of d and of those in A is at most 2 * (1 - similarity) * |A|."""
+    """Places of an order whose tokens, or from each of which two neighbours, are compared.
+    Before the first common neighbours of A and B there are at most d differences and so
+    at most d common tokens, and the sum of d and of those in A is at most
+    2 * (1 - similarity) * |A|."""
     return min(2 * (100 - percent) * n // 100 + 1, n - 1) if _in_pairs(percent) else _prefix_length(n, percent)
 
 
+def _neighbours(prefix: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of each two neighbours of a prefix (or its tokens)."""
+    return mix(prefix[:-1] * np.uint64(0xD6E8FEB86659FD93) + prefix[1:]) if _in_pairs(percent) else prefix
+
+
+def _size_classes(n: int, percent: int) -> list[tuple[int, int]]:
+    """(class, its largest size) of the one or two size classes of a set.
+
+    A class is some steps of the similarity wide (a little more, for rounding), about a
+    doubling. A size in its last step belongs to the next class too, so that any two
+    sizes that may link share one."""
+    steps = max(2, int(np.log(2) / np.log(100 / percent)))
+    wide = steps * float(np.log(100 / percent * 1.0005))
+    size = float(np.log(n)) / wide
+    c = int(size)
+    return [(k, int(np.exp((k + 1) * wide)) + 1) for k in (c, c + 1)[:1 + (size - c >= 1 - 1 / steps - 1e-9)]]
+
+
+def _cuts(top: int, percent: int) -> int:
+    """Runs that a level of order 1 is cut into, for sets of up to ``top`` tokens: so
+    few that a run holds several tokens, so many that a set has more runs than it may
+    have differences."""
+    return int(top * (100 - percent) / ((0.75 if _in_pairs(percent) else 0.5) * percent)) + 5
+
+
 def _documents(docs: DataFrame, width: int) -> DataFrame:
     """One row per document (token null): n, fp, counts, parities; and one per part of
     a batch and token that is frequent in it (doc_id null): token, n."""
@@ -160,18 +184,16 @@ def _hot_tokens(rows: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], magnitude[order]
 
 
-def _grouped_prefixes(batch: pa.RecordBatch, width: int, percent: int, hot, magnitude, late=None):
-    """(group, fp, n, place, first, last) arrays of order 1, one group per two
-    neighbours (or single token) of the prefix and size class, and the hashes of its
-    tokens in that class; equal sets of a batch once. ``late``: a bitmap of such hashes
-    whose tokens go behind the others. Sets so small that only equal ones
-    reach the similarity have no rows.
+def _grouped_runs(batch: pa.RecordBatch, width: int, percent: int, hot, magnitude, order: int = 0):
+    """(group, fp, n, place) arrays of order 1 (``order`` > 0: of another one), a group
+    per run of the prefix and size class; equal sets of a batch once. Sets so small that
+    only equal ones reach the similarity have no rows.
 
-    A class is two steps of the similarity wide (a little more, for rounding).
-    A size in its upper half belongs to the next class too, so that any two
-    sizes that may link share one."""
+    Of two sets that link, each run that is not the same in both holds one of their d
+    differences. So before the first common run either has at most d runs, and its first
+    d + 1 runs are the prefix. A set that hasn't got as many is in one more group of its
+    class, where it meets the others of this kind."""
     least = -(-percent // (100 - percent))
-    step = 2 * float(np.log(100 / percent * 1.0005))
     out, done = [], set()
     for _, t in _sets(batch, width):
         n = len(t)
@@ -181,34 +203,38 @@ def _grouped_prefixes(batch: pa.RecordBatch, width: int, percent: int, hot, magn
         if fp in done:
             continue
         done.add(fp)
-        starts = _starts(n, percent)
-        length = starts + _in_pairs(percent)
-        p = None
-        size = float(np.log(n)) / step
-        for c in [int(size)] + [int(size) + 1] * (size - int(size) >= 0.5 - 1e-9):
+        place = t if order == 0 else mix(t ^ np.uint64(SALTS[0] + order))
+        level = _levels(t, hot, magnitude)
+        value = mix(place)
+        place = place >> np.uint64(26 + 6)
+        if order or level.any():  # else they are sorted
+            by = np.argsort(level << np.uint64(58) | place, kind="stable")
+            place, level, value = place[by], level[by], value[by]
+        for c, top in _size_classes(n, percent):
+            cuts = np.uint64(_cuts(top, percent))
+            run = level * cuts + (place * cuts >> np.uint64(32))
+            most = (100 - percent) * (n + min(100 * n // percent, top)) // (100 + percent)
+            starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            end = starts[most + 1] if len(starts) > most + 1 else n
             salt = mix(np.array([c + 1], np.uint64))
-            if late is not None:
-                p = _ordered(t, 0, hot, magnitude, length, in_sketch(late, mix(t ^ salt)))
-            elif p is None:
-                p = _ordered(t, 0, hot, magnitude, length)
-            token = mix(p ^ salt)
-            first, last = token[:starts], token[length - starts:]
-            group = mix(first * np.uint64(0xD6E8FEB86659FD93) + last) if _in_pairs(percent) else first
-            out.append((group, np.full(starts, fp, np.uint64), np.full(starts, n), np.arange(starts), first, last))
+            group = mix(np.add.reduceat(value[:end], starts[:most + 1]) + salt)
+            if len(starts) <= most:
+                group = np.concatenate([group, mix(salt)])
+            out.append((group, np.full(len(group), fp, np.uint64), np.full(len(group), n), np.arange(len(group))))
     if not out:
         return None
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _group_sizes(docs: DataFrame, *how) -> DataFrame:
-    """(grp, n): how many sets of a batch are in a group, a row per batch."""
+    """(grp): the groups of each batch, those with several of its sets twice."""
     def run(batch: pa.RecordBatch):
         for piece in pieces(batch, 1000):
-            rows = _grouped_prefixes(piece, *how)
+            rows = _grouped_runs(piece, *how)
             if rows:
                 group, n = np.unique(rows[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([longs(group), longs(n)], ["grp", "n"])
-    return arrow_map(docs, run, "grp long, n long")
+                yield pa.RecordBatch.from_arrays([longs(np.repeat(group, np.minimum(n, 2)))], ["grp"])
+    return arrow_map(docs, run, "grp long")
 
 
 def _group_rows(docs: DataFrame, sketch: np.ndarray | None, *how) -> DataFrame:
@@ -216,30 +242,19 @@ def _group_rows(docs: DataFrame, sketch: np.ndarray | None, *how) -> DataFrame:
     sketch, of all."""
     def run(batch: pa.RecordBatch):
         for piece in pieces(batch, 1000):
-            rows = _grouped_prefixes(piece, *how)
+            rows = _grouped_runs(piece, *how)
             if rows:
                 keep = slice(None) if sketch is None else in_sketch(sketch, rows[0])
-                group, fp, n, place = (x[keep] for x in rows[:4])
+                group, fp, n, place = (x[keep] for x in rows)
                 yield pa.RecordBatch.from_arrays([longs(group), longs(fp), pa.array(n.astype(np.int32)),
                                                   pa.array(place.astype(np.int32))], ["grp", "fp", "n", "place"])
     return arrow_map(docs, run, "grp long, fp long, n int, place int")
 
 
-def _group_tokens(docs: DataFrame, sketch: np.ndarray, *how) -> DataFrame:
-    """(k): the hashes of the tokens of the groups that are in the sketch."""
-    def run(batch: pa.RecordBatch):
-        for piece in pieces(batch, 1000):
-            rows = _grouped_prefixes(piece, *how)
-            if rows:
-                keep = in_sketch(sketch, rows[0])
-                yield pa.RecordBatch.from_arrays([longs(np.unique(np.concatenate([rows[4][keep], rows[5][keep]])))], ["k"])
-    return arrow_map(docs, run, "k long")
-
-
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, hot, magnitude) -> DataFrame:
     """(fp, p2, p3, tokens): the sets of ``nodes`` (fp, rep) and their prefixes
-    under orders 2 and 3 (half of each hash: equal tokens stay equal), from the
-    texts of their first documents. Some sets of other nodes come along, and a
+    under orders 2 (neighbours) and 3 (half of each hash: equal tokens stay equal),
+    from the texts of their first documents. Some sets of other nodes come along, and a
     node may have several equal rows."""
     sketch = bit_sketch(nodes.select(mixed_id("rep").alias("k")), "k")
 
@@ -257,8 +272,11 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, hot, m
         def lists(xs, values):
             ends = np.concatenate([[0], np.cumsum([len(x) for x in xs])])
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values(np.concatenate(xs)))
-        pre = [lists([_ordered(t, k, hot, magnitude, _prefix_length(len(t), percent)) for t in sets],
-                     lambda x: pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32))) for k in (1, 2)]
+        def halves(x):
+            return pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        two = [_neighbours(_ordered(t, 1, hot, magnitude, _starts(len(t), percent) + _in_pairs(percent)), percent) for t in sets]
+        pre = [lists(two, halves),
+               lists([_ordered(t, 2, hot, magnitude, _prefix_length(len(t), percent)) for t in sets], halves)]
         yield pa.RecordBatch.from_arrays([longs(np.array(list(rows), np.uint64)), *pre, lists(sets, longs)],
                                          ["fp", "p2", "p3", "tokens"])
     return arrow_map(docs.withColumn("k", mixed_id()), run, "fp long, p2 array<int>, p3 array<int>, tokens array<long>")
@@ -266,7 +284,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, hot, m
 
 def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, percent: int, hot, magnitude) -> DataFrame:
     """The pairs (a, b) of nodes that reach the similarity. Those that share no
-    prefix token under order 2 or 3 go before any set is compared."""
+    prefix neighbours under order 2 or no prefix token under order 3 go before any set is compared."""
     spark = docs.sparkSession
     nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     nodes = stage_table(spark, nodes.join(reps.select("fp", "rep"), "fp"), "nodes")
@@ -287,9 +305,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, pe
 def _open_rows(grouped: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of groups that hold several components: grp, fp, n, place, label,
     and of the group n_nodes, major (its largest component) and pairs (of nodes
-    of different components). Of groups with the same nodes only the first in the
-    order is left, where every node has its smallest place of them all; same nodes
-    are told by two 64-bit sums of their hashes."""
+    of different components). Of groups with the same nodes only the one with the
+    smallest places is left; same nodes are told by two 64-bit sums of their hashes."""
     labelled = grouped.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn(
         "label", F.coalesce("label", "fp")).distinct()
     open_groups = (labelled.groupBy("grp", "label").agg(
@@ -330,18 +347,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         F.any_value("counts").alias("counts"), F.any_value("parities").alias("parities")), "reps")
 
     how = (width, percent, hot, magnitude)
-    several = _group_sizes(docs, *how).groupBy("grp").agg(F.sum("n").alias("n")).where("n > 1")
+    # nearly all groups have one set: shuffled as they are, not summed up before in every task
+    several = _group_sizes(docs, *how).repartition("grp").groupBy("grp").count().where("count > 1")
     sketch = bit_sketch(several.select("grp"), "grp", GROUP_BITS)
     # a set that several batches have is several equal rows
     grouped = stage_table(spark, _group_rows(docs, sketch, *how), "groups")
 
     def may_link(a, b):
-        n = F.col(f"{a}n") + F.col(f"{b}n")
-        # before the first common token there are differences only, before the first
-        # common neighbours also a token of both sets per difference
-        times = 3 if _in_pairs(percent) else 1
-        return ((100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n"))
-                & ((100 + percent) * (F.col(f"{a}place") + F.col(f"{b}place")) <= times * (100 - percent) * n))
+        return 100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")
 
     # Pivots. Nodes with long prefixes look at an eighth of their groups, which are
     # plenty for copies to meet; what this leaves out is found below.
@@ -376,18 +389,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     # what is left: groups with several components
     left = stage_table(spark, _open_rows(grouped, labels), "open")
     drop_staged(grouped)
-    late = None
-    for _ in range(ORDERS):
-        groups = left.select("grp", "n_nodes", "pairs").distinct()
-        if (groups.agg(F.sum("pairs")).first()[0] or 0) <= PAIRS * n_docs:
+    for order in range(1, ORDERS + 1):
+        if (left.select("grp", "pairs").distinct().agg(F.sum("pairs")).first()[0] or 0) <= PAIRS * n_docs:
             break
-        large = bit_sketch(groups.select("grp"), "grp", GROUP_BITS)
         open_docs = bit_sketch(left.select("fp").distinct().join(reps.select("fp", "rep"), "fp")
                                .select(mixed_id("rep").alias("k")), "k")
         of_open = docs.where(maybe_in(open_docs, mixed_id()))
-        shared = bit_sketch(_group_tokens(of_open, large, *how, late), "k", GROUP_BITS)
-        late = shared if late is None else late | shared
-        again = stage_table(spark, _group_rows(of_open, None, *how, late)
+        again = stage_table(spark, _group_rows(of_open, None, *how, order)
                             .join(left.select("fp").distinct(), "fp", "left_semi").select("grp", "fp", "n", "place"), "groups")
         before, left = left, stage_table(spark, _open_rows(again, labels), "open")
         drop_staged(before, again)

@@ -170,3 +170,55 @@ def test_parities_never_exceed_the_difference():
         apart = int(np.unpackbits((a ^ b).view(np.uint8)).sum())
         assert apart <= 2 * min(d, n) + abs(n - len(both[d:]))
         assert (apart == 0) == (d == 0)
+
+
+def runs_of(rows, percent, order=0):
+    """Groups of each text of words, in one batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    from farelens.llm import jaccard_join as J
+    none = np.zeros(0, np.uint64)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([" ".join(r) for r in rows])})
+    group, fp, _, _ = J._grouped_runs(batch, 1, percent, none, none, order)
+    out = {}
+    for g, f in zip(group.tolist(), fp.tolist()):
+        out.setdefault(f, set()).add(g)
+    return list(out.values())
+
+
+@pytest.mark.parametrize("percent", [60, 75, 80, 90, 97])
+def test_sets_that_link_share_a_run(percent):
+    """Sets just at the similarity, of equal sizes and as different in size as they may be."""
+    import random
+    rng = random.Random(percent)
+    least = -(-percent // (100 - percent))
+    for n in [*range(least, least + 40), 150, 400, 1500]:
+        for m in {n, n + 1, 100 * n // percent, (n + 100 * n // percent) // 2}:
+            common = -(-percent * (n + m) // (100 + percent))
+            if common > n or n == m == common:
+                continue
+            for k in range(6 if n < 100 else 2):
+                both = [f"c{n}x{m}x{k}x{rng.random()}x{i}" for i in range(common)]
+                a, b = (both + [f"{side}{i}x{rng.random()}" for i in range(size - common)] for side, size in (("a", n), ("b", m)))
+                one, two = runs_of([a, b], percent, k % 3)
+                assert one & two, (n, m)
+
+
+def test_prefixes_have_about_a_run_per_difference():
+    """What the group step shuffles: neighbours within twice the prefix were 0.3 groups a
+    token at 90 and 0.6 at 80."""
+    import random
+    rng = random.Random(4)
+    rows = [[f"t{i}x{k}" for k in range(rng.randint(60, 600))] for i in range(300)]
+    tokens = sum(map(len, rows))
+    for percent, most in ((90, 0.17), (80, 0.40)):
+        assert sum(map(len, runs_of(rows, percent))) < most * tokens
+
+
+def test_sets_with_fewer_runs_than_differences_meet(monkeypatch):
+    from farelens.llm import jaccard_join as J
+    monkeypatch.setattr(J, "_cuts", lambda top, percent: 1)
+    words = [f"w{i}" for i in range(60)]
+    one, two = runs_of([words, words[1:] + ["x"]], 80)
+    assert one & two
