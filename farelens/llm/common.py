@@ -3,7 +3,7 @@
 * ``stage_table`` writes a frame as Parquet below the shared scratch folder and
   reads it back: the lineage ends in files that outlive a lost executor.
 * ``blocks`` and ``Words`` look at text columns as byte arrays: whole Arrow
-  batches are tokenised and hashed with numpy, in blocks of about a megabyte,
+  batches are tokenised and hashed with numpy, in blocks of about a quarter of a megabyte,
   so that memory stays bounded and no text becomes a Python string.
 * ``bit_sketch`` builds a Bloom-type bitmap of fixed size. It only drops rows
   that cannot match; an exact join follows in every use.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from farelens.session import scratch_root
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 SKETCH_BITS = 1 << 24
 
 # The white space that separates words, and A-Z.
@@ -65,7 +65,7 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             .where(F.col("doc_id").isNotNull()))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     up, down = np.full(n, _BASE, np.uint64), np.full(n, _BASE_INVERSE, np.uint64)
@@ -74,7 +74,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << 16
+    """At least ``n`` of each. One table serves all blocks, and a worker keeps it;
+    longer texts have a second one."""
+    size = BLOCK_BYTES + 1
     while size < n:
         size *= 2
     return _powers(size)
@@ -95,7 +97,9 @@ class Rolling:
     def __init__(self, data: np.ndarray):
         up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * up[:len(data)], dtype=np.uint64, out=self.sums[1:])
+        values = _TABLE[data]
+        values *= up[:len(data)]
+        np.cumsum(values, dtype=np.uint64, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])

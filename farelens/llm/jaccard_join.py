@@ -122,10 +122,10 @@ def _neighbours(prefix: np.ndarray, percent: int) -> np.ndarray:
 def _size_classes(n: int, percent: int) -> list[tuple[int, int]]:
     """(class, its largest size) of the one or two size classes of a set.
 
-    A class is some steps of the similarity wide (a little more, for rounding), about a
-    doubling. A size in its last step belongs to the next class too, so that any two
+    A class is some steps of the similarity wide (a little more, for rounding), less than
+    a doubling. A size in its last step belongs to the next class too, so that any two
     sizes that may link share one."""
-    steps = max(2, int(np.log(2) / np.log(100 / percent)))
+    steps = max(2, int(np.log(1.9) / np.log(100 / percent)))
     wide = steps * float(np.log(100 / percent * 1.0005))
     size = float(np.log(n)) / wide
     c = int(size)
@@ -136,7 +136,7 @@ def _cuts(top: int, percent: int) -> int:
     """Runs that a level of order 1 is cut into, for sets of up to ``top`` tokens: so
     few that a run holds several tokens, so many that a set has more runs than it may
     have differences."""
-    return int(top * (100 - percent) / ((0.75 if _in_pairs(percent) else 0.5) * percent)) + 5
+    return int(top * (100 - percent) / ((0.95 if _in_pairs(percent) else 0.5) * percent)) + 5
 
 
 def _documents(docs: DataFrame, width: int) -> DataFrame:
@@ -237,6 +237,17 @@ def _group_sizes(docs: DataFrame, *how) -> DataFrame:
     return arrow_map(docs, run, "grp long")
 
 
+def _group_sketch(groups: DataFrame) -> np.ndarray:
+    """A bitmap of ``groups`` (grp), two places each."""
+    return bit_sketch(groups.select(F.explode(F.array("grp", F.shiftrightunsigned("grp", 32))).alias("k")), "k", GROUP_BITS)
+
+
+def _in_groups(sketch: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    maybe = in_sketch(sketch, groups)
+    maybe[maybe] = in_sketch(sketch, groups[maybe] >> np.uint64(32))
+    return maybe
+
+
 def _group_rows(docs: DataFrame, sketch: np.ndarray | None, *how) -> DataFrame:
     """(grp, fp, n, place) of the groups that may have several sets; without a
     sketch, of all."""
@@ -244,7 +255,7 @@ def _group_rows(docs: DataFrame, sketch: np.ndarray | None, *how) -> DataFrame:
         for piece in pieces(batch, 1000):
             rows = _grouped_runs(piece, *how)
             if rows:
-                keep = slice(None) if sketch is None else in_sketch(sketch, rows[0])
+                keep = slice(None) if sketch is None else _in_groups(sketch, rows[0])
                 group, fp, n, place = (x[keep] for x in rows)
                 yield pa.RecordBatch.from_arrays([longs(group), longs(fp), pa.array(n.astype(np.int32)),
                                                   pa.array(place.astype(np.int32))], ["grp", "fp", "n", "place"])
@@ -303,24 +314,29 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, pe
 
 
 def _open_rows(grouped: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of groups that hold several components: grp, fp, n, place, label,
+    """The staged rows of groups that hold several components: grp, fp, n, place, label,
     and of the group n_nodes, major (its largest component) and pairs (of nodes
     of different components). Of groups with the same nodes only the one with the
     smallest places is left; same nodes are told by two 64-bit sums of their hashes."""
     labelled = grouped.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn(
         "label", F.coalesce("label", "fp")).distinct()
+    # most groups are closed or have one node: they go before anything is summed up
+    mixed = (labelled.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+             .where("lo <> hi").select("grp"))
+    labelled = stage_table(grouped.sparkSession, labelled.join(mixed, "grp"), "labelled")
     open_groups = (labelled.groupBy("grp", "label").agg(
                        F.count("*").alias("m"), F.sum("place").alias("places"),
                        F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"))
                    .groupBy("grp").agg(F.sum("m").alias("n_nodes"), F.max_by("label", F.struct("m", "label")).alias("major"),
-                                       F.count("*").alias("n_labels"), F.sum(F.col("m") * F.col("m")).alias("same"),
+                                       F.sum(F.col("m") * F.col("m")).alias("same"),
                                        F.sum("places").alias("places"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
-                   .where("n_labels > 1")
                    .groupBy("x", "y", "n_nodes").agg(
                        F.min(F.struct("places", "grp", "major", F.expr("(n_nodes * n_nodes - same) div 2").alias("pairs")))
                        .alias("g"))
                    .select("g.grp", "n_nodes", "g.major", "g.pairs"))
-    return labelled.join(open_groups, "grp")
+    rows = stage_table(grouped.sparkSession, labelled.join(open_groups, "grp"), "open")
+    drop_staged(labelled)
+    return rows
 
 
 def _by_copies(rows: DataFrame, hot: DataFrame, spread: str | None) -> DataFrame:
@@ -349,7 +365,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     how = (width, percent, hot, magnitude)
     # nearly all groups have one set: shuffled as they are, not summed up before in every task
     several = _group_sizes(docs, *how).repartition("grp").groupBy("grp").count().where("count > 1")
-    sketch = bit_sketch(several.select("grp"), "grp", GROUP_BITS)
+    sketch = _group_sketch(several)
     # a set that several batches have is several equal rows
     grouped = stage_table(spark, _group_rows(docs, sketch, *how), "groups")
 
@@ -387,7 +403,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     drop_staged(links)
 
     # what is left: groups with several components
-    left = stage_table(spark, _open_rows(grouped, labels), "open")
+    left = _open_rows(grouped, labels)
     drop_staged(grouped)
     for order in range(1, ORDERS + 1):
         if (left.select("grp", "pairs").distinct().agg(F.sum("pairs")).first()[0] or 0) <= PAIRS * n_docs:
@@ -397,7 +413,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         of_open = docs.where(maybe_in(open_docs, mixed_id()))
         again = stage_table(spark, _group_rows(of_open, None, *how, order)
                             .join(left.select("fp").distinct(), "fp", "left_semi").select("grp", "fp", "n", "place"), "groups")
-        before, left = left, stage_table(spark, _open_rows(again, labels), "open")
+        before, left = left, _open_rows(again, labels)
         drop_staged(before, again)
 
     left_parts = F.ceil(F.col("n_nodes") / PART).cast("int")

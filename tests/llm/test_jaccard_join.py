@@ -222,3 +222,27 @@ def test_sets_with_fewer_runs_than_differences_meet(monkeypatch):
     words = [f"w{i}" for i in range(60)]
     one, two = runs_of([words, words[1:] + ["x"]], 80)
     assert one & two
+
+
+def test_few_other_groups_pass_the_bitmap(spark, monkeypatch):
+    import numpy as np
+
+    from farelens.llm import jaccard_join as J
+    monkeypatch.setattr(J, "GROUP_BITS", 1 << 16)
+    groups = np.random.default_rng(1).integers(0, 1 << 64, 60_000, dtype=np.uint64)
+    held, other = groups[:4_000], groups[4_000:]
+    sketch = J._group_sketch(spark.createDataFrame([(int(g),) for g in held.view(np.int64)], "grp long"))
+    assert J._in_groups(sketch, held).all()
+    assert J._in_groups(sketch, other).mean() < 0.03  # one place each: 0.06
+
+
+def test_one_table_of_powers_serves_all_blocks():
+    """A worker keeps it: one of 32 MB and smaller ones before."""
+    import numpy as np
+
+    from farelens.llm import common as C
+    C._powers.cache_clear()
+    for n in (10, 70_000, C.BLOCK_BYTES):
+        C.Rolling(np.zeros(n, np.uint8))
+    assert C._powers.cache_info().currsize == 1
+    assert sum(x.nbytes for x in C.powers(C.BLOCK_BYTES + 1)) <= 16 * (C.BLOCK_BYTES + 1) <= 17 << 20

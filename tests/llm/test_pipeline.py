@@ -12,8 +12,8 @@ SF = "/root/testdata/sf0.001"
 def test_entry_lists_the_queries():
     from __spark_entry__ import queries
     names = list(queries())
-    assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == \
-        [n for n in names if n.startswith("op")] and len([n for n in names if n.startswith("op")]) == 10 + names.count("op")
+    assert [n for k in range(1, 14) for n in names if n.startswith(f"op{k}_")] == \
+        [n for n in names if n.startswith("op")] and len([n for n in names if n.startswith("op")]) == 13 + names.count("op")
     assert "pipeline" in names
 
 
