@@ -204,13 +204,16 @@ _SHIPPED: set[str] = set()
 
 
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn(batch) -> iterable of RecordBatch`` over the Arrow batches of df."""
+    """``fn(batch) -> iterable of RecordBatch`` over the Arrow batches of df. A worker
+    that goes on to another task gives the memory that Arrow keeps back before."""
     ship_package(df.sparkSession)
 
     def run(it):
         for batch in it:
             if batch.num_rows:
                 yield from fn(batch)
+        batch = None  # noqa: F841  held until here
+        pa.default_memory_pool().release_unused()
     return df.mapInArrow(run, schema)
 
 

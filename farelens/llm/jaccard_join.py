@@ -24,11 +24,15 @@ prefix neighbours and prefix tokens under two more orders before they are verifi
    groups choose their prefixes anew under another order: a pair has to share runs under
    the order before and under this one. This is repeated, ORDERS times at most.
 5. In what is open then, the nodes that are not of a group's largest component meet
-   all others, in parts of PART nodes. Two sketches of a set bound the difference of a
-   pair from below, inside the join, and drop what can't link: the parities of the
-   token counts of BITS hash classes (sets that differ in d tokens differ in nearly d
-   of them, while d is small against BITS), and the counts of CLASSES coarser ones
-   for longer sets. Links found here join components further.
+   all others, in parts of PART nodes. A pair leaves the join in the first of its common
+   groups alone: each node has its FIRST smallest open groups with it, and if two nodes
+   have some of these in common, the smallest of them is the smallest that they share.
+   (A pair without one leaves it in each; such pairs share few of their groups.) Sketches
+   of a set bound the difference of a pair from below, inside the join, and drop what
+   can't link: the parities of the token counts of BITS hash classes (sets that differ in
+   d tokens differ in nearly d of them, while d is small against BITS), of FINE_BITS for
+   sets of FINE_FROM tokens or more, and the counts of CLASSES coarser ones. Links found
+   here join components further.
 
 So a large group of copies costs a row each, not all pairs, and yet no link
 between different components is lost. Verification intersects whole sets of
@@ -60,6 +64,10 @@ PART = 512                # nodes of an open group that others meet in one task
 HOT_COPIES = 200          # sets that more than 1 / HOT_COPIES of the documents have are joined in parts
 CLASSES = 32              # hash classes of the count vector
 BITS = 1024               # hash classes of the parities
+FINE_BITS = 4096          # and of those that longer sets have besides
+FINE_FROM = 1024          # tokens of such sets
+FIRST = 16                # smallest open groups that a node has with it
+SKETCHES = ("counts", "parities", "fine")
 SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
 
@@ -71,9 +79,9 @@ def _sets(batch: pa.RecordBatch, width: int):
             yield row, np.unique(words.shingles(k, width))
 
 
-def _parities(tokens: np.ndarray) -> np.ndarray:
+def _parities(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Whether the number of tokens is odd, by hash class, packed into longs."""
-    odd = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -140,38 +148,40 @@ def _cuts(top: int, percent: int) -> int:
 
 
 def _documents(docs: DataFrame, width: int) -> DataFrame:
-    """One row per document (token null): n, fp, counts, parities; and one per part of
-    a batch and token that is frequent in it (doc_id null): token, n."""
+    """One row per document (token null): n, fp, counts, parities, fine (parities of longer
+    sets, else null); and one per part of a batch and token that is frequent in it
+    (doc_id null): token, n."""
     def run(batch: pa.RecordBatch):
         for piece in pieces(batch):
             yield from some(piece)
 
     def some(batch: pa.RecordBatch):
         ids = batch.column("doc_id")
-        n, fp, counts, parities, seen = [], [], [], [], []
+        n, fp, counts, parities, fine, seen = [], [], [], [], [], []
         for _, t in _sets(batch, width):
             n.append(len(t))
             fp.append(_fingerprint(t) if len(t) else 0)
             c = np.bincount((t >> np.uint64(59)).astype(np.int64), minlength=CLASSES)
             counts.append(np.minimum(c, 127).astype(np.int8))
             parities.append(_parities(t))
+            fine.append(_parities(t, FINE_BITS) if len(t) >= FINE_FROM else None)
             seen.append(t)
 
         def lists(xs, size):
             return pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * size + 1, size), pa.int32()), pa.array(np.concatenate(xs)))
         none = pa.nulls
-        schema = ["doc_id", "token", "n", "fp", "counts", "parities"]
+        schema = ["doc_id", "token", "n", "fp", "counts", "parities", "fine"]
         yield pa.RecordBatch.from_arrays(
             [ids, none(len(n), pa.int64()), pa.array(n, pa.int64()), longs(np.array(fp, np.uint64)),
-             lists(counts, CLASSES), lists(parities, BITS // 64)], schema)
+             lists(counts, CLASSES), lists(parities, BITS // 64), pa.array(fine, pa.list_(pa.int64()))], schema)
         token, count = np.unique(np.concatenate(seen), return_counts=True)
         often = count >= max(4, HOT_SHARE * len(n))
         if often.any():
             m = int(often.sum())
             yield pa.RecordBatch.from_arrays(
                 [none(m, pa.int64()), longs(token[often]), longs(count[often]), none(m, pa.int64()),
-                 none(m, pa.list_(pa.int8())), none(m, pa.list_(pa.int64()))], schema)
-    return arrow_map(docs, run, "doc_id long, token long, n long, fp long, counts array<tinyint>, parities array<long>")
+                 none(m, pa.list_(pa.int8())), none(m, pa.list_(pa.int64())), none(m, pa.list_(pa.int64()))], schema)
+    return arrow_map(docs, run, "doc_id long, token long, n long, fp long, counts array<tinyint>, parities array<long>, fine array<long>")
 
 
 def _hot_tokens(rows: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -339,6 +349,43 @@ def _open_rows(grouped: DataFrame, labels: DataFrame) -> DataFrame:
     return rows
 
 
+def _may_link(a: str, b: str, percent: int):
+    return 100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")
+
+
+def _bounded(percent: int):
+    """Whether the sketches of a pair (a_, b_) differ little enough."""
+    odd = sum((F.bit_count(F.col("a_parities")[i].bitwiseXOR(F.col("b_parities")[i])) for i in range(1, BITS // 64)),
+              F.bit_count(F.col("a_parities")[0].bitwiseXOR(F.col("b_parities")[0])))
+
+    def total(values):
+        return F.aggregate(values, F.lit(0), lambda s, x: s + x)
+    apart = total(F.zip_with("a_counts", "b_counts", lambda x, y: F.abs(x.cast("int") - y.cast("int"))))
+    fine = F.coalesce(total(F.zip_with("a_fine", "b_fine", lambda x, y: F.bit_count(x.bitwiseXOR(y)))), F.lit(0))
+    most = (100 - percent) * (F.col("a_n") + F.col("b_n"))
+    return ((100 + percent) * odd <= most) & ((100 + percent) * apart <= most) & ((100 + percent) * fine <= most)
+
+
+def _pairs_in_groups(left: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes of different components that meet in the open groups
+    ``left`` and may link, nearly all of them once."""
+    parts = F.ceil(F.col("n_nodes") / PART).cast("int")
+    first = left.groupBy("fp").agg(F.slice(F.sort_array(F.collect_list("grp")), 1, FIRST).alias("first"))
+    sized = left.join(reps.select("fp", *SKETCHES).join(first, "fp"), "fp")
+
+    def side(rows, x, *more):
+        return rows.select("grp", "part", *more, *[F.col(c).alias(f"{x}_{c}") for c in ("fp", "n", "label", "first", *SKETCHES)])
+    minor = side(sized.where("label <> major").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), "a")
+    other = side(sized.withColumn("part", F.pmod("fp", parts).cast("int")), "b", "major")
+    # two nodes of different components meet once in each group that both are in
+    met = (minor.join(other, ["grp", "part"])
+           .where((F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("major")) | (F.col("a_fp") < F.col("b_fp")))
+                  & _may_link("a_", "b_", percent)
+                  & (F.coalesce(F.array_min(F.array_intersect("a_first", "b_first")), F.col("grp")) >= F.col("grp"))
+                  & _bounded(percent)))
+    return met.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b"))
+
+
 def _by_copies(rows: DataFrame, hot: DataFrame, spread: str | None) -> DataFrame:
     """``rows`` with ``part``: sets that very many documents have are dealt out
     over several parts, by the column ``spread``, or are in each of them."""
@@ -360,7 +407,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     hot, magnitude = _hot_tokens(rows.where("token is not null"), n_docs)
     reps = stage_table(spark, per_doc.where("n > 0").groupBy("fp").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("n").alias("n"),
-        F.any_value("counts").alias("counts"), F.any_value("parities").alias("parities")), "reps")
+        F.any_value("counts").alias("counts"), F.any_value("parities").alias("parities"), F.any_value("fine").alias("fine")), "reps")
 
     how = (width, percent, hot, magnitude)
     # nearly all groups have one set: shuffled as they are, not summed up before in every task
@@ -369,9 +416,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     # a set that several batches have is several equal rows
     grouped = stage_table(spark, _group_rows(docs, sketch, *how), "groups")
 
-    def may_link(a, b):
-        return 100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")
-
     # Pivots. Nodes with long prefixes look at an eighth of their groups, which are
     # plenty for copies to meet; what this leaves out is found below.
     key = ["grp"]
@@ -380,24 +424,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
               .where("lo <> hi").select(*key, F.col("p.fp").alias("p_fp"), F.col("p.n").alias("p_n"),
                                         F.col("p.place").alias("p_place")))
     # of its pivots a node is compared with the one that it shares the most groups with
-    stars = (some.join(pivots, key).where((F.col("fp") != F.col("p_fp")) & may_link("", "p_"))
+    stars = (some.join(pivots, key).where((F.col("fp") != F.col("p_fp")) & _may_link("", "p_", percent))
              .groupBy("fp", "p_fp").agg(F.count("*").alias("shared"))
              .groupBy("fp").agg(F.max_by("p_fp", F.struct("shared", "p_fp")).alias("p_fp"))
              .select(F.least("fp", "p_fp").alias("a"), F.greatest("fp", "p_fp").alias("b")).distinct())
 
-    def bounded(pairs):
-        """Pairs whose parities and whose counts by hash class differ little enough."""
-        odd = sum((F.bit_count(F.col("a_parities")[i].bitwiseXOR(F.col("b_parities")[i])) for i in range(1, BITS // 64)),
-                  F.bit_count(F.col("a_parities")[0].bitwiseXOR(F.col("b_parities")[0])))
-        apart = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.abs(x.cast("int") - y.cast("int"))),
-                            F.lit(0), lambda s, x: s + x)
-        most = (100 - percent) * (F.col("a_n") + F.col("b_n"))
-        return ((100 + percent) * odd <= most) & ((100 + percent) * apart <= most)
-
     def of(x):
-        return reps.select(F.col("fp").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("counts", "parities", "n")])
+        return reps.select(F.col("fp").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in (*SKETCHES, "n")])
     stars = stars.join(of("a"), "a").join(of("b"), "b")
-    stars = stage_table(spark, stars.where(bounded(stars)).select("a", "b"), "stars")
+    stars = stage_table(spark, stars.where(_bounded(percent)).select("a", "b"), "stars")
     links = _verified(docs, stars, reps, width, percent, hot, magnitude)
     labels = stage_table(spark, components(spark, links), "labels")
     drop_staged(links)
@@ -416,18 +451,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         before, left = left, _open_rows(again, labels)
         drop_staged(before, again)
 
-    left_parts = F.ceil(F.col("n_nodes") / PART).cast("int")
-    sized = left.join(reps.select("fp", "counts", "parities"), "fp")
-    minor = (sized.where("label <> major").withColumn("part", F.explode(F.sequence(F.lit(0), left_parts - 1)))
-             .select("grp", "part", *[F.col(c).alias(f"a_{c}") for c in ("fp", "n", "place", "label", "counts", "parities")]))
-    other = (sized.withColumn("part", F.pmod("fp", left_parts).cast("int"))
-             .select("grp", "part", "major", *[F.col(c).alias(f"b_{c}") for c in ("fp", "n", "place", "label", "counts", "parities")]))
-    met = (minor.join(other, ["grp", "part"])
-           .where((F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("major")) | (F.col("a_fp") < F.col("b_fp")))
-                  & may_link("a_", "b_")))
     # written before the anti-join, which the planner would else put before the bound
-    near = stage_table(spark, met.where(bounded(met)).select(
-        F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct(), "near")
+    near = stage_table(spark, _pairs_in_groups(left, reps, percent).distinct(), "near")
     met = stage_table(spark, near.join(stars, ["a", "b"], "left_anti"), "met")
     drop_staged(near)
     drop_staged(left, stars)

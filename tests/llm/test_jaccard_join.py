@@ -246,3 +246,50 @@ def test_one_table_of_powers_serves_all_blocks():
         C.Rolling(np.zeros(n, np.uint8))
     assert C._powers.cache_info().currsize == 1
     assert sum(x.nbytes for x in C.powers(C.BLOCK_BYTES + 1)) <= 16 * (C.BLOCK_BYTES + 1) <= 17 << 20
+
+
+def test_pairs_leave_the_join_in_their_first_group(spark, monkeypatch):
+    """Texts that are almost alike enough share very many groups: a pair is one row."""
+    import random
+
+    from farelens.llm import jaccard_join as J
+    rng = random.Random(6)
+    rows = []
+    for i in range(30):
+        own = set(rng.sample(range(400), 24))
+        rows.append((i, " ".join(f"o{i}x{k}" if k in own else f"c{k}" for k in range(400))))
+    made = []
+
+    def pairs(left, *how, f=J._pairs_in_groups):
+        out = f(left, *how)
+        met = (left.alias("x").join(left.alias("y"), "grp").where("x.fp < y.fp and x.label <> y.label"))
+        made.append((out.count(), out.distinct().count(), met.count()))
+        return out
+    monkeypatch.setattr(J, "_pairs_in_groups", pairs)
+    assert got(docs(spark, rows), width=1, percent=80) == plain(rows, 1, 80)
+    (rows_made, distinct, met), = made
+    assert distinct > 100 and met > 10 * distinct and rows_made <= 1.1 * distinct
+
+
+def test_long_texts_that_differ_too_much_do_not_leave_the_join(spark, monkeypatch):
+    """1024 parities of sets of 3000 tokens never differ in more than sets that link may."""
+    import random
+
+    from farelens.llm import jaccard_join as J
+    rng = random.Random(7)
+    rows = []
+    for i in range(20):
+        own = set(rng.sample(range(3000), 900))
+        rows.append((i, " ".join(f"o{i}x{k}" if k in own else f"c{k}" for k in range(3000))))
+    rows.append((50, rows[3][1] + " and a little more"))
+    near = []
+    stage = J.stage_table
+
+    def staged(session, df, name):
+        out = stage(session, df, name)
+        if name == "near":
+            near.append(out.count())
+        return out
+    monkeypatch.setattr(J, "stage_table", staged)
+    assert got(docs(spark, rows), width=1, percent=80) == plain(rows, 1, 80)
+    assert near == [0]
